@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hilbert, simhash, url_filter
-from .common import table
+from . import ann, bpe, decontaminate, gam, hilbert, lines, pii, simhash, toxicity, url_filter
+from .common import crc_mod, table
 
 
 def tokenizer_path() -> str:
@@ -30,15 +30,41 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, tokenizer_path(), ids=False, digest=True).drop("text")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod("doc_id", 3) == 1
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels"), "toxic", out)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hilbert.shards(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "h")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = crc_mod("doc_id", 5) == 0
+    scored = gam.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", out)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op8_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = lines.dedup(docs, counts=True)
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 #: Fixed values of the URL report: rules as (verdict, host, path prefix).
 RULES = (
     ("block", "com", "/en/"),
@@ -94,7 +120,7 @@ FROM l
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_bpe, op5_hilbert_shards, op7_simhash, op10_url_filter)}
+    return {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_pii, op4_toxicity, op5_hilbert_shards, op6_quality, op7_simhash, op8_multiprobe, op9_fuzzy_lines, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
