@@ -49,7 +49,7 @@ def span_scores(keys: DataFrame, hits: DataFrame) -> DataFrame:
     r = found.select("question_id", "key").distinct().groupBy("question_id").agg(F.count("*").alias("k"))
     p = found.select("question_id", "hit_id").distinct().groupBy("question_id").agg(F.count("*").alias("h"))
     all_k = keys.groupBy("question_id").agg(F.count_distinct("key").alias("keys"))
-    all_h = hits.groupBy("question_id").agg(F.count("*").alias("hits"))
+    all_h = hits.groupBy("question_id").agg(F.count_distinct("id").alias("hits"))
     out = all_k.join(all_h, "question_id", "left").join(r, "question_id", "left").join(p, "question_id", "left")
     return out.select("question_id", (F.coalesce("k", F.lit(0)) / F.col("keys")).alias("recall"), F.when(F.col("hits") > 0, F.coalesce("h", F.lit(0)) / F.col("hits")).otherwise(0.0).alias("precision"))
 

@@ -129,15 +129,19 @@ def _(r: Repo) -> DataFrame:
     return retrieval.search_batch(r.chunk, r.benchmark.select(F.col("item_id").alias("id"), F.substring("text", 1, 40).alias("text")))
 
 
-@query("h1_tokens", """SELECT id, CASE id % 9 WHEN 6 THEN '介绍,绍一,一下,下这,这个,个项,项目' ELSE NULL END AS t FROM question WHERE id % 9 = 6""")
+@query("h1_tokens", "SELECT id, CASE id % 9 WHEN 6 THEN '介绍,绍一,一下,下这,这个,个项,项目' ELSE concat(split_part(text, ' ', 3), ',查询,询订,订单') END AS t FROM question WHERE id % 9 IN (6, 8)")
 def _(r: Repo) -> DataFrame:
-    return r.question.where("id % 9 = 6").select("id", F.array_join(T.tokens(F.col("text")), ",").alias("t"))
+    return r.question.where("id % 9 in (6, 8)").select("id", F.array_join(T.tokens(F.col("text")), ",").alias("t"))
 
 
-@query("h3_relaxed", "SELECT id, array_to_string(['R' ,'x'][2:2] || regexp_extract_all(text, '[A-Za-z_]{2,}')[1:1], ',') AS t FROM question WHERE 1 = 0")
+@query("h2_han", "SELECT doc_id AS id, false AS han FROM documents UNION ALL SELECT id, id % 9 IN (5, 6, 8) FROM question")
 def _(r: Repo) -> DataFrame:
-    own = r.question.where("id % 9 = 5")
-    return own.select("id", F.array_join(T.relaxed(T.tokens(F.col("text"))), ",").alias("t")).where("t like '%谁%'")
+    return r.documents.select(F.col("doc_id").alias("id"), F.col("text").rlike(r"\p{IsHan}").alias("han")).unionByName(r.question.select("id", F.col("text").rlike(r"\p{IsHan}").alias("han")))
+
+
+@query("h3_relaxed", "SELECT id, split_part(text, ' ', 3) AS t FROM question WHERE id % 9 = 8")
+def _(r: Repo) -> DataFrame:
+    return r.question.where("id % 9 = 8").select("id", F.array_join(T.relaxed(T.tokens(F.col("text"))), ",").alias("t"))
 
 
 @query("h6_symbol_chunks", "SELECT c.id, path, qualified_name, c.start_line, c.end_line FROM chunk c JOIN source_file f ON f.id = c.file_id LEFT JOIN symbol s ON s.id = c.symbol_id WHERE c.kind = 'SYMBOL'")
@@ -278,10 +282,12 @@ def _(r: Repo) -> DataFrame:
     return evidence.failures(evidence.verified(r.evidence, r.source_file))
 
 
-@query("j2_snippets", """SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN CAST(NULL AS BOOLEAN) WHEN length(trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g'))) < 12 THEN NULL ELSE doc_id % 3 = 0 END AS ok FROM documents WHERE lang = 'en' AND doc_id % 3 = 2""")
+@query("j2_snippets", """WITH q AS (SELECT doc_id, trim(substr(trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')), 1, 40)) AS s FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN false WHEN doc_id % 3 = 0 AND length(s) >= 12 THEN true END AS ok FROM q""")
 def _(r: Repo) -> DataFrame:
-    own = r.documents.where("lang = 'en' and doc_id % 3 = 2")
-    return own.select("doc_id", evidence.snippet_matches(F.lit("short"), F.col("text")).alias("ok"))
+    first = F.substring(T.squeezed(F.get(F.split("text", "\n"), F.lit(0))), 1, 40)
+    said = F.when(F.col("doc_id") % 3 == 0, first).when(F.col("doc_id") % 3 == 1, "no such words at all here").otherwise("short")
+    return r.documents.select("doc_id", evidence.snippet_matches(said, F.col("text")).alias("ok"))
 
 
 @query("j3_normalised", "SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM documents")
@@ -528,3 +534,93 @@ def _(r: Repo) -> DataFrame:
 
     e = r.orders.select((F.col("o_custkey") % 50).alias("job_id"), F.col("o_orderkey").alias("at"), F.col("o_orderstatus").alias("status"), F.lit(0).alias("done"), F.lit(0).alias("total"), F.lit("").alias("message"))
     return jobs(e).select("job_id", "updated_at", "status")
+
+
+# ---- files by path, schema defaults, two-stage retrieval
+
+
+PATHS = """SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN concat('m', CAST(c_custkey % 5 AS VARCHAR), '/src/main/java/x/A', CAST(c_custkey AS VARCHAR), '.java') WHEN 1 THEN concat('target/src/main/java/G', CAST(c_custkey AS VARCHAR), '.java')
+WHEN 2 THEN concat('doc/n', CAST(c_custkey AS VARCHAR), '.md') WHEN 3 THEN concat('web/node_modules/x', CAST(c_custkey AS VARCHAR), '.js') WHEN 4 THEN 'web/yarn.lock' WHEN 5 THEN concat('conf/a', CAST(c_custkey AS VARCHAR), '.YML')
+WHEN 6 THEN concat('bin/t', CAST(c_custkey AS VARCHAR)) ELSE concat('m', CAST(c_custkey % 5 AS VARCHAR), '/src/test/java/T', CAST(c_custkey AS VARCHAR), '.java') END AS path FROM customer"""
+
+
+def _paths(r: Repo) -> DataFrame:
+    return r.spark.sql(PATHS.replace("VARCHAR", "STRING").replace("FROM customer", "FROM {customer}"), customer=r.customer)
+
+
+@query("a1_source_roots", f"SELECT DISTINCT regexp_extract(path, '^((?:.*/)?src/main/java)/', 1) AS root FROM ({PATHS}) WHERE regexp_matches(path, '^(?:.*/)?src/main/java/') AND NOT starts_with(path, 'target/')")
+def _(r: Repo) -> DataFrame:
+    from ..sources.files import excluded, source_roots
+
+    return source_roots(_paths(r).where(~excluded(F.col("path"))))
+
+
+@query("a2_java_files", f"SELECT id, path FROM ({PATHS}) WHERE id % 8 = 0")
+def _(r: Repo) -> DataFrame:
+    from ..sources.files import excluded, java_files
+
+    return java_files(_paths(r).where(~excluded(F.col("path"))))
+
+
+@query("a3_excluded", f"SELECT id, id % 8 IN (1, 3) AS excluded FROM ({PATHS})")
+def _(r: Repo) -> DataFrame:
+    from ..sources.files import excluded
+
+    return _paths(r).select("id", excluded(F.col("path")).alias("excluded"))
+
+
+@query("a4_text_paths", f"SELECT id, id % 8 IN (2, 3, 5) AS text_file FROM ({PATHS})")
+def _(r: Repo) -> DataFrame:
+    from ..sources.files import is_text_path
+
+    return _paths(r).select("id", is_text_path(F.col("path")).alias("text_file"))
+
+
+@query("a5_size_guards", """SELECT concat('d', CAST(doc_id AS VARCHAR), '.md') AS path, strlen(text) // 1024 <= 4 AND (length(text) = 0 OR len(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) <= 6) AS parsed_ok FROM documents""")
+def _(r: Repo) -> DataFrame:
+    from ..sources.files import text_files
+
+    own = r.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.octet_length("text").cast("long").alias("length"), F.col("text").cast("binary").alias("content"))
+    return text_files(own, max_kb=4, max_lines=6).select("path", "parsed_ok")
+
+
+@query("b15_defaults", "SELECT event_id AS id, 'USER' AS origin FROM events")
+def _(r: Repo) -> DataFrame:
+    from ..sources.store import with_columns
+
+    return with_columns(r.events.select(F.col("event_id").alias("id")), {"origin": F.lit("USER")})
+
+
+@query("b12_latest_semantics", "SELECT user_id, event_type AS model, max(event_id) AS id FROM events GROUP BY ALL")
+def _(r: Repo) -> DataFrame:
+    rows = r.events.select("user_id", F.col("event_type").alias("model"), F.col("event_id").alias("id"))
+    return control.latest(rows, ["user_id", "model"], "id")
+
+
+@query("c9_symbol_chunks", """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) AS l FROM documents WHERE text <> ''),
+c AS (SELECT path, 'SYMBOL' AS kind, CAST(2 AS BIGINT) AS start_line, CAST(3 AS BIGINT) AS end_line, array_to_string(l[2:3], chr(10)) AS content FROM d WHERE len(l) >= 2 UNION ALL SELECT path, 'FILE_HEADER', 1, 1, l[1] FROM d)
+SELECT path, kind, start_line, end_line, sha256(content) AS content_hash FROM c WHERE trim(content) <> ''""")
+def _(r: Repo) -> DataFrame:
+    own = r.documents.where("text <> ''").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    members = own.select("path", F.lit("METHOD").alias("kind"), F.lit("a.B#f/0").alias("qualified_name"), F.lit(2).cast("long").alias("start_line"), F.lit(3).cast("long").alias("end_line"))
+    return chunks.symbol_chunks(own, members).select("path", "kind", "start_line", "end_line", "content_hash")
+
+
+@query("c10_line_slices", "SELECT doc_id, nullif(array_to_string(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))[2:4], chr(10)), '') AS t FROM documents WHERE text <> ''")
+def _(r: Repo) -> DataFrame:
+    cut = T.line_slice(T.lines(F.col("text")), F.lit(2), F.lit(4))
+    return r.documents.where("text <> ''").select("doc_id", F.when(cut != "", cut).alias("t"))
+
+
+@query("i12_two_stages")
+def _(r: Repo) -> DataFrame:
+    found = retrieval.search_batch(r.chunk, r.benchmark.select(F.col("item_id").alias("id"), F.substring("text", 1, 60).alias("text")), 20)
+    own = found.join(r.chunk, "id").join(r.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
+    hits = own.select(F.col("query_id").alias("question_id"), "id", "rank", "question", F.lit(None).cast("string").alias("qualified_name"), "file_path", "start_line", "end_line", "content", "token_estimate")
+    return ranking.select_context(hits, 3000, 5, 3)
+
+
+@query("k6_compared", "SELECT id AS question_id, mode AS qtype, (id % 4) / 4.0 AS vector_recall, (id % 8) / 8.0 AS route_recall FROM answer_log")
+def _(r: Repo) -> DataFrame:
+    side = lambda n: r.answer_log.select(F.col("id").alias("question_id"), F.col("mode").alias("qtype"), (F.col("id") % n / float(n)).alias("recall"), F.lit(0.0).alias("precision"), F.lit(0.0).alias("f1"), "latency_ms")
+    return evaluation.compared(side(4), side(8)).select("question_id", "qtype", "vector_recall", "route_recall")

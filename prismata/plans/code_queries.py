@@ -206,11 +206,24 @@ def _(r: Repo) -> DataFrame:
     return r.symbol.where("parent_id is null").select(T.package_of(F.col("qualified_name")).alias("package")).distinct()
 
 
-@query("f2_common_prefix", "SELECT 'com.acme' AS prefix")
+@query("f2_common_prefix", f"""WITH m AS (SELECT min(string_split({PACKAGE}, '.')) AS a, max(string_split({PACKAGE}, '.')) AS b FROM symbol WHERE parent_id IS NULL)
+SELECT array_to_string(a[1:(SELECT coalesce(max(k), 0) FROM range(1, 20) t(k) WHERE k <= least(len(a), len(b)) AND a[1:k] = b[1:k])], '.') AS prefix FROM m""")
 def _(r: Repo) -> DataFrame:
     return summary.common_prefix(r.symbol.where("parent_id is null").select(T.package_of(F.col("qualified_name")).alias("package")))
 
 
+@query("f3_chosen_prefix")
+def _(r: Repo) -> DataFrame:
+    p = r.symbol.where("parent_id is null").select(T.package_of(F.col("qualified_name")).alias("package")).distinct()
+    return r.spark.createDataFrame([(summary.choose_prefix(sorted(x["package"] for x in p.collect())),)], "prefix string")
+
+
+@query("f6_module_patterns", f"SELECT DISTINCT {PACKAGE} AS package, concat('^', replace({PACKAGE}, '.', '[.]'), '[.].+$') AS pattern FROM symbol WHERE parent_id IS NULL")
+def _(r: Repo) -> DataFrame:
+    p = r.symbol.where("parent_id is null").select(T.package_of(F.col("qualified_name")).alias("package")).distinct()
+    return p.withColumn("pattern", F.concat(F.lit("^"), F.replace("package", F.lit("."), F.lit("[.]")), F.lit("[.].+$")))
+
+
 @query("f4_module_names", f"SELECT DISTINCT {PACKAGE} AS package, split_part({PACKAGE}, '.', 3) AS module FROM symbol WHERE parent_id IS NULL")
 def _(r: Repo) -> DataFrame:
     p = r.symbol.where("parent_id is null").select(T.package_of(F.col("qualified_name")).alias("package")).distinct()
