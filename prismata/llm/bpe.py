@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,11 +26,13 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import bound_batches, lean, slices
 
 NONE = np.int64(1 << 62)
 #: Distinct words a worker remembers; the cache is emptied when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+#: Bytes of text that are encoded and handed on at once.
+PART_BYTES = 1 << 20
 END = "</w>"
 
 
@@ -50,6 +53,7 @@ class Tokenizer:
         self.token = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: t for t, i in self.special.items()}
+        # every number below the size of the vocabulary names a token
         self.is_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         chars = _byte_characters()
         self.inner = np.array([vocab.get(chars[b], -1) for b in range(256)], dtype=np.int64)
@@ -69,7 +73,10 @@ class Tokenizer:
         self.lib_normal = lib.normalizer.normalize_str
         pattern = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"]
         self.lib_words = tokenizers.pre_tokenizers.Split(tokenizers.Regex(pattern), "removed", invert=True).pre_tokenize_str
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.named = [self.token[i] for i in range(len(self.token))]
+        self.plain_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
+        self.odd = re.compile(r"[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be]").search
+        self.cache: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         """Words of a text without special tokens.
@@ -78,10 +85,13 @@ class Tokenizer:
         normaliser and splitter are asked.
         """
         if text.isascii():
-            return self.words(text.lower())
-        if self.common(text):
+            text = text.lower()
+        elif self.common(text):
             return [w for w, _ in self.lib_words(self.lib_normal(text))]
-        return self.words(self.normal(text))
+        else:
+            text = self.normal(text)
+        # up to U+052F and without the odd characters the two patterns say the same
+        return self.words(text) if self.odd(text) else self.plain_words(text)
 
     def normal(self, text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):
@@ -181,35 +191,41 @@ class Tokenizer:
                 put(before[p], rank(before[p], p))
         return [x for x in symbols if x >= 0]
 
-    def _symbols(self, word: str) -> np.ndarray:
-        raw = np.frombuffer(word.encode(), dtype=np.uint8)
-        out = self.inner[raw]
-        out[-1] = self.last[raw[-1]]
-        return out[out >= 0]  # a character outside the vocabulary has no token
-
     def learn(self, words: list[str]) -> None:
-        """Encode words that the cache lacks, grouped by length."""
-        by: dict[int, list[tuple[str, np.ndarray]]] = {}
-        for w in words:
-            s = self._symbols(w)
-            by.setdefault(1 << max(0, len(s) - 1).bit_length(), []).append((w, s))
-        for size, group in by.items():
-            if size > 64:
-                for w, s in group:
-                    self._keep(w, self._one(s.tolist()))
+        """Encode words that the cache lacks, together by size."""
+        if not words:
+            return
+        coded = [w.encode() for w in words]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        raw = np.frombuffer(b"".join(coded), dtype=np.uint8)
+        ends = np.cumsum(lengths)
+        symbols = self.inner[raw]
+        symbols[ends - 1] = self.last[raw[ends - 1]]
+        if (symbols < 0).any():  # a character outside the vocabulary has no token
+            known = symbols >= 0
+            lengths = np.add.reduceat(known, ends - lengths).astype(np.int64)
+            symbols, ends = symbols[known], np.cumsum(lengths)
+        size = 1 << np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64)
+        for n in np.unique(size).tolist():
+            of = np.flatnonzero(size == n)
+            if n > 64:
+                for i in of.tolist():
+                    self.cache[words[i]] = np.array(self._one(symbols[ends[i] - lengths[i] : ends[i]].tolist()), dtype="<u4").tobytes()
                 continue
-            for k in range(0, len(group), 20_000):
-                part = group[k : k + 20_000]
-                lengths = np.array([len(s) for _, s in part])
-                symbols = np.full((len(part), size), -1, np.int64)
-                symbols[np.arange(size)[None, :] < lengths[:, None]] = np.concatenate([s for _, s in part])
-                if size > 1:
-                    symbols = self._many(symbols, np.maximum(lengths, 1))
-                for (w, _), row in zip(part, symbols):
-                    self._keep(w, row[row >= 0].tolist())
-
-    def _keep(self, word: str, ids: list[int]) -> None:
-        self.cache[word] = (np.array(ids, dtype="<u4").tobytes(), " ".join(self.token[i] for i in ids))
+            for part in np.array_split(of, -(-len(of) // 20_000)):
+                own = lengths[part]
+                matrix = np.full((len(part), n), -1, np.int64)
+                filled = np.arange(n)[None, :] < own[:, None]
+                matrix[filled] = symbols[np.repeat(ends[part] - own - np.append(0, np.cumsum(own)[:-1]), own) + np.arange(int(own.sum()))]
+                if n > 1:
+                    matrix = self._many(matrix, np.maximum(own, 1))
+                kept = matrix >= 0
+                data = matrix[kept].astype("<u4").tobytes()
+                stops = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+                last = 0
+                for i, stop in zip(part.tolist(), stops):
+                    self.cache[words[i]] = data[last:stop]
+                    last = stop
 
     def pieces(self, text: str | None) -> list[str]:
         if not text:
@@ -222,20 +238,22 @@ class Tokenizer:
         return self.split(text)
 
     def encode_all(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
-        """For each text its ids as little-endian 32-bit integers, and its decoded form."""
-        for text in texts:
-            own = self.pieces(text)
-            new = set(own).difference(self.cache)
-            if new:
-                if len(self.cache) + len(new) > CACHE_WORDS:
-                    self.cache.clear()
-                    new = set(own)
-                special = [w for w in new if w in self.special]
-                for w in special:
-                    self._keep(w, [self.special[w]])
-                self.learn([w for w in new if w not in self.special])
-            got = [self.cache[w] for w in own]
-            yield b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
+        """For each text its ids as little-endian 32-bit integers, and its decoded form.
+
+        New words of all the texts are encoded together, so that the matrices are tall.
+        """
+        split = [self.pieces(t) for t in texts]
+        new = set().union(*split).difference(self.cache)
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.cache.clear()
+            new = set().union(*split)
+        for w in new & self.special.keys():
+            self.cache[w] = np.array([self.special[w]], dtype="<u4").tobytes()
+        self.learn(list(new - self.special.keys()))
+        get, name = self.cache.__getitem__, self.named.__getitem__
+        for own in split:
+            raw = b"".join(map(get, own))
+            yield raw, " ".join(map(name, np.frombuffer(raw, dtype="<u4").tolist()))
 
 
 _loaded: dict[str, Tokenizer] = {}
@@ -252,19 +270,6 @@ def decode(tokenizer: Tokenizer, ids: list[int]) -> str:
     return " ".join(tokenizer.token[i] for i in ids if i in tokenizer.token)
 
 
-def _learn_batch(tok: Tokenizer, texts: list[str | None]) -> None:
-    """Encode the batch's new words together, so that the matrices are tall."""
-    if len(tok.cache) > CACHE_WORDS // 2:
-        tok.cache.clear()
-    words: set[str] = set()
-    for t in texts:
-        words.update(tok.pieces(t))
-        if len(words) > CACHE_WORDS // 4:
-            break
-    words.difference_update(tok.cache, tok.special)
-    tok.learn(list(words))
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", ids: bool = True, digest: bool = False) -> DataFrame:
     """`docs` with n_tokens and, as asked, ids (array of int) and decoded, or their digests.
 
@@ -283,23 +288,28 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: bool = True, dig
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(path)
         for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            _learn_batch(tok, texts)
-            n, raw, plain, hashes, decoded = [], [], [], [], []
-            for own, back in tok.encode_all(texts):
-                n.append(len(own) // 4)
-                if ids:
-                    raw.append(np.frombuffer(own, dtype="<u4").astype(np.int32))
-                    plain.append(back)
-                if digest:
-                    hashes.append(hashlib.sha256(own).hexdigest())
-                    decoded.append(hashlib.sha256(back.encode()).hexdigest())
-            cols = [*batch.columns, pa.array(n, pa.int64())]
+            for lo, hi in slices(batch.column(text_at), PART_BYTES):  # ids and tokens take several times the text
+                yield coded(tok, batch.slice(lo, hi - lo))
+
+    def coded(tok: Tokenizer, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(text_at).to_pylist()
+        n, raw, plain, hashes, decoded = [], [], [], [], []
+        for own, back in tok.encode_all(texts):
+            n.append(len(own) // 4)
             if ids:
-                cols += [pa.array(raw, pa.list_(pa.int32())), pa.array(plain, pa.string())]
+                raw.append(np.frombuffer(own, dtype="<i4"))
+                plain.append(back)
             if digest:
-                cols += [pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
-
-    out = docs.mapInArrow(run, schema)
+                hashes.append(hashlib.sha256(own).hexdigest())
+                decoded.append(hashlib.sha256(back.encode()).hexdigest())
+        cols = [*batch.columns, pa.array(n, pa.int64())]
+        if ids:
+            ends = np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int32)
+            flat = pa.array(np.concatenate(raw) if raw else np.zeros(0, np.int32))
+            cols += [pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(plain, pa.string())]
+        if digest:
+            cols += [pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+        return pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
+
+    out = docs.mapInArrow(lean(run), schema)
     return out.toDF(*docs.columns, *[f.name for f in extra])
