@@ -14,7 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 CELL = 4096
+#: Heavy keys that may be broadcast: 16 bytes each.
+HEAVY_KEYS = 500_000
 
 
 def grid(rows: DataFrame, key: str, salt: Column, probes: Column, cell: int = CELL) -> DataFrame:
@@ -25,8 +29,13 @@ def grid(rows: DataFrame, key: str, salt: Column, probes: Column, cell: int = CE
     and every row is also stored in its column and repeated down it, so that each pair of a
     probing row and another meets exactly once.
     """
-    heavy = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > cell).select(key, F.ceil(F.col("_n") / cell).cast("int").alias("_g"))
-    out = rows.join(heavy, key, "left").withColumn("_g", F.coalesce("_g", F.lit(1))).withColumn("_s", F.pmod(salt, F.col("_g")).cast("int"))
+    heavy = checkpointed(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > cell).select(key, F.ceil(F.col("_n") / cell).cast("int").alias("_g")))
+    n = heavy.count()
+    if not n:
+        return rows.withColumn("cell", F.lit(0)).withColumn("probe", probes)
+    # heavy keys are few, each having over `cell` rows; without a broadcast all rows move twice
+    out = rows.join(F.broadcast(heavy) if n <= HEAVY_KEYS else heavy, key, "left")
+    out = out.withColumn("_g", F.coalesce("_g", F.lit(1))).withColumn("_s", F.pmod(salt, F.col("_g")).cast("int"))
     g, s = F.col("_g"), F.col("_s")
     every = F.sequence(F.lit(0), g - 1)
     at = lambda c, probe: F.struct(c.cast("int").alias("cell"), probe.alias("probe"))
@@ -37,15 +46,17 @@ def grid(rows: DataFrame, key: str, salt: Column, probes: Column, cell: int = CE
     return out.withColumn("cell", F.col("_at.cell")).withColumn("probe", F.col("_at.probe")).drop("_g", "_s", "_at")
 
 
-def streamed(batches: Iterator[pa.RecordBatch], keys: tuple[int, ...], handle: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """Call handle(table, bounds) with whole key groups; bounds are the groups' first rows and the end."""
+def streamed(batches: Iterator[pa.RecordBatch], keys: Callable[[pa.Table], list[np.ndarray]], handle: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Call handle(table, bounds) with whole groups; bounds are the groups' first rows and the end.
+
+    keys gives the arrays by which a table's rows are grouped.
+    """
     held: pa.Table | None = None
 
     def changes(t: pa.Table) -> np.ndarray:
         new = np.zeros(t.num_rows, bool)
         new[0] = True
-        for k in keys:
-            x = t.column(k).to_numpy()
+        for x in keys(t):
             new[1:] |= x[1:] != x[:-1]
         return np.flatnonzero(new)
 
@@ -61,3 +72,8 @@ def streamed(batches: Iterator[pa.RecordBatch], keys: tuple[int, ...], handle: C
             held = held.slice(last)
     if held is not None:
         yield from handle(held.combine_chunks(), np.append(changes(held), held.num_rows))
+
+
+def columns(*at: int) -> Callable[[pa.Table], list[np.ndarray]]:
+    """Keys that are columns of the table."""
+    return lambda t: [t.column(k).to_numpy() for k in at]

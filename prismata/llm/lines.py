@@ -2,7 +2,7 @@
 
 A line is normalised to its lower-cased words (0-9, a-z, letters beyond ASCII), joined by
 single spaces; lines of fewer than MIN_WORDS words are left alone. Equal normalised lines
-are one node. Nodes get a 64-bit SimHash of their words; of two SimHashes that differ in
+are one node. Nodes get a 64-bit SimHash of their distinct words; of two SimHashes that differ in
 three bits at most, two of five blocks are equal, so nodes are joined on each of the ten
 block pairs (pigeonhole). Where the bits differ in three places at most, the edit
 similarity, 1 - distance / longer length, of the normalised lines is computed and must be
@@ -29,29 +29,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, Words, bound_batches, checkpointed, mixed, slices, utf8
+from .common import ALNUM, bound_batches, checkpointed, lean, LOWER, mixed, slices, utf8, Words
 from .components import components
-from .groups import grid, streamed
+from .groups import columns, grid, streamed
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
 BITS = 3
 #: Bit ranges of the five blocks.
 BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
-#: Lines of a group that are verified in one piece.
+#: Lines of a group of near ones that are compared in one piece.
 PIECE = 512
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INVERSE = pow(_R, -1, 1 << 64)
 
 
-def _line_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, hash, SimHash) of the lines with enough words; bounds are the lines' offsets."""
+def _line_hashes(data: np.ndarray, bounds: np.ndarray, with_sim: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, node, SimHash) of the lines with enough words; bounds are the lines' offsets."""
     words = Words(data, bounds)
     n = len(words.row)
     if not n:
-        none = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), none, none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     first = np.flatnonzero(np.append(True, words.row[1:] != words.row[:-1]))
     size = np.diff(np.append(first, n))
     ok = size >= MIN_WORDS
@@ -62,16 +61,35 @@ def _line_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(words.hash * np.multiply.accumulate(step), out=sums[1:])
     h = mixed((sums[first + size] - sums[first]) * np.multiply.accumulate(back)[first] + size.astype(np.uint64))
-    first, size = first[ok], size[ok]
-    sim = np.zeros(len(first), np.uint64)
-    if len(first):
-        for lo in range(0, len(first), 4096):
-            own, count = first[lo : lo + 4096], size[lo : lo + 4096]
-            at = np.repeat(own - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(int(count.sum()))
-            bits = np.unpackbits(mixed(words.hash[at]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, np.append(0, np.cumsum(count)[:-1]), axis=0, dtype=np.int32)
-            sim[lo : lo + 4096] = np.packbits(ones * 2 > count[:, None], axis=1, bitorder="little").view("<u8").ravel()
-    return words.row[first], h[ok], sim
+    line, node = words.row[first][ok], h[ok].view(np.int64)
+    if not with_sim or not len(line):
+        return line, node, np.zeros(len(line), np.uint64)
+    # a word counts once a line: else frequent words make long lines look alike
+    pair = mixed(words.hash + words.row.astype(np.uint64) * np.uint64(_R))
+    order = np.argsort(pair)
+    once = np.ones(n, bool)
+    once[order[1:]] = pair[order[1:]] != pair[order[:-1]]
+    once &= np.repeat(ok, size)
+    row, hashes = words.row[once], mixed(words.hash[once])
+    start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    count = np.diff(np.append(start, len(row)))
+    sim = np.zeros(len(start), np.uint64)
+    for short, kind in ((True, np.uint8), (False, np.int32)):  # bytes hold the sums of up to 255 words
+        of = np.flatnonzero((count <= 255) == short)
+        for part in np.array_split(of, max(1, -(-int(count[of].sum()) // 100_000))) if len(of) else ():
+            if len(part):
+                c = count[part]
+                lead = np.append(0, np.cumsum(c)[:-1])
+                at = np.repeat(start[part] - lead, c) + np.arange(int(c.sum()))
+                bits = np.unpackbits(hashes[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones = np.add.reduceat(bits, lead, axis=0, dtype=kind)
+                sim[part] = np.packbits(ones.astype(np.int32) * 2 > c[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return line, node, sim
+
+
+def _line_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where lines start, and the end; a text starts a line of its own."""
+    return np.sort(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1, offsets[-1:]]))
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,28 +98,44 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, hi - lo)
             data, offsets = utf8(part.column(2))
             breaks = np.flatnonzero(data == 10) + 1
-            bounds = np.sort(np.concatenate([offsets[:-1], breaks, offsets[-1:]]))  # a text may start after a break
-            line, h, sim = _line_hashes(data, bounds)
+            bounds = _line_bounds(data, offsets)
+            line, node, sim = _line_hashes(data, bounds)
             start = bounds[line]
             doc = np.searchsorted(offsets, start, side="right") - 1
             number = np.searchsorted(breaks, start, side="right") - np.searchsorted(breaks, offsets[doc], side="right")
             at = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(number, pa.int32()), pa.array(h.view(np.int64)), pa.array(sim.view(np.int64))], names=["id", "th", "line", "h", "sim"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(number, pa.int32()), pa.array(node), pa.array(sim.view(np.int64))], names=["id", "th", "line", "node", "sim"])
 
 
 def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
 
 
-def block_keys(sim: Column) -> Column:
-    """The ten keys of a SimHash: pairs of blocks with their values."""
+PAIRS = tuple(combinations(BLOCKS, 2))
+
+
+def block_key(sim: Column, pair: Column) -> Column:
+    """The key of a SimHash for one of the ten block pairs; it is never stored with the row."""
     block = lambda b: F.shiftrightunsigned(sim, b[0]).bitwiseAND(F.lit((1 << (b[1] - b[0])) - 1))
-    pairs = [F.shiftleft(block(x), 13).bitwiseOR(block(y)) + F.lit(k << 32) for k, (x, y) in enumerate(combinations(BLOCKS, 2))]
-    return F.array(*pairs)
+    out = F.lit(None).cast("long")
+    for k, (x, y) in enumerate(PAIRS):
+        out = F.when(pair == k, F.shiftleft(block(x), 13).bitwiseOR(block(y)) + F.lit(k << 32)).otherwise(out)
+    return out
+
+
+def _block_key(sim: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(sim), np.int64)
+    block = lambda s, b: ((s >> np.uint64(b[0])) & np.uint64((1 << (b[1] - b[0])) - 1)).astype(np.int64)
+    for k, (x, y) in enumerate(PAIRS):
+        at = pair == k
+        out[at] = (block(sim[at], x) << 13 | block(sim[at], y)) + (k << 32)
+    return out
 
 
 def _near_bits(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    sim, node, probe = t.column(2).to_numpy().view(np.uint64), t.column(3).to_numpy(), t.column(4).to_numpy(zero_copy_only=False)
+    """Spanning links between the SimHashes of each group that differ in BITS bits at most."""
+    own, probe = t.column(0).to_numpy(), t.column(3).to_numpy(zero_copy_only=False)
+    sim = own.view(np.uint64)
     out_a, out_b = [], []
     size = np.diff(bounds)
     group = np.repeat(np.arange(len(size)), size)
@@ -111,15 +145,15 @@ def _near_bits(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         n = size[group[part]]
         left = np.repeat(part, n)
         right = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[:-1][group[part]], n)
-        near = (node[left] < node[right]) & (np.bitwise_count(sim[left] ^ sim[right]) <= BITS)
-        out_a.append(node[left[near]])
-        out_b.append(node[right[near]])
+        near = (own[left] < own[right]) & (np.bitwise_count(sim[left] ^ sim[right]) <= BITS)
+        out_a.append(own[left[near]])
+        out_b.append(own[right[near]])
     for g in np.flatnonzero(size > 64).tolist():
         lo, hi = int(bounds[g]), int(bounds[g + 1])
-        own, names = sim[lo:hi], node[lo:hi]
+        bits, names = sim[lo:hi], own[lo:hi]
         _, label = np.unique(names, return_inverse=True)
         for i in np.flatnonzero(probe[lo:hi]).tolist():
-            near = np.flatnonzero(np.bitwise_count(own ^ own[i]) <= BITS)
+            near = np.flatnonzero(np.bitwise_count(bits ^ bits[i]) <= BITS)
             marks, at = np.unique(label[near], return_index=True)
             other = marks != label[i]
             if other.any():
@@ -178,15 +212,54 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return abs(len(a) - len(b)) <= room and distance(a, b) <= room
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, wanted lines) to one row for each wanted line, with its normalised text."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 128):
-            rows: list[tuple] = []
-            for text, wanted in zip(batch.column(0).slice(lo, 128).to_pylist(), batch.column(1).slice(lo, 128).to_pylist()):
-                lines = text.split("\n")
-                rows += [(w["grp"], w["node"], w["sim"], normal(lines[w["line"]])) for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], k < 3 and pa.int64() or pa.string()) for k in range(4)], names=["grp", "node", "sim", "norm"])
+#: Bits of a node's number that choose its block in the filter of wanted nodes, and its bits there.
+FILTER_AT = 20
+FILTER_BITS = (0, 6, 12, 40, 46, 52, 58)
+FILTER_BLOCKS = 1 << 20
+
+
+def wanted_filter(nodes: DataFrame, count: int) -> np.ndarray:
+    """A blocked Bloom filter of the column node, of a bounded size: blocks x seven words.
+
+    Its blocks are made by one bit_or aggregate; what it lets through is joined exactly.
+    """
+    blocks = min(FILTER_BLOCKS, 1 << max(4, (count // 8).bit_length()))
+    one = F.lit(1).cast("long")
+    bit = lambda at: F.call_function("shiftleft", one, F.shiftrightunsigned("node", at).bitwiseAND(F.lit(63)).cast("int"))
+    block = F.shiftrightunsigned("node", FILTER_AT).bitwiseAND(F.lit(blocks - 1))
+    rows = nodes.groupBy(block.alias("block")).agg(*[F.bit_or(bit(at)).alias(f"w{k}") for k, at in enumerate(FILTER_BITS)]).toArrow()
+    out = np.zeros((blocks, len(FILTER_BITS)), np.int64)
+    out[rows.column("block").to_numpy()] = np.stack([rows.column(f"w{k}").to_numpy() for k in range(len(FILTER_BITS))], axis=1) if rows.num_rows else 0
+    return out.view(np.uint64)
+
+
+def _passes(table: np.ndarray, node: np.ndarray) -> np.ndarray:
+    n = node.view(np.uint64)
+    block = ((n >> np.uint64(FILTER_AT)) & np.uint64(len(table) - 1)).astype(np.int64)
+    ok = np.ones(len(n), bool)
+    for k, at in enumerate(FILTER_BITS):
+        ok &= (table[block, k] >> ((n >> np.uint64(at)) & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
+def _fetcher(shared):
+    """Texts to the normalised lines, once a batch, whose node may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            for lo, hi in slices(batch.column(0)):
+                data, offsets = utf8(batch.column(0).slice(lo, hi - lo))
+                bounds = _line_bounds(data, offsets)
+                line, node, _ = _line_hashes(data, bounds, with_sim=False)
+                at = np.flatnonzero(_passes(table, node))
+                _, one = np.unique(node[at], return_index=True)
+                at = at[one]
+                raw = data.tobytes()
+                text = [normal(raw[bounds[k] : bounds[k + 1]].decode()) for k in line[at].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(text, pa.string())], names=["node", "norm"])
+
+    return run
 
 
 _PLAIN = np.where(ALNUM[LOWER], LOWER, 32).astype(np.uint8).tobytes()
@@ -197,16 +270,37 @@ def normal(line: str) -> str:
     return b" ".join(line.encode().translate(_PLAIN).split()).decode()
 
 
+def _first_pair(differing: np.ndarray) -> np.ndarray:
+    """The first of the ten block pairs in which two SimHashes agree, by their differing bits."""
+    out = np.full(len(differing), len(PAIRS), np.int64)
+    same = {b: (differing >> np.uint64(b[0])) & np.uint64((1 << (b[1] - b[0])) - 1) == 0 for b in BLOCKS}
+    for k in range(len(PAIRS) - 1, -1, -1):
+        x, y = PAIRS[k]
+        out[same[x] & same[y]] = k
+    return out
+
+
 def _near_text(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    node, sim, probe = t.column(2).to_numpy(), t.column(3).to_numpy().view(np.uint64), t.column(5).to_numpy(zero_copy_only=False)
+    """Links between near lines of each group whose texts are alike; the groups are one key's.
+
+    Columns: a number (the block pair of the key, or -1), cell, node, sim, norm, probe. With a
+    block pair, two lines are compared only under the first pair that they share.
+    """
+    pair, node, sim = t.column(0).to_numpy(), t.column(2).to_numpy(), t.column(3).to_numpy().view(np.uint64)
+    probe = t.column(5).to_numpy(zero_copy_only=False)
     out: list[tuple[int, int]] = []
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if hi - lo < 2:
             continue
-        text, own, names = t.column(4).slice(lo, hi - lo).to_pylist(), sim[lo:hi], node[lo:hi]
+        own, names, text = sim[lo:hi], node[lo:hi], None
         _, label = np.unique(names, return_inverse=True)
         for i in np.flatnonzero(probe[lo:hi]).tolist():
-            for j in np.flatnonzero((label != label[i]) & (np.bitwise_count(own ^ own[i]) <= BITS)).tolist():
+            apart = own ^ own[i]
+            near = (label != label[i]) & (np.bitwise_count(apart) <= BITS)
+            if pair[lo] >= 0:
+                near &= _first_pair(apart) == pair[lo]
+            for j in np.flatnonzero(near).tolist():
+                text = text or t.column(4).slice(lo, hi - lo).to_pylist()
                 if label[i] != label[j] and similar(text[i], text[j]):
                     out.append((int(names[i]), int(names[j])))
                     label[label == label[j]] = label[i]
@@ -214,34 +308,53 @@ def _near_text(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
 
+def _alike(fetched: DataFrame) -> DataFrame:
+    """(a, b): links between lines (grp, node, sim, norm) that are near and alike.
+
+    A group of up to PIECE lines is compared as a whole. Larger ones are chains of many near
+    lines that are mostly far from each other: their lines meet under their ten keys again.
+    """
+    sizes = fetched.groupBy("grp").agg(F.count("*").alias("n"))
+    large = checkpointed(sizes.where(F.col("n") > PIECE).select("grp"))
+    few = fetched.join(large, "grp", "left_anti").select(F.lit(-1).alias("pair"), F.lit(0).alias("cell"), "node", "sim", "norm", F.lit(True).alias("probe"), F.col("grp").alias("key"))
+    many = fetched.join(large, "grp", "left_semi").select("node", "sim", "norm", F.explode(F.sequence(F.lit(0), F.lit(len(PAIRS) - 1))).alias("pair"))
+    many = grid(many.withColumn("key", block_key(F.col("sim"), F.col("pair"))), "key", F.xxhash64("node"), F.lit(True))
+    both = few.unionByName(many.select("pair", "cell", "node", "sim", "norm", "probe", "key"))
+    dealt = both.repartition("pair", "key", "cell").sortWithinPartitions("pair", "key", "cell")
+    return dealt.mapInArrow(lean(lambda b: streamed(b, columns(0, 6, 1), _near_text)), "a long, b long")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lines, nodes): every long line with its hashes; every distinct one with its group.
+    """(lines, repeated): every long line with its hashes; each line text that repeats.
 
-    lines: id, th (hash of the text), line (from 0), h, sim. nodes: h, sim, n, keep (the
-    occurrence (id, th, line) that stays for it) and root (equal within a group).
+    lines: id, th (hash of the text), line (from 0), node, sim. repeated: node, sim, root
+    (equal within a group) and keep, the occurrence (id, line, th) that stays for it.
     """
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     rows = keyed(docs, id_col, text)
     kind = rows.schema["id"].dataType.simpleString()
-    lines = checkpointed(rows.mapInArrow(_lines, f"id {kind}, th long, line int, h long, sim long"))
-    nodes = lines.groupBy("h", "sim").agg(F.min(F.struct("id", "line", "th")).alias("first"), F.count("*").alias("n"))
-    nodes = checkpointed(nodes.select(F.xxhash64("h", "sim").alias("node"), "h", "sim", "first", "n"))
-    spread = nodes.select("sim", "node", F.explode(block_keys(F.col("sim"))).alias("key"))
-    cells = grid(spread, "key", F.xxhash64("node"), F.lit(True)).select("key", "cell", "sim", "node", "probe")
-    near = cells.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(lambda b: streamed(b, (0, 1), _near_bits), "a long, b long")
-    rough = components(near)
-    wanted = rough.join(nodes, "node").select(F.col("root").alias("grp"), "node", "sim", "first")
-    by_doc = wanted.groupBy(F.col("first.id").alias("w_id"), F.col("first.th").alias("w_th")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "grp", "node", "sim")).alias("wanted"))
-    own = rows.where(F.col("text").isNotNull())
-    # repeated rows hold the same lines twice, which does no harm
-    texts = own.join(by_doc, own["id"].eqNullSafe(by_doc["w_id"]) & (own["th"] == by_doc["w_th"])).select("text", "wanted")
-    fetched = texts.mapInArrow(_fetch, "grp long, node long, sim long, norm string")
-    pieces = grid(fetched, "grp", F.xxhash64("node"), F.lit(True), cell=PIECE).select("grp", "cell", "node", "sim", "norm", "probe")
-    true = components(pieces.repartition("grp", "cell").sortWithinPartitions("grp", "cell").mapInArrow(lambda b: streamed(b, (0, 1), _near_text), "a long, b long"))
-    named = nodes.join(true, "node", "left")
-    best = named.where("root is not null").groupBy("root").agg(F.min("first").alias("best"))
-    named = named.join(best, "root", "left").select("h", "sim", "n", F.coalesce("best", "first").alias("keep"), F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("fuzzy"))
-    return lines, named
+    lines = checkpointed(rows.mapInArrow(lean(_lines), f"id {kind}, th long, line int, node long, sim long"))
+    nodes = checkpointed(lines.groupBy("node", "sim").agg(F.min(F.struct("id", "line", "th")).alias("first"), F.count("*").alias("n")))
+    # near SimHashes, or equal ones of different lines, make rough groups
+    spread = nodes.select("sim", F.explode(F.sequence(F.lit(0), F.lit(len(PAIRS) - 1))).alias("pair"))
+    key = block_key(F.col("sim"), F.col("pair"))
+    cells = grid(spread.withColumn("key", key), "key", F.xxhash64("sim"), F.lit(True)).select("sim", "pair", "cell", "probe")
+    by_key = lambda t: [_block_key(t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy()), t.column(2).to_numpy()]
+    near = cells.repartition(key, F.col("cell")).sortWithinPartitions(key, "cell").mapInArrow(lean(lambda b: streamed(b, by_key, _near_bits)), "a long, b long")
+    rough = components(near).select(F.col("node").alias("sim"), F.col("root").alias("grp"))
+    shared_sim = nodes.groupBy("sim").agg(F.count("*").alias("c")).where("c > 1").select("sim")
+    rough = rough.join(shared_sim.withColumn("own", F.col("sim")), "sim", "full").select("sim", F.coalesce("grp", "own").alias("grp"))
+    wanted = checkpointed(nodes.join(rough, "sim").select("node", "sim", "grp", "first"))
+    asked = spark.sparkContext.broadcast(wanted_filter(wanted, wanted.count()))
+    fetched = rows.select("text").mapInArrow(lean(_fetcher(asked)), "node long, norm string").groupBy("node").agg(F.min("norm").alias("norm"))
+    fetched = fetched.join(wanted.select("node", "sim", "grp"), "node").select("grp", "node", "sim", "norm")
+    true = components(_alike(checkpointed(fetched)))
+    fuzzy = true.join(wanted.select("node", "sim", "first"), "node")
+    best = fuzzy.groupBy("root").agg(F.min("first").alias("keep"))
+    fuzzy = fuzzy.join(best, "root").select("node", "sim", "root", "keep")
+    equal = nodes.where("n > 1").join(true.select("node"), "node", "left_anti").select("node", "sim", F.col("node").alias("root"), F.col("first").alias("keep"))
+    return lines, equal.unionByName(fuzzy)
 
 
 def _cut(text_at: int, drop_at: int):
@@ -263,11 +376,10 @@ def _cut(text_at: int, drop_at: int):
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
     """`docs` without the lines that repeat an earlier one; with n_lines and n_removed if asked."""
-    lines, nodes = groups(docs, id_col, text)
-    repeated = nodes.where("n > 1 or fuzzy").select("h", "sim", "keep")
-    gone = lines.join(repeated, ["h", "sim"]).where(~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("line") == F.col("keep.line")) & (F.col("th") == F.col("keep.th"))))
+    lines, repeated = groups(docs, id_col, text)
+    gone = lines.join(repeated, ["node", "sim"]).where(~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("line") == F.col("keep.line")) & (F.col("th") == F.col("keep.th"))))
     by_doc = gone.groupBy(F.col("id").alias("_g_id"), F.col("th").alias("_g_th")).agg(F.collect_set("line").alias("_g_lines"))
     out = docs.join(by_doc, docs[id_col].eqNullSafe(by_doc["_g_id"]) & (F.xxhash64(docs[text]) == by_doc["_g_th"]), "left").select(*[docs[c] for c in docs.columns], "_g_lines")
     schema = T.StructType([*[T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)], T.StructField(f"c{len(docs.columns)}", T.LongType()), T.StructField(f"c{len(docs.columns) + 1}", T.LongType())])
-    cut = out.mapInArrow(_cut(docs.columns.index(text), len(docs.columns)), schema).toDF(*docs.columns, "n_lines", "n_removed")
+    cut = out.mapInArrow(lean(_cut(docs.columns.index(text), len(docs.columns))), schema).toDF(*docs.columns, "n_lines", "n_removed")
     return cut if counts else cut.select(*docs.columns)

@@ -27,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, checkpointed
+from .common import bound_batches, checkpointed, lean
 from .components import components
-from .groups import grid, streamed
+from .groups import columns, grid, streamed
 
 THRESHOLD = 3
 SHINGLE = 3
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
 
-    return rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(lean(run), T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("fp", T.LongType())]))
 
 
 def _pairs_of(syndrome: int) -> list[int]:
@@ -137,7 +137,7 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     cells = grid(rows, "key", F.xxhash64("fp"), F.col("home"))
     dealt = cells.select("key", "cell", "fp", "node", "probe").repartition("key", "cell").sortWithinPartitions("key", "cell")
     handle = _linked(threshold)
-    return dealt.mapInArrow(lambda b: streamed(b, (0, 1), handle), "a long, b long")
+    return dealt.mapInArrow(lean(lambda b: streamed(b, columns(0, 1), handle)), "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:

@@ -192,7 +192,7 @@ def _brute_lines(rows):
     return out
 
 
-def test_line_dedup_equals_brute_force(spark, odd):
+def test_line_dedup_equals_brute_force(spark, odd, monkeypatch):
     r = random.Random(6)
     vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(80)]
     base = [[r.choice(vocab) for _ in range(r.randrange(3, 60))] for _ in range(25)]
@@ -213,6 +213,8 @@ def test_line_dedup_equals_brute_force(spark, odd):
     assert have == Counter(_brute_lines(rows))
     assert sum(x[3] for x in have) > 30
     assert lines.dedup(docs.limit(0)).count() == 0
+    monkeypatch.setattr(lines, "PIECE", 3)  # larger groups meet under their keys
+    assert Counter((x.doc_id, x.text, x.n_lines, x.n_removed) for x in lines.dedup(docs, counts=True).collect()) == have
 
 
 def test_pipeline_of_small_documents(spark):
