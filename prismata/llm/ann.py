@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpointed
-from .groups import grid, streamed
+from .common import bound_batches, checkpointed, lean
+from .groups import columns, grid, streamed
 
 TOP = 20
 TABLES = 10
@@ -191,7 +191,7 @@ def _compare(top: int):
                     if count > HELD // 2:
                         yield from out()
 
-        yield from streamed(batches, (0, 1), handle)
+        yield from streamed(batches, columns(0, 1), handle)
         flush()
         yield from out()
 
@@ -214,10 +214,10 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec: st
     asking = rows.where("asks").groupBy("vec").agg(F.lit(True).alias("asks"))
     points = checkpointed(ids.join(asking, "vec", "left").select(F.col("ids")[0].alias("point"), "vec", F.coalesce("asks", F.lit(False)).alias("asks"), "ids"))
     index = spark.sparkContext.broadcast(Tables(dims, norm, **how))
-    spread = points.select("point", "vec", "asks").mapInArrow(_spread(index), "key long, point long, vec array<double>, asks boolean")
+    spread = points.select("point", "vec", "asks").mapInArrow(lean(_spread(index)), "key long, point long, vec array<double>, asks boolean")
     cells = _cells(spread)
     dealt = cells.select("key", "cell", "point", "vec", "asks").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    found = dealt.mapInArrow(_compare(top + 1), "ask long, point long, score double")
+    found = dealt.mapInArrow(lean(_compare(top + 1)), "ask long, point long, score double")
     merged = found.groupBy("ask", "point").agg(F.first("score").alias("score"))
     order = Window.partitionBy("ask").orderBy(F.desc("score"), "point")
     best = merged.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top + 1)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, bound_batches, code_points, slices, utf8
+from .common import bound_batches, code_points, lean, slices, utf8, Words
 
 WINDOW = 10
 SAMPLE = 8
@@ -284,7 +284,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         column = part.column("t").combine_chunks()
         shared = spark.sparkContext.broadcast(Phrases(part.column("i").to_pylist(), column if isinstance(column, pa.Array) else column.chunk(0), window))
         schema = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)], T.StructField(f"c{len(docs.columns)}", T.LongType()), T.StructField(f"c{len(docs.columns) + 1}", SPANS), T.StructField(f"c{len(docs.columns) + 2}", T.ArrayType(T.StringType()))])
-        out = out.mapInArrow(_mapper(shared, text_at, b == 0), schema)
+        out = out.mapInArrow(lean(_mapper(shared, text_at, b == 0)), schema)
     return out.toDF(*names)
 
 
@@ -312,7 +312,7 @@ def _removing(text_at: int, spans_at: int):
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """`docs` with every contaminated span cut out of the text; all rows stay."""
     found = find(docs, benchmark, text, **how)
-    return found.mapInArrow(_removing(docs.columns.index(text), found.columns.index("word_spans")), found.schema).select(*docs.columns)
+    return found.mapInArrow(lean(_removing(docs.columns.index(text), found.columns.index("word_spans"))), found.schema).select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

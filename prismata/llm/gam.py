@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpointed
+from .common import bound_batches, checkpointed, lean
 
 TRAIN_ROWS = 50_000
 BINS = 32
@@ -173,7 +173,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64()))], names=["c0", "c1"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    seen = checkpointed(rows.mapInArrow(run, f"c0 {kind}, c1 array<double>").toDF(id_col, "x"))
+    seen = checkpointed(rows.mapInArrow(lean(run), f"c0 {kind}, c1 array<double>").toDF(id_col, "x"))
     known = labels.where(F.col(label).isNotNull()).select(F.col(id_col), F.col(label).cast("int").alias("y")).where(~held_out)
     known = known.groupBy(id_col).agg(F.max("y").alias("y"))
     sample = seen.join(known, id_col).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(train_rows).select("x", "y").toArrow()
@@ -188,5 +188,5 @@ def score(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_c
             s = model.score(x) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["c0", "c1"])
 
-    out = seen.mapInArrow(rate, f"c0 {kind}, c1 double").toDF(id_col, "score")
+    out = seen.mapInArrow(lean(rate), f"c0 {kind}, c1 double").toDF(id_col, "score")
     return out.select(id_col, F.coalesce(held_out, F.lit(False)).alias("held_out"), "score")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, checkpointed
+from .common import bound_batches, checkpointed, lean
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -261,7 +261,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     bound_batches(spark)
     rest = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(rest)], T.StructField(f"c{len(rest)}", SPAN)])
-    seen = checkpointed(docs.mapInArrow(_find(docs.columns.index(text)), schema))
+    seen = checkpointed(docs.mapInArrow(lean(_find(docs.columns.index(text))), schema))
     spans = f"c{len(rest)}"
     weights = fit(seen.select(F.explode(spans).alias("s")).select("s.*"))
     shared = spark.sparkContext.broadcast(weights)
@@ -283,7 +283,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
     short = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("kind", "start", "end", "base")]))
-    out = seen.mapInArrow(keep, T.StructType([*schema.fields[:-1], T.StructField(spans, short)]))
+    out = seen.mapInArrow(lean(keep), T.StructType([*schema.fields[:-1], T.StructField(spans, short)]))
     return out.toDF(*[f.name for f in rest], "found")
 
 

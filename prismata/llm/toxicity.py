@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, checkpointed
+from .common import bound_batches, checkpointed, lean
 
 TRAIN_ROWS = 5_000
 LANDMARKS = 80
@@ -41,7 +41,7 @@ DECAY = 0.7
 FLOOR = 0.4
 PIECE = 24
 #: Words a worker remembers as far from all landmarks, till it forgets them all.
-KNOWN = 500_000
+KNOWN = 200_000
 EDGES = ".,;:!?\"'()[]{}|<>*#$%&-_=+~`/\\"
 SPELLED = re.compile(r"(?<!\S)\S(?:[ ]\S){2,}(?!\S)")
 START, STOP, DIGIT, OTHER = 30, 31, 27, 28
@@ -249,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_col
     if len(sizes) < 2:
         return None
     n, m = sizes[1], sizes[0]
-    counts = seen.mapInArrow(_counted, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = seen.mapInArrow(lean(_counted), "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     rate, base = (F.col("bad") + 0.5) / (n + 1), (F.col("good") + 0.5) / (m + 1)
     best = counts.where(F.col("bad") > F.greatest(F.lit(1), F.lit(n // 2000))).select("word", (rate * F.log(rate / base)).alias("gain")).orderBy(F.desc("gain"), "word").limit(LANDMARKS)
     landmarks = [r["word"] for r in best.collect()]
@@ -262,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_col
             x = kernel.value.represent(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    rows = seen.mapInArrow(run, "x array<double>, y int").toArrow()
+    rows = seen.mapInArrow(lean(run), "x array<double>, y int").toArrow()
     y = rows.column("y").to_numpy().astype(float)
     x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(len(y), -1)
     order = np.lexsort([*x.T[::-1], y])  # the same model whatever the order of rows
@@ -288,4 +288,4 @@ def score(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_c
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[f"c{i}" for i in range(width + 1)])
 
     schema = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)], T.StructField(f"c{width}", T.DoubleType())])
-    return docs.mapInArrow(run, schema).toDF(*docs.columns, name)
+    return docs.mapInArrow(lean(run), schema).toDF(*docs.columns, name)
