@@ -12,11 +12,19 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Edges a partition of a round holds on average.
+ROWS = 200_000
+
 
 def _checksum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _packed(edges: DataFrame, count: int) -> DataFrame:
+    """Few edges in few partitions: a step writes a file for each partition that it reads."""
+    return edges.coalesce(max(1, -(-count // ROWS)))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of an edge, root being the smallest node it reaches.
 
@@ -25,6 +33,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     x, y = F.col(a), F.col(b)
     now = checkpointed(edges.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct())
     state = _checksum(now)
+    now = _packed(now, state[0])
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -33,6 +42,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         inner = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = checkpointed(inner.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         before, state = state, _checksum(now)
+        now = _packed(now, state[0])
         if before == state:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
