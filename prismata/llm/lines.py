@@ -2,16 +2,16 @@
 
 A line is normalised to its lower-cased words (0-9, a-z, letters beyond ASCII), joined by
 single spaces; lines of fewer than MIN_WORDS words are left alone. Equal normalised lines
-are one node. Nodes get a 64-bit SimHash of their distinct words; of two SimHashes that differ in
-three bits at most, two of five blocks are equal, so nodes are joined on each of the ten
-block pairs (pigeonhole). Where the bits differ in three places at most, the edit
-similarity, 1 - distance / longer length, of the normalised lines is computed and must be
-SIMILARITY or more. Of each connected group the first occurrence, by (id, line number),
-stays and all others are cut from their texts.
+are one node. Nodes get minima (MinHash) of their grams of GRAM bytes. Those that
+share a band of minima, and whose lengths and one-bit minima allow it, are candidates: three
+minima a band in lines of up to 125 characters, four in those of 100 or more, so that any
+two lines of similar lengths meet under one of the two. The edit similarity,
+1 - distance / longer length, of candidates is computed and must be SIMILARITY or more.
+Of each connected group the first occurrence, by (id, line number), stays and all others
+are cut from their texts.
 
-Near SimHashes are first joined to groups, whose lines alone are fetched for verification;
-groups and blocks are compared in pieces of bounded size, with a union-find that skips
-pairs already connected, and pairs are never listed. Hot lines are pre-aggregated.
+Bands are compared in pieces of bounded size. Only lines of candidate pairs are fetched for
+verification, through a bounded filter. Hot lines are pre-aggregated.
 
 Nulls: a null text stays null and has no lines; null ids are ordered first. Repeated rows
 (same id, same text) count as one document and are cut alike. A text whose lines all go
@@ -21,11 +21,10 @@ becomes empty. Empty tables give empty results; other columns pass through uncha
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,11 +34,17 @@ from .groups import columns, grid, streamed
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
-BITS = 3
-#: Bit ranges of the five blocks.
-BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
-#: Lines of a group of near ones that are compared in one piece.
-PIECE = 512
+#: Bytes of a gram, and minima that a line's signature has.
+GRAM = 5
+#: In lines of up to LONG[1] characters, and in those of LONG[0] or more: minima of a
+#: signature, minima of a band, and how many of the first 60 one-bit minima may differ
+#: (unrelated lines differ in about half of them).
+LONG = (100, 125)
+SHORT_HASHES, LONG_HASHES = 120, 60
+SHORT_ROWS, LONG_ROWS = 3, 4
+SHORT_APART, LONG_APART = 24, 19
+#: Nodes that a task remembers to have handed on.
+SEEN = 200_000
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INVERSE = pow(_R, -1, 1 << 64)
@@ -111,57 +116,101 @@ def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
 
 
-PAIRS = tuple(combinations(BLOCKS, 2))
-
-
-def block_key(sim: Column, pair: Column) -> Column:
-    """The key of a SimHash for one of the ten block pairs; it is never stored with the row."""
-    block = lambda b: F.shiftrightunsigned(sim, b[0]).bitwiseAND(F.lit((1 << (b[1] - b[0])) - 1))
-    out = F.lit(None).cast("long")
-    for k, (x, y) in enumerate(PAIRS):
-        out = F.when(pair == k, F.shiftleft(block(x), 13).bitwiseOR(block(y)) + F.lit(k << 32)).otherwise(out)
-    return out
-
-
-def _block_key(sim: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(sim), np.int64)
-    block = lambda s, b: ((s >> np.uint64(b[0])) & np.uint64((1 << (b[1] - b[0])) - 1)).astype(np.int64)
-    for k, (x, y) in enumerate(PAIRS):
-        at = pair == k
-        out[at] = (block(sim[at], x) << 13 | block(sim[at], y)) + (k << 32)
-    return out
-
-
-def _near_bits(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Spanning links between the SimHashes of each group that differ in BITS bits at most."""
-    own, probe = t.column(0).to_numpy(), t.column(3).to_numpy(zero_copy_only=False)
-    sim = own.view(np.uint64)
-    out_a, out_b = [], []
-    size = np.diff(bounds)
-    group = np.repeat(np.arange(len(size)), size)
-    small = (size > 1) & (size <= 64)
-    ask = np.flatnonzero(small[group] & probe)
-    for part in np.array_split(ask, max(1, len(ask) // 20_000)):
-        n = size[group[part]]
+def _grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, size, first, hash): lines with enough words, their characters, where their grams start, all grams."""
+    words = Words(data, bounds)
+    low = LOWER[data]
+    inside = ALNUM[low]
+    later = words.start[1:][words.row[1:] == words.row[:-1]]
+    stay = inside.copy()
+    stay[later - 1] = True  # one space between two words
+    sums = np.append(0, np.cumsum(stay))
+    plain, at = np.where(inside, low, 32).astype(np.uint8)[stay], sums[bounds]
+    chars = np.append(0, np.cumsum((plain & 0xC0) != 0x80))
+    size = np.diff(chars[at])
+    line = np.flatnonzero(np.bincount(words.row, minlength=len(size)) >= MIN_WORDS)
+    n = np.diff(at)[line] - GRAM + 1
+    first = np.cumsum(n) - n
+    place = np.repeat(at[:-1][line] - first, n) + np.arange(int(n.sum()))
+    gram = np.zeros(len(place), np.uint64)
+    for k in range(GRAM):
+        gram = gram << np.uint64(8) | plain[place + k]
+    return line, size[line], first, (mixed(gram) >> np.uint64(32)).astype(np.uint32)
+
+
+_DRAW = np.random.default_rng(29).integers(1, 1 << 32, (2, SHORT_HASHES), np.uint32)
+
+
+def _signatures(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, size, sketch, minima) of the lines with enough words."""
+    line, size, first, gram = _grams(data, bounds)
+    low = np.zeros((len(line), SHORT_HASHES), np.uint32)
+    count = np.diff(np.append(first, len(gram)))
+    short = size <= LONG[1]
+    some = np.cumsum(count[short]) - count[short]
+    for k in range(SHORT_HASHES if len(line) else 0):
+        if k == LONG_HASHES:  # long lines need no more
+            gram, first = gram[np.repeat(short, count)], some
+        if len(first):
+            h = (gram ^ _DRAW[0, k]) * (_DRAW[1, k] | np.uint32(1))
+            h ^= h >> np.uint32(15)
+            low[slice(None) if k < LONG_HASHES else short, k] = np.minimum.reduceat(h, first)
+    bits = np.zeros((len(line), 64), np.uint8)
+    bits[:, :60] = mixed(low[:, :60].ravel()).reshape(-1, 60) & np.uint64(1)
+    return line, size, np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel(), low
+
+
+def _band_keys(low: np.ndarray, rows: int) -> np.ndarray:
+    """A key for each band of `rows` minima."""
+    part = low.reshape(len(low), low.shape[1] // rows, rows).astype(np.uint64)
+    out = np.full(part.shape[:2], rows, np.uint64) + np.arange(part.shape[1], dtype=np.uint64) * np.uint64(64)
+    for k in range(rows):
+        out = mixed(out.ravel()).reshape(out.shape) ^ part[:, :, k]
+    return mixed(out.ravel()).reshape(out.shape).view(np.int64)
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to (node, size, sketch, keys) of their lines; a task repeats few."""
+    seen: set[int] = set()
+    for batch in batches:
+        for lo, hi in slices(batch.column(0)):
+            data, offsets = utf8(batch.column(0).slice(lo, hi - lo))
+            bounds = _line_bounds(data, offsets)
+            named, node, _ = _line_hashes(data, bounds, with_sim=False)
+            line, size, sketch, low = _signatures(data, bounds)
+            node = node[np.searchsorted(named, line)]
+            _, one = np.unique(node, return_index=True)
+            one = one[[x not in seen for x in node[one].tolist()]] if len(one) else one
+            seen = seen if len(seen) < SEEN else set()
+            seen.update(node[one].tolist())
+            node, size, sketch, low = node[one], size[one], sketch[one], low[one]
+            short, long = size <= LONG[1], size >= LONG[0]
+            bands = SHORT_HASHES // SHORT_ROWS, LONG_HASHES // LONG_ROWS
+            width = short * bands[0] + long * bands[1]
+            ends = np.cumsum(width)
+            keys = np.zeros(int(width.sum()), np.int64)
+            keys[(ends - width)[short][:, None] + np.arange(bands[0])] = _band_keys(low[short], SHORT_ROWS)
+            keys[ends[long][:, None] - bands[1] + np.arange(bands[1])] = _band_keys(low[long, :LONG_HASHES], LONG_ROWS)
+            listed = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(size, pa.int32()), pa.array(sketch.view(np.int64)), listed], names=["node", "size", "sketch", "keys"])
+
+
+def _near_pairs(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes of each group whose sizes and sketches allow SIMILARITY."""
+    node, size = t.column(2).to_numpy(), t.column(3).to_numpy().astype(np.int64)
+    sketch, probe = t.column(4).to_numpy().view(np.uint64), t.column(5).to_numpy(zero_copy_only=False)
+    count = np.diff(bounds)
+    group = np.repeat(np.arange(len(count)), count)
+    ask = np.flatnonzero(probe & (count[group] > 1))
+    total = np.cumsum(count[group[ask]])
+    for part in np.split(ask, np.searchsorted(total, np.arange(1_000_000, int(total[-1]), 1_000_000)) if len(ask) else []):
+        n = count[group[part]]
         left = np.repeat(part, n)
         right = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[:-1][group[part]], n)
-        near = (own[left] < own[right]) & (np.bitwise_count(sim[left] ^ sim[right]) <= BITS)
-        out_a.append(own[left[near]])
-        out_b.append(own[right[near]])
-    for g in np.flatnonzero(size > 64).tolist():
-        lo, hi = int(bounds[g]), int(bounds[g + 1])
-        bits, names = sim[lo:hi], own[lo:hi]
-        _, label = np.unique(names, return_inverse=True)
-        for i in np.flatnonzero(probe[lo:hi]).tolist():
-            near = np.flatnonzero(np.bitwise_count(bits ^ bits[i]) <= BITS)
-            marks, at = np.unique(label[near], return_index=True)
-            other = marks != label[i]
-            if other.any():
-                out_a.append(np.full(int(other.sum()), names[i]))
-                out_b.append(names[near[at[other]]])
-                label[np.isin(label, marks)] = label[i]
-    if out_a:
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        near = (node[left] != node[right]) & (np.abs(size[left] - size[right]) <= (1 - SIMILARITY) * np.maximum(size[left], size[right]) + 1e-9)
+        left, right = left[near], right[near]
+        near = np.bitwise_count(sketch[left] ^ sketch[right]) <= np.where(np.maximum(size[left], size[right]) <= LONG[1], SHORT_APART, LONG_APART)
+        a, b = node[left[near]], node[right[near]]
         if len(a):
             pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
@@ -270,58 +319,11 @@ def normal(line: str) -> str:
     return b" ".join(line.encode().translate(_PLAIN).split()).decode()
 
 
-def _first_pair(differing: np.ndarray) -> np.ndarray:
-    """The first of the ten block pairs in which two SimHashes agree, by their differing bits."""
-    out = np.full(len(differing), len(PAIRS), np.int64)
-    same = {b: (differing >> np.uint64(b[0])) & np.uint64((1 << (b[1] - b[0])) - 1) == 0 for b in BLOCKS}
-    for k in range(len(PAIRS) - 1, -1, -1):
-        x, y = PAIRS[k]
-        out[same[x] & same[y]] = k
-    return out
-
-
-def _near_text(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Links between near lines of each group whose texts are alike; the groups are one key's.
-
-    Columns: a number (the block pair of the key, or -1), cell, node, sim, norm, probe. With a
-    block pair, two lines are compared only under the first pair that they share.
-    """
-    pair, node, sim = t.column(0).to_numpy(), t.column(2).to_numpy(), t.column(3).to_numpy().view(np.uint64)
-    probe = t.column(5).to_numpy(zero_copy_only=False)
-    out: list[tuple[int, int]] = []
-    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if hi - lo < 2:
-            continue
-        own, names, text = sim[lo:hi], node[lo:hi], None
-        _, label = np.unique(names, return_inverse=True)
-        for i in np.flatnonzero(probe[lo:hi]).tolist():
-            apart = own ^ own[i]
-            near = (label != label[i]) & (np.bitwise_count(apart) <= BITS)
-            if pair[lo] >= 0:
-                near &= _first_pair(apart) == pair[lo]
-            for j in np.flatnonzero(near).tolist():
-                text = text or t.column(4).slice(lo, hi - lo).to_pylist()
-                if label[i] != label[j] and similar(text[i], text[j]):
-                    out.append((int(names[i]), int(names[j])))
-                    label[label == label[j]] = label[i]
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-
-
-def _alike(fetched: DataFrame) -> DataFrame:
-    """(a, b): links between lines (grp, node, sim, norm) that are near and alike.
-
-    A group of up to PIECE lines is compared as a whole. Larger ones are chains of many near
-    lines that are mostly far from each other: their lines meet under their ten keys again.
-    """
-    sizes = fetched.groupBy("grp").agg(F.count("*").alias("n"))
-    large = checkpointed(sizes.where(F.col("n") > PIECE).select("grp"))
-    few = fetched.join(large, "grp", "left_anti").select(F.lit(-1).alias("pair"), F.lit(0).alias("cell"), "node", "sim", "norm", F.lit(True).alias("probe"), F.col("grp").alias("key"))
-    many = fetched.join(large, "grp", "left_semi").select("node", "sim", "norm", F.explode(F.sequence(F.lit(0), F.lit(len(PAIRS) - 1))).alias("pair"))
-    many = grid(many.withColumn("key", block_key(F.col("sim"), F.col("pair"))), "key", F.xxhash64("node"), F.lit(True))
-    both = few.unionByName(many.select("pair", "cell", "node", "sim", "norm", "probe", "key"))
-    dealt = both.repartition("pair", "key", "cell").sortWithinPartitions("pair", "key", "cell")
-    return dealt.mapInArrow(lean(lambda b: streamed(b, columns(0, 6, 1), _near_text)), "a long, b long")
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with their lines, those whose lines are alike."""
+    for batch in batches:
+        ok = pa.array([similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+        yield batch.select([0, 1]).filter(ok)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -336,20 +338,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple
     kind = rows.schema["id"].dataType.simpleString()
     lines = checkpointed(rows.mapInArrow(lean(_lines), f"id {kind}, th long, line int, node long, sim long"))
     nodes = checkpointed(lines.groupBy("node", "sim").agg(F.min(F.struct("id", "line", "th")).alias("first"), F.count("*").alias("n")))
-    # near SimHashes, or equal ones of different lines, make rough groups
-    spread = nodes.select("sim", F.explode(F.sequence(F.lit(0), F.lit(len(PAIRS) - 1))).alias("pair"))
-    key = block_key(F.col("sim"), F.col("pair"))
-    cells = grid(spread.withColumn("key", key), "key", F.xxhash64("sim"), F.lit(True)).select("sim", "pair", "cell", "probe")
-    by_key = lambda t: [_block_key(t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy()), t.column(2).to_numpy()]
-    near = cells.repartition(key, F.col("cell")).sortWithinPartitions(key, "cell").mapInArrow(lean(lambda b: streamed(b, by_key, _near_bits)), "a long, b long")
-    rough = components(near).select(F.col("node").alias("sim"), F.col("root").alias("grp"))
-    shared_sim = nodes.groupBy("sim").agg(F.count("*").alias("c")).where("c > 1").select("sim")
-    rough = rough.join(shared_sim.withColumn("own", F.col("sim")), "sim", "full").select("sim", F.coalesce("grp", "own").alias("grp"))
-    wanted = checkpointed(nodes.join(rough, "sim").select("node", "sim", "grp", "first"))
+    signed = checkpointed(rows.select("text").mapInArrow(lean(_banded), "node long, size int, sketch long, keys array<long>"))
+    cells = grid(signed.select(F.explode("keys").alias("key"), "node", "size", "sketch"), "key", F.xxhash64("node"), F.lit(True))
+    dealt = cells.select("key", "cell", "node", "size", "sketch", "probe").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    near = checkpointed(dealt.mapInArrow(lean(lambda b: streamed(b, columns(0, 1), _near_pairs)), "a long, b long").distinct())
+    asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    wanted = checkpointed(nodes.join(asked, "node").select("node", "sim", "first"))
     asked = spark.sparkContext.broadcast(wanted_filter(wanted, wanted.count()))
     fetched = rows.select("text").mapInArrow(lean(_fetcher(asked)), "node long, norm string").groupBy("node").agg(F.min("norm").alias("norm"))
-    fetched = fetched.join(wanted.select("node", "sim", "grp"), "node").select("grp", "node", "sim", "norm")
-    true = components(_alike(checkpointed(fetched)))
+    fetched = checkpointed(fetched.join(wanted.select("node"), "node"))
+    told = near.join(fetched.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a").join(fetched.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
+    true = components(told.select("a", "b", "x", "y").mapInArrow(lean(_alike), "a long, b long"))
     fuzzy = true.join(wanted.select("node", "sim", "first"), "node")
     best = fuzzy.groupBy("root").agg(F.min("first").alias("keep"))
     fuzzy = fuzzy.join(best, "root").select("node", "sim", "root", "keep")
