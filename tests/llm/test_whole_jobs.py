@@ -46,3 +46,35 @@ def test_line_dedup_equals_brute_force_without_bits(spark, monkeypatch):
     real = lines._line_hashes
     monkeypatch.setattr(lines, "_line_hashes", lambda *a: (*real(*a)[:2], real(*a)[2] * 0))  # all within 3 bits
     assert have == Counter(_brute_lines(rows))
+
+
+def test_near_copy_stage_equals_exact_jaccard(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    rows = []
+    for _ in range(40):
+        own = [f"w{r.randrange(5000)}" for _ in range(r.randrange(40, 200))]
+        rows.append((len(rows), " ".join(own)))
+        for n in (1, 2, 4):
+            other = own.copy()
+            for _ in range(n):
+                other[r.randrange(len(other))] = "changed"
+            rows.append((len(rows), "  ".join(other)))
+    rows += [(1000, ""), (1001, None), (1002, "few words"), (1003, "Few  words"), (1004, "few others"), (None, rows[0][1]), (3, "same id, another text of other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def cut(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    near = [(i, cut(t)) for i, t in rows if i is not None]
+    group = list(range(len(near)))
+    for i, (_, a) in enumerate(near):
+        for j, (_, b) in enumerate(near[:i]):
+            if a == b or (a | b and len(a & b) / len(a | b) >= 0.8):
+                group = [group[j] if g == group[i] else g for g in group]
+    stay = {min(i for (i, _), h in zip(near, group) if h == g) for g in group}
+    got = corpus_pipeline.near_copy_stage(spark, docs, "").collect()
+    assert Counter((x.doc_id, x.text) for x in got) == Counter(x for x in rows if x[0] is None or x[0] in stay)
+    assert len(stay) < 120
