@@ -147,11 +147,11 @@ def candidates(text: str | None) -> Iterator[tuple[int, int, int, bool, tuple[in
     if not text:
         return
     base = base_spans(text)
-    spelled = "@" in text or " dot " in text or "[dot]" in text or "(dot)" in text or " DOT " in text
     for k, kind in enumerate(KINDS):
         own = base[kind]
         spans = [(a, b, True) for a, b in own]
-        if kind != "email" or spelled:
+        # every loose address holds an @, at or AT
+        if kind != "email" or "@" in text or "at" in text or "AT" in text:
             loose = _named(LOOSE[kind], text) if kind == "email" else [m.span() for m in LOOSE[kind].finditer(text)]
             for a, b in loose:
                 at = bisect.bisect_left(own, (b, -1))

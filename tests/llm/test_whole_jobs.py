@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 
-from prismata.llm import lines
+from prismata.llm import lines, pii
 
 from .test_learned_ops import _brute_lines
 
@@ -78,3 +78,10 @@ def test_near_copy_stage_equals_exact_jaccard(spark):
     got = corpus_pipeline.near_copy_stage(spark, docs, "").collect()
     assert Counter((x.doc_id, x.text) for x in got) == Counter(x for x in rows if x[0] is None or x[0] in stay)
     assert len(stay) < 120
+
+
+def test_written_out_addresses_need_no_other_sign():
+    for form in ("jane.doe [at] mail.com", "jane.doe (at) mail.com", "jane.doe at mail.com", "jane.doe AT mail [DOT] com", "jane.doe[at]mail{dot}com", "jane.doe {at} mail[ dot ]com"):
+        text = f"write to {form}"
+        assert [text[a:b] for k, a, b, *_ in pii.candidates(text) if pii.KINDS[k] == "email"] == [form], form
+    assert not list(pii.candidates("a line with nothing of the kind"))
