@@ -1,8 +1,8 @@
 """Fuzzy line deduplication.
 
 A line is normalised to its lower-cased words (0-9, a-z, letters beyond ASCII), joined by
-single spaces; lines of fewer than MIN_WORDS words are left alone. Equal normalised lines
-are one node. Nodes get minima (MinHash) of their grams of GRAM bytes. Those that
+single spaces. Equal normalised lines, however short, are one node; lines without words are
+left alone. Nodes of MIN_WORDS words or MIN_CHARS characters or more get minima (MinHash) of their grams of GRAM bytes. Those that
 share a band of minima, and whose lengths and one-bit minima allow it, are candidates: three
 minima a band in lines of up to 125 characters, four in those of 100 or more, so that any
 two lines of similar lengths meet under one of the two. The edit similarity,
@@ -11,7 +11,8 @@ Of each connected group the first occurrence, by (id, line number), stays and al
 are cut from their texts.
 
 Bands are compared in pieces of bounded size. Only lines of candidate pairs are fetched for
-verification, through a bounded filter. Hot lines are pre-aggregated.
+verification, through a bounded filter. Equal lines are
+pre-aggregated; a group of near variants of one line costs the square of their number.
 
 Nulls: a null text stays null and has no lines; null ids are ordered first. Repeated rows
 (same id, same text) count as one document and are cut alike. A text whose lines all go
@@ -33,6 +34,8 @@ from .components import components
 from .groups import columns, grid, streamed
 
 MIN_WORDS = 5
+#: Characters from which a line of fewer words, as in scripts without spaces, is long enough too.
+MIN_CHARS = 20
 SIMILARITY = 0.8
 #: Bytes of a gram, and minima that a line's signature has.
 GRAM = 5
@@ -51,14 +54,14 @@ _R_INVERSE = pow(_R, -1, 1 << 64)
 
 
 def _line_hashes(data: np.ndarray, bounds: np.ndarray, with_sim: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, node, SimHash) of the lines with enough words; bounds are the lines' offsets."""
+    """(line, node, SimHash) of the lines that have words; bounds are the lines' offsets."""
     words = Words(data, bounds)
     n = len(words.row)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     first = np.flatnonzero(np.append(True, words.row[1:] != words.row[:-1]))
     size = np.diff(np.append(first, n))
-    ok = size >= MIN_WORDS
+    ok = np.ones(len(size), bool)
     step = np.full(n, _R, np.uint64)
     step[0] = 1
     back = np.full(n, _R_INVERSE, np.uint64)
@@ -117,7 +120,7 @@ def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def _grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, size, first, hash): lines with enough words, their characters, where their grams start, all grams."""
+    """(line, size, first, hash): long enough lines, their characters, where their grams start, all grams."""
     words = Words(data, bounds)
     low = LOWER[data]
     inside = ALNUM[low]
@@ -128,7 +131,7 @@ def _grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     plain, at = np.where(inside, low, 32).astype(np.uint8)[stay], sums[bounds]
     chars = np.append(0, np.cumsum((plain & 0xC0) != 0x80))
     size = np.diff(chars[at])
-    line = np.flatnonzero(np.bincount(words.row, minlength=len(size)) >= MIN_WORDS)
+    line = np.flatnonzero((np.bincount(words.row, minlength=len(size)) >= MIN_WORDS) | (size >= MIN_CHARS))
     n = np.diff(at)[line] - GRAM + 1
     first = np.cumsum(n) - n
     place = np.repeat(at[:-1][line] - first, n) + np.arange(int(n.sum()))
@@ -142,7 +145,7 @@ _DRAW = np.random.default_rng(29).integers(1, 1 << 32, (2, SHORT_HASHES), np.uin
 
 
 def _signatures(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, size, sketch, minima) of the lines with enough words."""
+    """(line, size, sketch, minima) of the long enough lines."""
     line, size, first, gram = _grams(data, bounds)
     low = np.zeros((len(line), SHORT_HASHES), np.uint32)
     count = np.diff(np.append(first, len(gram)))
@@ -327,7 +330,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lines, repeated): every long line with its hashes; each line text that repeats.
+    """(lines, repeated): every line with words and its hashes; each line text that repeats.
 
     lines: id, th (hash of the text), line (from 0), node, sim. repeated: node, sim, root
     (equal within a group) and keep, the occurrence (id, line, th) that stays for it.

@@ -85,3 +85,11 @@ def test_written_out_addresses_need_no_other_sign():
         text = f"write to {form}"
         assert [text[a:b] for k, a, b, *_ in pii.candidates(text) if pii.KINDS[k] == "email"] == [form], form
     assert not list(pii.candidates("a line with nothing of the kind"))
+
+
+def test_short_lines_and_lines_without_spaces_are_deduplicated(spark):
+    long = "今日は天気がとても良いので公園まで散歩に行きました、楽しかった。"
+    texts = ["read more\n\n" + long, "Read more!\n\nown", long.replace("公園", "学校") + "\nread less", "ok\n...", "OK\n..."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.text, x.n_removed) for x in lines.dedup(docs, counts=True).collect()}
+    assert got == {0: (texts[0], 0), 1: ("\nown", 1), 2: ("read less", 1), 3: (texts[3], 0), 4: ("...", 1)}
