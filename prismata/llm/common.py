@@ -61,6 +61,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def renamed(out: DataFrame, docs: DataFrame, *added: str) -> DataFrame:
+    """The columns c0, c1, ... of `out` under the names of `docs` and the added ones.
+
+    An added column takes the place of one of `docs` that has its name.
+    """
+    names = [*((k, n) for k, n in enumerate(docs.columns) if n not in added), *((len(docs.columns) + k, n) for k, n in enumerate(added))]
+    return out.select(*[F.col(f"c{k}").alias(n) for k, n in names])
+
+
 def slices(column: pa.Array, limit: int = SCAN_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column of about `limit` bytes each, one row at least."""
     offsets = _offsets(column)
@@ -121,6 +130,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the radix of running hashes, and their inverses."""
+    return _powers_of(_RADIX, n), _powers_of(_INVERSE, n) if n else np.zeros(0, np.uint64)
+
+
 class Words:
     """The words of some rows: byte bounds, row number and 64-bit hash of each."""
 

@@ -1,22 +1,26 @@
 """Fuzzy line deduplication.
 
 A line is normalised to its lower-cased words (0-9, a-z, letters beyond ASCII), joined by
-single spaces. Equal normalised lines, however short, are one node; lines without words are
-left alone. Nodes of MIN_WORDS words or MIN_CHARS characters or more get minima (MinHash) of their grams of GRAM bytes. Those that
-share a band of minima, and whose lengths and one-bit minima allow it, are candidates: three
-minima a band in lines of up to 125 characters, four in those of 100 or more, so that any
-two lines of similar lengths meet under one of the two. The edit similarity,
-1 - distance / longer length, of candidates is computed and must be SIMILARITY or more.
-Of each connected group the first occurrence, by (id, line number), stays and all others
-are cut from their texts.
-
-Bands are compared in pieces of bounded size. Only lines of candidate pairs are fetched for
-verification, through a bounded filter. Equal lines are
-pre-aggregated; a group of near variants of one line costs the square of their number.
-
-Nulls: a null text stays null and has no lines; null ids are ordered first. Repeated rows
-(same id, same text) count as one document and are cut alike. A text whose lines all go
-becomes empty. Empty tables give empty results; other columns pass through unchanged.
+single spaces; its XXH64 names its node, so equal normalised lines, however short, are one
+node. Lines without words are left alone. Nodes of MIN_WORDS words or MIN_CHARS characters
+or more are also compared with each other: those that share a band of minima of their
+features are candidates, and two of them link if their edit similarity, 1 - distance /
+longer length, is SIMILARITY or more. Features are the pairs of neighbouring words, in lines
+of up to SHORT[1] words the single telling words, and in lines of long words (scripts without
+spaces) all runs of GRAM bytes. Of each connected group the first occurrence, by (id, line
+number), stays; all others are cut from their texts.
+
+Candidates are compared leaders first, so a group of near variants costs about its size (see
+minhash). Only lines that share a band with another one are fetched for that, through a
+bounded filter. Occurrences of a frequent line are pre-aggregated, and its cuts are found by
+a broadcast of the few frequent nodes.
+
+Nulls: a null text stays null and has no lines; null ids are ordered first. Very long texts
+are scanned whole, one at a time. Ties cannot occur: (id, line, hash of the text) is unique
+but for repeated rows (same id, same text), which count as one document and are cut alike. A
+text whose lines all go becomes empty. Empty tables give empty results. Other columns pass
+through unchanged, whatever their names; if counts are asked for, n_lines and n_removed take
+the place of columns so named.
 """
 
 from __future__ import annotations
@@ -25,198 +29,133 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, bound_batches, checkpointed, lean, LOWER, mixed, slices, utf8, Words
-from .components import components
-from .groups import columns, grid, streamed
+from . import minhash
+from .common import bound_batches, checkpointed, lean, mixed, powers, renamed, slices, utf8
+from .nodes import BY_LINE, fetched, Lines
 
 MIN_WORDS = 5
 #: Characters from which a line of fewer words, as in scripts without spaces, is long enough too.
 MIN_CHARS = 20
 SIMILARITY = 0.8
-#: Bytes of a gram, and minima that a line's signature has.
-GRAM = 5
-#: In lines of up to LONG[1] characters, and in those of LONG[0] or more: minima of a
-#: signature, minima of a band, and how many of the first 60 one-bit minima may differ
-#: (unrelated lines differ in about half of them).
-LONG = (100, 125)
-SHORT_HASHES, LONG_HASHES = 120, 60
-SHORT_ROWS, LONG_ROWS = 3, 4
-SHORT_APART, LONG_APART = 24, 19
+#: Lines of up to SHORT[1] words are compared by their words, those of SHORT[0] or more by
+#: pairs of words; lines of similar lengths meet under one of the two.
+SHORT = (12, 15)
+#: Bytes of a telling word; lines of SHORT[1] words or less that have so many such words are
+#: compared by these alone, since the frequent short words make unrelated lines alike.
+TELLING, TELLING_WORDS = 5, 4
+#: Mean bytes of a word from which runs of GRAM bytes are a line's features.
+LONG_WORD, GRAM = 20, 6
+#: Bands of a node, and minima of a band: three in lines of few words, four in others.
+BANDS, FEW_ROWS, ROWS = 12, 3, 4
+#: Places of 32 in which the sketches of candidates may differ: 12 on average where half of all
+#: features are common, 24 between unrelated lines.
+APART = 12
+CLOSE = minhash.Close(SIMILARITY, APART)
+#: Pairs whose distances are found at once, and bytes of their bit masks.
+PAIRS, PEQ_BYTES = 2048, 24 << 20
+#: Characters from which a pair is handled alone, on whole numbers of any length.
+ALONE = 1600
+#: Pairs of lines, and their bytes, that a task verifies at once.
+AT_ONCE, AT_ONCE_BYTES = 16_384, 24 << 20
 #: Nodes that a task remembers to have handed on.
 SEEN = 200_000
+#: Occurrences from which a line is frequent, and frequent nodes that may be broadcast.
+FREQUENT, FREQUENT_NODES = 4096, 500_000
 
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INVERSE = pow(_R, -1, 1 << 64)
-
-
-def _line_hashes(data: np.ndarray, bounds: np.ndarray, with_sim: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, node, SimHash) of the lines that have words; bounds are the lines' offsets."""
-    words = Words(data, bounds)
-    n = len(words.row)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    first = np.flatnonzero(np.append(True, words.row[1:] != words.row[:-1]))
-    size = np.diff(np.append(first, n))
-    ok = np.ones(len(size), bool)
-    step = np.full(n, _R, np.uint64)
-    step[0] = 1
-    back = np.full(n, _R_INVERSE, np.uint64)
-    back[0] = 1
+
+
+def _features(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each kind of feature (kind, line, size, first, hashes) of the long enough lines.
+
+    start and end are the bounds of lines in normalised text; sizes are characters.
+    """
+    n = len(text)
+    if not len(start):
+        return
+    radix, back = powers(n)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words.hash * np.multiply.accumulate(step), out=sums[1:])
-    h = mixed((sums[first + size] - sums[first]) * np.multiply.accumulate(back)[first] + size.astype(np.uint64))
-    line, node = words.row[first][ok], h[ok].view(np.int64)
-    if not with_sim or not len(line):
-        return line, node, np.zeros(len(line), np.uint64)
-    # a word counts once a line: else frequent words make long lines look alike
-    pair = mixed(words.hash + words.row.astype(np.uint64) * np.uint64(_R))
-    order = np.argsort(pair)
-    once = np.ones(n, bool)
-    once[order[1:]] = pair[order[1:]] != pair[order[:-1]]
-    once &= np.repeat(ok, size)
-    row, hashes = words.row[once], mixed(words.hash[once])
-    start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-    count = np.diff(np.append(start, len(row)))
-    sim = np.zeros(len(start), np.uint64)
-    for short, kind in ((True, np.uint8), (False, np.int32)):  # bytes hold the sums of up to 255 words
-        of = np.flatnonzero((count <= 255) == short)
-        for part in np.array_split(of, max(1, -(-int(count[of].sum()) // 100_000))) if len(of) else ():
-            if len(part):
-                c = count[part]
-                lead = np.append(0, np.cumsum(c)[:-1])
-                at = np.repeat(start[part] - lead, c) + np.arange(int(c.sum()))
-                bits = np.unpackbits(hashes[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones = np.add.reduceat(bits, lead, axis=0, dtype=kind)
-                sim[part] = np.packbits(ones.astype(np.int32) * 2 > c[:, None], axis=1, bitorder="little").view("<u8").ravel()
-    return line, node, sim
-
-
-def _line_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where lines start, and the end; a text starts a line of its own."""
-    return np.sort(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1, offsets[-1:]]))
-
-
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi in slices(batch.column(2)):
-            part = batch.slice(lo, hi - lo)
-            data, offsets = utf8(part.column(2))
-            breaks = np.flatnonzero(data == 10) + 1
-            bounds = _line_bounds(data, offsets)
-            line, node, sim = _line_hashes(data, bounds)
-            start = bounds[line]
-            doc = np.searchsorted(offsets, start, side="right") - 1
-            number = np.searchsorted(breaks, start, side="right") - np.searchsorted(breaks, offsets[doc], side="right")
-            at = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(number, pa.int32()), pa.array(node), pa.array(sim.view(np.int64))], names=["id", "th", "line", "node", "sim"])
-
-
-def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-
-
-def _grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, size, first, hash): long enough lines, their characters, where their grams start, all grams."""
-    words = Words(data, bounds)
-    low = LOWER[data]
-    inside = ALNUM[low]
-    later = words.start[1:][words.row[1:] == words.row[:-1]]
-    stay = inside.copy()
-    stay[later - 1] = True  # one space between two words
-    sums = np.append(0, np.cumsum(stay))
-    plain, at = np.where(inside, low, 32).astype(np.uint8)[stay], sums[bounds]
-    chars = np.append(0, np.cumsum((plain & 0xC0) != 0x80))
-    size = np.diff(chars[at])
-    line = np.flatnonzero((np.bincount(words.row, minlength=len(size)) >= MIN_WORDS) | (size >= MIN_CHARS))
-    n = np.diff(at)[line] - GRAM + 1
-    first = np.cumsum(n) - n
-    place = np.repeat(at[:-1][line] - first, n) + np.arange(int(n.sum()))
-    gram = np.zeros(len(place), np.uint64)
-    for k in range(GRAM):
-        gram = gram << np.uint64(8) | plain[place + k]
-    return line, size[line], first, (mixed(gram) >> np.uint64(32)).astype(np.uint32)
-
-
-_DRAW = np.random.default_rng(29).integers(1, 1 << 32, (2, SHORT_HASHES), np.uint32)
-
-
-def _signatures(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, size, sketch, minima) of the long enough lines."""
-    line, size, first, gram = _grams(data, bounds)
-    low = np.zeros((len(line), SHORT_HASHES), np.uint32)
-    count = np.diff(np.append(first, len(gram)))
-    short = size <= LONG[1]
-    some = np.cumsum(count[short]) - count[short]
-    for k in range(SHORT_HASHES if len(line) else 0):
-        if k == LONG_HASHES:  # long lines need no more
-            gram, first = gram[np.repeat(short, count)], some
-        if len(first):
-            h = (gram ^ _DRAW[0, k]) * (_DRAW[1, k] | np.uint32(1))
-            h ^= h >> np.uint32(15)
-            low[slice(None) if k < LONG_HASHES else short, k] = np.minimum.reduceat(h, first)
-    bits = np.zeros((len(line), 64), np.uint8)
-    bits[:, :60] = mixed(low[:, :60].ravel()).reshape(-1, 60) & np.uint64(1)
-    return line, size, np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel(), low
-
-
-def _band_keys(low: np.ndarray, rows: int) -> np.ndarray:
-    """A key for each band of `rows` minima."""
-    part = low.reshape(len(low), low.shape[1] // rows, rows).astype(np.uint64)
-    out = np.full(part.shape[:2], rows, np.uint64) + np.arange(part.shape[1], dtype=np.uint64) * np.uint64(64)
-    for k in range(rows):
-        out = mixed(out.ravel()).reshape(out.shape) ^ part[:, :, k]
-    return mixed(out.ravel()).reshape(out.shape).view(np.int64)
-
-
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to (node, size, sketch, keys) of their lines; a task repeats few."""
-    seen: set[int] = set()
-    for batch in batches:
-        for lo, hi in slices(batch.column(0)):
-            data, offsets = utf8(batch.column(0).slice(lo, hi - lo))
-            bounds = _line_bounds(data, offsets)
-            named, node, _ = _line_hashes(data, bounds, with_sim=False)
-            line, size, sketch, low = _signatures(data, bounds)
-            node = node[np.searchsorted(named, line)]
-            _, one = np.unique(node, return_index=True)
-            one = one[[x not in seen for x in node[one].tolist()]] if len(one) else one
-            seen = seen if len(seen) < SEEN else set()
-            seen.update(node[one].tolist())
-            node, size, sketch, low = node[one], size[one], sketch[one], low[one]
-            short, long = size <= LONG[1], size >= LONG[0]
-            bands = SHORT_HASHES // SHORT_ROWS, LONG_HASHES // LONG_ROWS
-            width = short * bands[0] + long * bands[1]
-            ends = np.cumsum(width)
-            keys = np.zeros(int(width.sum()), np.int64)
-            keys[(ends - width)[short][:, None] + np.arange(bands[0])] = _band_keys(low[short], SHORT_ROWS)
-            keys[ends[long][:, None] - bands[1] + np.arange(bands[1])] = _band_keys(low[long, :LONG_HASHES], LONG_ROWS)
-            listed = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(size, pa.int32()), pa.array(sketch.view(np.int64)), listed], names=["node", "size", "sketch", "keys"])
-
-
-def _near_pairs(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes of each group whose sizes and sketches allow SIMILARITY."""
-    node, size = t.column(2).to_numpy(), t.column(3).to_numpy().astype(np.int64)
-    sketch, probe = t.column(4).to_numpy().view(np.uint64), t.column(5).to_numpy(zero_copy_only=False)
-    count = np.diff(bounds)
-    group = np.repeat(np.arange(len(count)), count)
-    ask = np.flatnonzero(probe & (count[group] > 1))
-    total = np.cumsum(count[group[ask]])
-    for part in np.split(ask, np.searchsorted(total, np.arange(1_000_000, int(total[-1]), 1_000_000)) if len(ask) else []):
-        n = count[group[part]]
-        left = np.repeat(part, n)
-        right = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[:-1][group[part]], n)
-        near = (node[left] != node[right]) & (np.abs(size[left] - size[right]) <= (1 - SIMILARITY) * np.maximum(size[left], size[right]) + 1e-9)
-        left, right = left[near], right[near]
-        near = np.bitwise_count(sketch[left] ^ sketch[right]) <= np.where(np.maximum(size[left], size[right]) <= LONG[1], SHORT_APART, LONG_APART)
-        a, b = node[left[near]], node[right[near]]
-        if len(a):
-            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * radix, out=sums[1:])
+    runs = lambda p, q: mixed((sums[q] - sums[p]) * back[p] + (q - p).astype(np.uint64))
+    letter = text > 32
+    # words of the given lines only; no word crosses the bounds of a line
+    inside = np.zeros(n + 1, np.int32)
+    inside[start] += 1
+    inside[end] -= 1
+    inside = np.cumsum(inside[:-1]) > 0
+    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    before[1:], after[:-1] = letter[:-1], letter[1:]
+    left, right = np.flatnonzero(letter & inside & ~before), np.flatnonzero(letter & inside & ~after) + 1
+    line = np.searchsorted(start, left, side="right") - 1
+    words = np.bincount(line, minlength=len(start))
+    chars = np.zeros(n + 1, np.int64)
+    np.cumsum((text & 0xC0) != 0x80, out=chars[1:])
+    size = chars[end] - chars[start]
+    enough = (words >= MIN_WORDS) | (size >= MIN_CHARS)
+    dense = enough & (end - start >= LONG_WORD * words)
+    short, long = enough & ~dense & (words <= SHORT[1]), enough & ~dense & (words >= SHORT[0])
+
+    def kind(number: int, of: np.ndarray, line: np.ndarray, hashes: np.ndarray):
+        first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
+        return number, line[first], size[line[first]], first, hashes
+
+    telling = right - left >= TELLING
+    few = np.bincount(line, weights=telling, minlength=len(start)) < TELLING_WORDS
+    at = np.flatnonzero(short[line] & (telling | few[line]))
+    yield kind(0, short, line[at], runs(left[at], right[at]))
+    at = np.flatnonzero(long[line][:-1] & (line[1:] == line[:-1])) if len(line) else np.zeros(0, np.int64)
+    yield kind(1, long, line[at], runs(left[at], right[at + 1]))
+    if dense.any():
+        at = np.flatnonzero(((text & 0xC0) != 0x80) & inside)
+        of = np.searchsorted(start, at, side="right") - 1
+        at, of = at[dense[of]], of[dense[of]]
+        yield kind(2, dense, of, runs(at, np.minimum(at + GRAM, end[of])))
+
+
+def _scanner(parts: int):
+    """(id, th, text) to rows (part, led, blob) of bands, and rows (id, th, nodes) of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, seen, turn = minhash.Packer(parts, CLOSE), set(), 0
+        kinds = None
+
+        def packed(found: list) -> pa.RecordBatch:
+            columns = minhash.blobs(found)
+            return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(found), kinds[0]), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.list_(pa.int64()))], names=["part", "led", "blob", "id", "th", "nodes"])
+
+        for batch in batches:
+            kinds = batch.schema.types
+            for lo, hi in slices(batch.column(2)):
+                part = batch.slice(lo, hi - lo)
+                own = Lines(*utf8(part.column(2)))
+                node = own.nodes()
+                whole, named = np.zeros(len(own.start), np.int64), np.zeros(len(own.start), bool)
+                whole[own.some], named[own.some] = node, True
+                listed = pa.ListArray.from_arrays(pa.array(own.first, pa.int32()), pa.array(whole, mask=~named))
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array((turn + np.arange(n)) % parts, pa.int32()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), part.column(0), part.column(1), listed], names=["part", "led", "blob", "id", "th", "nodes"])
+                turn += n
+                _, one = np.unique(node, return_index=True)
+                one = np.sort(one)
+                one = one[[x not in seen for x in node[one].tolist()]] if len(one) else one
+                seen = seen if len(seen) < SEEN else set()
+                seen.update(node[one].tolist())
+                at = own.some[one]
+                for kind, line, size, first, hashes in _features(own.text, own.start[at], own.end[at]):
+                    width = FEW_ROWS if kind == 0 else ROWS
+                    low = minhash.minima(hashes, first, BANDS * width)
+                    found = packer.add(minhash.band_keys(low, width, kind), node[one][line], size, minhash.sketches(low)) if len(line) else []
+                    if found:
+                        yield packed(found)
+        found = packer.flush()
+        if found:
+            yield packed(found)
+
+    return run
 
 
 def _common(a: str, b: str) -> int:
@@ -230,16 +169,24 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
-def distance(a: str, b: str) -> int:
-    """Edit distance; bit-parallel over the shorter string, without the common ends."""
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """Two strings without their common ends."""
     k = _common(a, b)
     a, b = a[k:], b[k:]
     k = _common(a[::-1], b[::-1])
-    a, b = a[: len(a) - k], b[: len(b) - k]
+    return a[: len(a) - k], b[: len(b) - k]
+
+
+def distance(a: str, b: str) -> int:
+    """Edit distance; bit-parallel over the shorter string, without the common ends."""
+    a, b = _trimmed(a, b)
     if len(a) > len(b):
         a, b = b, a
-    if not a:
-        return len(b)
+    return _steps(a, b) if a else len(b)
+
+
+def _steps(a: str, b: str) -> int:
+    """Edit distance of a, which is not empty, and b."""
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
@@ -258,130 +205,190 @@ def distance(a: str, b: str) -> int:
     return score
 
 
-def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    longer = max(len(a), len(b))
-    room = (1 - least) * longer + 1e-9
-    return abs(len(a) - len(b)) <= room and distance(a, b) <= room
-
-
-#: Bits of a node's number that choose its block in the filter of wanted nodes, and its bits there.
-FILTER_AT = 20
-FILTER_BITS = (0, 6, 12, 40, 46, 52, 58)
-FILTER_BLOCKS = 1 << 20
+def within(pairs: list[tuple[str, str]], room: np.ndarray) -> np.ndarray:
+    """Which pairs have an edit distance of `room` or less: bit-parallel, many pairs at once.
 
-
-def wanted_filter(nodes: DataFrame, count: int) -> np.ndarray:
-    """A blocked Bloom filter of the column node, of a bounded size: blocks x seven words.
-
-    Its blocks are made by one bit_or aggregate; what it lets through is joined exactly.
+    Common ends are cut off, which decides many pairs; the others are handled in pieces of
+    similar length and bounded memory, a matrix column for each pair, but for very long ones.
     """
-    blocks = min(FILTER_BLOCKS, 1 << max(4, (count // 8).bit_length()))
-    one = F.lit(1).cast("long")
-    bit = lambda at: F.call_function("shiftleft", one, F.shiftrightunsigned("node", at).bitwiseAND(F.lit(63)).cast("int"))
-    block = F.shiftrightunsigned("node", FILTER_AT).bitwiseAND(F.lit(blocks - 1))
-    rows = nodes.groupBy(block.alias("block")).agg(*[F.bit_or(bit(at)).alias(f"w{k}") for k, at in enumerate(FILTER_BITS)]).toArrow()
-    out = np.zeros((blocks, len(FILTER_BITS)), np.int64)
-    out[rows.column("block").to_numpy()] = np.stack([rows.column(f"w{k}").to_numpy() for k in range(len(FILTER_BITS))], axis=1) if rows.num_rows else 0
-    return out.view(np.uint64)
-
-
-def _passes(table: np.ndarray, node: np.ndarray) -> np.ndarray:
-    n = node.view(np.uint64)
-    block = ((n >> np.uint64(FILTER_AT)) & np.uint64(len(table) - 1)).astype(np.int64)
-    ok = np.ones(len(n), bool)
-    for k, at in enumerate(FILTER_BITS):
-        ok &= (table[block, k] >> ((n >> np.uint64(at)) & np.uint64(63))) & np.uint64(1) == 1
-    return ok
-
-
-def _fetcher(shared):
-    """Texts to the normalised lines, once a batch, whose node may be wanted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            for lo, hi in slices(batch.column(0)):
-                data, offsets = utf8(batch.column(0).slice(lo, hi - lo))
-                bounds = _line_bounds(data, offsets)
-                line, node, _ = _line_hashes(data, bounds, with_sim=False)
-                at = np.flatnonzero(_passes(table, node))
-                _, one = np.unique(node[at], return_index=True)
-                at = at[one]
-                raw = data.tobytes()
-                text = [normal(raw[bounds[k] : bounds[k + 1]].decode()) for k in line[at].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(text, pa.string())], names=["node", "norm"])
-
-    return run
+    out = np.zeros(len(pairs), bool)
+    hard = []
+    for k, (a, b) in enumerate(pairs):
+        if abs(len(a) - len(b)) > room[k]:
+            continue
+        a, b = _trimmed(a, b)
+        if len(a) > len(b):
+            a, b = b, a
+        if len(b) <= room[k]:
+            out[k] = True
+        elif len(a) > ALONE:
+            out[k] = _steps(a, b) <= room[k]
+        elif a:
+            hard.append((k, a, b))
+    hard.sort(key=lambda x: (len(x[1]), len(x[2])))
+    while hard:
+        # pieces are cut from the long end, so that the first pair tells the size of all
+        cells = (-(-len(hard[-1][1]) // 64)) * (len({c for _, a, _ in hard[-PAIRS:] for c in a}) + 1)
+        part = hard[-max(1, min(PAIRS, PEQ_BYTES // (8 * cells))) :]
+        del hard[-len(part) :]
+        at = np.array([x[0] for x in part])
+        out[at] = _banded([x[1] for x in part], [x[2] for x in part], room[at])
+    return out
+
+
+def _points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+
+
+def _banded(short: list[str], long: list[str], room: np.ndarray) -> np.ndarray:
+    """Which pairs are at most their room apart: blocks of 64 rows, those near the diagonal only.
+
+    What lies outside the band is taken as its upper bound, so a distance within the room is exact.
+    """
+    n, m, t = len(short), np.array([len(x) for x in short]), np.array([len(x) for x in long])
+    words, band = -(-int(m.max()) // 64), int(room.max()) + 1
+    chars, code = np.unique(_points(short), return_inverse=True)
+    pair, place = np.repeat(np.arange(n), m), np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+    where = np.zeros(((len(chars) + 1) * words, n), np.uint64)  # the last character stands for all others
+    np.bitwise_or.at(where, (code * words + place // 64, pair), np.uint64(1) << (place % 64).astype(np.uint64))
+    there = _points(long)
+    at = np.minimum(np.searchsorted(chars, there), len(chars) - 1)
+    told = np.full((int(t.max()), n), len(chars) * words)
+    told[np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t), np.repeat(np.arange(n), t)] = np.where(chars[at] == there, at, len(chars)) * words
+    told = told * n + np.arange(n)
+    where = where.ravel()
+    one = np.uint64(1)
+    own_last = (m - 1) // 64
+    end = [np.where(own_last == w, (m - 1) % 64, 63).astype(np.uint64) for w in range(words)]
+    up, down = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    score = np.zeros((words, n), np.int64)  # at the last row of each block
+    score[0] = end[0] + one
+    active, out = 1, np.full(n, 1 << 40)
+    closing = [np.flatnonzero(t == j + 1) for j in range(len(told))]
+    for j in range(len(told)):
+        while active < words and 64 * active <= j + band:
+            score[active] = score[active - 1] + (end[active] + one).astype(np.int64)
+            active += 1
+        first = max(0, (j - band) // 64)
+        plus, minus = np.ones(n, np.uint64), np.zeros(n, np.uint64)
+        for w in range(min(first, active - 1), active):
+            eq, pv, mv = where[told[j] + w * n], up[w], down[w]
+            xv = eq | mv
+            eq |= minus
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            plus_out, minus_out = (ph >> end[w]) & one, (mh >> end[w]) & one
+            ph, mh = ph << one | plus, mh << one | minus
+            up[w], down[w] = mh | ~(xv | ph), ph & xv
+            plus, minus = plus_out, minus_out
+            score[w] += (plus - minus).view(np.int64)
+        if len(closing[j]):
+            done = closing[j]
+            out[done] = np.where(own_last[done] < active, score[own_last[done], done], 1 << 40)
+    return out <= room
 
 
-_PLAIN = np.where(ALNUM[LOWER], LOWER, 32).astype(np.uint8).tobytes()
+def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
+    longer = max(len(a), len(b))
+    room = (1 - least) * longer + 1e-9
+    return abs(len(a) - len(b)) <= room and distance(a, b) <= room
 
 
 def normal(line: str) -> str:
     """The lower-cased words of a line, joined by single spaces."""
-    return b" ".join(line.encode().translate(_PLAIN).split()).decode()
+    return b" ".join(line.encode().translate(BY_LINE.tobytes()).split()).decode()
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with their lines, those whose lines are alike."""
+    """Of pairs with their lines, those whose lines are alike; many at once, since that is faster."""
+
+    def told(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        both = list(zip(table.column(2).to_pylist(), table.column(3).to_pylist()))
+        room = (1 - SIMILARITY) * np.array([max(len(x), len(y)) for x, y in both]) + 1e-9
+        kept = table.select([0, 1]).filter(pa.array(within(both, room))).combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array(c.to_numpy()) for c in kept.columns], names=kept.column_names)
+
+    held, rows, size = [], 0, 0
     for batch in batches:
-        ok = pa.array([similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
-        yield batch.select([0, 1]).filter(ok)
+        held, rows, size = [*held, batch], rows + batch.num_rows, size + batch.nbytes
+        if rows >= AT_ONCE or size >= AT_ONCE_BYTES:
+            yield told(held)
+            held, rows, size = [], 0, 0
+    if rows:
+        yield told(held)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lines, repeated): every line with words and its hashes; each line text that repeats.
+    """(lines, repeated): every line that has words; each node that repeats.
 
-    lines: id, th (hash of the text), line (from 0), node, sim. repeated: node, sim, root
-    (equal within a group) and keep, the occurrence (id, line, th) that stays for it.
+    lines: id, th (hash of the text), line (from 0), node. repeated: node, root (equal within
+    a group), n (occurrences) and keep, the occurrence (id, line, th) that stays for it.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    rows = keyed(docs, id_col, text)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    lines = checkpointed(rows.mapInArrow(lean(_lines), f"id {kind}, th long, line int, node long, sim long"))
-    nodes = checkpointed(lines.groupBy("node", "sim").agg(F.min(F.struct("id", "line", "th")).alias("first"), F.count("*").alias("n")))
-    signed = checkpointed(rows.select("text").mapInArrow(lean(_banded), "node long, size int, sketch long, keys array<long>"))
-    cells = grid(signed.select(F.explode("keys").alias("key"), "node", "size", "sketch"), "key", F.xxhash64("node"), F.lit(True))
-    dealt = cells.select("key", "cell", "node", "size", "sketch", "probe").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    near = checkpointed(dealt.mapInArrow(lean(lambda b: streamed(b, columns(0, 1), _near_pairs)), "a long, b long").distinct())
-    asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    wanted = checkpointed(nodes.join(asked, "node").select("node", "sim", "first"))
-    asked = spark.sparkContext.broadcast(wanted_filter(wanted, wanted.count()))
-    fetched = rows.select("text").mapInArrow(lean(_fetcher(asked)), "node long, norm string").groupBy("node").agg(F.min("norm").alias("norm"))
-    fetched = checkpointed(fetched.join(wanted.select("node"), "node"))
-    told = near.join(fetched.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a").join(fetched.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
-    true = components(told.select("a", "b", "x", "y").mapInArrow(lean(_alike), "a long, b long"))
-    fuzzy = true.join(wanted.select("node", "sim", "first"), "node")
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scanned = rows.select("id", "th", "text").mapInArrow(lean(_scanner(parts)), f"part int, led boolean, blob binary, id {kind}, th long, nodes array<long>")
+    told = scanned.repartition("part").sortWithinPartitions("part").mapInArrow(lean(minhash.collected(CLOSE)), f"id {kind}, th long, nodes array<long>, {minhash.CELLS}")
+    told = checkpointed(told)
+    cells = told.where("key is not null").select(*minhash.names())
+    roots = minhash.linked(cells, fetched(rows.select("text"), cells), CLOSE, _alike)
+    lines = told.where("nodes is not null").select("id", "th", F.posexplode("nodes").alias("line", "node")).where("node is not null")
+    nodes = lines.groupBy("node").agg(F.min(F.struct("id", "line", "th")).alias("first"), F.count("*").alias("n"))
+    nodes = checkpointed(nodes.join(roots, "node", "left").where("n > 1 or root is not null"))
+    fuzzy = nodes.where("root is not null")
     best = fuzzy.groupBy("root").agg(F.min("first").alias("keep"))
-    fuzzy = fuzzy.join(best, "root").select("node", "sim", "root", "keep")
-    equal = nodes.where("n > 1").join(true.select("node"), "node", "left_anti").select("node", "sim", F.col("node").alias("root"), F.col("first").alias("keep"))
-    return lines, equal.unionByName(fuzzy)
+    fuzzy = fuzzy.join(best, "root").select("node", "root", "n", "keep")
+    return lines, nodes.where("root is null").select("node", F.col("node").alias("root"), "n", F.col("first").alias("keep")).unionByName(fuzzy)
+
+
+def _gone(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(id, th, gone): the numbers of the lines that a text loses."""
+    repeated = checkpointed(repeated.select("node", "n", "keep"))
+    frequent = repeated.where(F.col("n") >= FREQUENT).select("node", "keep")
+    rare = repeated.where(F.col("n") < FREQUENT).select("node", "keep")
+    met = lines.join(rare, "node")
+    if 0 < frequent.count() <= FREQUENT_NODES:
+        often = lines.join(F.broadcast(frequent), "node")
+        # else all lines, the frequent ones too, would move for the rare ones
+        met = lines.join(F.broadcast(frequent), "node", "left_anti").join(rare, "node").unionByName(often)
+    else:
+        met = lines.join(repeated.select("node", "keep"), "node")
+    other = ~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("line") == F.col("keep.line")) & (F.col("th") == F.col("keep.th")))
+    return met.where(other).groupBy("id", "th").agg(F.collect_set("line").alias("gone"))
+
 
+def _cut(text_at: int, gone_at: int):
+    """Rows with the numbers of the lines that go to rows without these lines, and two counts."""
 
-def _cut(text_at: int, drop_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, drops = batch.column(text_at).to_pylist(), batch.column(drop_at).to_pylist()
-            total = []
-            for i, drop in enumerate(drops):
-                total.append(0 if texts[i] is None else texts[i].count("\n") + 1)
-                if drop:
-                    gone = set(drop)
-                    texts[i] = "\n".join([x for k, x in enumerate(texts[i].split("\n")) if k not in gone])
-            cols = [pa.array(texts, pa.string()) if k == text_at else c for k, c in enumerate(batch.columns) if k != drop_at]
-            cols += [pa.array(total, pa.int64()), pa.array([len(set(d)) if d else 0 for d in drops], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[f"c{k}" for k in range(len(cols))])
+            texts, gone = batch.column(text_at), batch.column(gone_at)
+            total = pc.fill_null(pc.add(pc.count_substring(texts, "\n"), 1), 0).cast(pa.int64())
+            fewer = pc.fill_null(pc.list_value_length(gone), 0).cast(pa.int64())
+            touched = pc.greater(fewer, 0)
+            kept = []
+            for text, numbers in zip(texts.filter(touched).to_pylist(), gone.filter(touched).to_pylist()):
+                own = set(numbers)
+                kept.append("\n".join([x for k, x in enumerate(text.split("\n")) if k not in own]))
+            texts = pc.replace_with_mask(texts, touched, pa.array(kept, texts.type))
+            cols = [texts if k == text_at else c for k, c in enumerate(batch.columns) if k != gone_at]
+            yield pa.RecordBatch.from_arrays([*cols, total, fewer], names=[f"c{k}" for k in range(len(cols) + 2)])
 
     return run
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
     """`docs` without the lines that repeat an earlier one; with n_lines and n_removed if asked."""
-    lines, repeated = groups(docs, id_col, text)
-    gone = lines.join(repeated, ["node", "sim"]).where(~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("line") == F.col("keep.line")) & (F.col("th") == F.col("keep.th"))))
-    by_doc = gone.groupBy(F.col("id").alias("_g_id"), F.col("th").alias("_g_th")).agg(F.collect_set("line").alias("_g_lines"))
-    out = docs.join(by_doc, docs[id_col].eqNullSafe(by_doc["_g_id"]) & (F.xxhash64(docs[text]) == by_doc["_g_th"]), "left").select(*[docs[c] for c in docs.columns], "_g_lines")
-    schema = T.StructType([*[T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)], T.StructField(f"c{len(docs.columns)}", T.LongType()), T.StructField(f"c{len(docs.columns) + 1}", T.LongType())])
-    cut = out.mapInArrow(lean(_cut(docs.columns.index(text), len(docs.columns))), schema).toDF(*docs.columns, "n_lines", "n_removed")
-    return cut if counts else cut.select(*docs.columns)
+    gone = _gone(*groups(docs, id_col, text)).hint("shuffle_hash")
+    width = len(docs.columns)
+    rows = docs.toDF(*[f"c{k}" for k in range(width)])
+    own_id, own_text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text)}"
+    met = rows.join(gone, rows[own_id].eqNullSafe(gone["id"]) & (F.xxhash64(rows[own_text]) == gone["th"]), "left").select(*rows.columns, "gone")
+    schema = T.StructType([*rows.schema.fields, T.StructField(f"c{width}", T.LongType()), T.StructField(f"c{width + 1}", T.LongType())])
+    cut = met.mapInArrow(lean(_cut(docs.columns.index(text), width)), schema)
+    if counts:
+        return renamed(cut, docs, "n_lines", "n_removed")
+    return cut.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(docs.columns)])
