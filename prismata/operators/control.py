@@ -44,9 +44,10 @@ def no_progress(steps: DataFrame, session: str, order: str, key: str, repeats: i
     return own.withColumn("halted", F.max(F.col("_run") >= repeats).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_island", "_run")
 
 
-def compacted(results: DataFrame, session: str, order: str, keep: int = 2, width: int = 120) -> DataFrame:
+def compacted(results: DataFrame, session: str, order: str | list[str], keep: int = 2, width: int = 120) -> DataFrame:
     """Tool results, all but the last `keep` of a session cut to one line of `width`."""
-    late = F.row_number().over(Window.partitionBy(session).orderBy(F.desc(order)))
+    by = [order] if isinstance(order, str) else order
+    late = F.row_number().over(Window.partitionBy(session).orderBy(*[F.desc(x) for x in by]))
     one_line = clip(F.trim(F.regexp_replace("text", r"\s+", " ")), width)
     return results.withColumn("r", late).withColumn("text", F.when(F.col("r") <= keep, F.col("text")).otherwise(one_line)).drop("r")
 
@@ -79,7 +80,8 @@ def ledger_row(answers: DataFrame, input_price: float, output_price: float) -> D
     """Answers as ledger rows: clipped texts, estimated cost as decimal(12,6)."""
     ell = lambda c, n: F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 1), F.lit("…"))).otherwise(F.col(c))
     cost = (F.col("prompt_tokens") * F.lit(input_price) + F.col("completion_tokens") * F.lit(output_price)) / F.lit(1_000_000)
-    return answers.withColumns({"question": ell("question", 512), "refusal_reason": ell("refusal_reason", 512), "cost": cost.cast("decimal(12,6)")})
+    clipped = {"question": 512, "route_json": 1024, "refusal_reason": 512}
+    return answers.withColumns({**{c: ell(c, n) for c, n in clipped.items() if c in answers.columns}, "cost": cost.cast("decimal(12,6)")})
 
 
 def cached(answers: DataFrame, key: str, at: str, ttl_minutes: int = 1440) -> DataFrame:
@@ -206,14 +208,21 @@ def repository_tools(symbols: DataFrame, files: DataFrame, calls: DataFrame, rel
 
     tools = Tools()
     tools.add("findDefinition", lambda name: lookup.with_file(symbols.where(F.col("id").isin(*ids(name))), files))
-    tools.add("findCallers", lambda name: lookup.callers(symbols, files, calls, F.col("callee_symbol_id").isin(*ids(name))).limit(200))
-    tools.add("findCallees", lambda name: lookup.callees(symbols, files, calls, F.col("caller_symbol_id").isin(*ids(name))).limit(200))
+    tools.add("findCallers", lambda name: lookup.callers(symbols, files, calls, F.col("callee_symbol_id").isin(*ids(name)), 200))
+    tools.add("findCallees", lambda name: lookup.callees(symbols, files, calls, F.col("caller_symbol_id").isin(*ids(name)), 200))
     tools.add("findImplementations", lambda name: lookup.implementations(symbols, files, relations, F.col("super_symbol_id").isin(*ids(name))))
     tools.add("readSymbol", lambda name: numbered_source(chunks.where(F.col("symbol_id").isin(*ids(name)[:3]))))
-    tools.add("textSearch", lambda query: retrieval.search(chunks, query, 5))
+    tools.add("textSearch", lambda query: snippets(retrieval.search(chunks, query, 5), chunks))
     return tools
 
 
+def snippets(hits: DataFrame, chunks: DataFrame, most_chars: int = 1600, most_lines: int = 40) -> DataFrame:
+    """Hits with their places, of `most_lines` lines at most, and the beginnings of their texts."""
+    own = hits.join(chunks.select("id", "start_line", "end_line", "content"), "id")
+    last = F.least("end_line", F.col("start_line") + most_lines - 1)
+    return own.select("id", "file_path", "start_line", last.alias("end_line"), F.substring("content", 1, most_chars).alias("content"), "score").orderBy(F.desc("score"), "id")
+
+
 def numbered_source(chunks: DataFrame, most: int = 160) -> DataFrame:
     """Chunk texts with `line: ` before each line, `most` lines each."""
     own = F.slice(lines(F.col("content")), 1, most)

@@ -60,9 +60,11 @@ def repaired(checked: DataFrame, chunks: DataFrame) -> DataFrame:
     c = chunks.select(F.col("question_id").alias("q"), normal_path(F.col("file_path")).alias("cp"), F.col("start_line").alias("cs"), F.col("end_line").alias("ce"), F.col("rank").alias("cr"))
     own = checked.withColumn("np", normal_path(F.col("file")))
     near = F.when(F.col("failure") == "LINE_OUT_OF_RANGE", F.col("cp") == F.col("np")).when(F.col("failure") == "FILE_NOT_FOUND", F.col("cp").endswith(F.col("np")) | F.col("np").endswith(F.col("cp"))).otherwise(F.lit(False))
-    found = own.where(F.col("failure").isin("LINE_OUT_OF_RANGE", "FILE_NOT_FOUND")).join(c, (F.col("question_id") == F.col("q")) & near)
-    first = found.groupBy("id").agg(F.min_by(F.struct("cp", "cs", "ce"), "cr").alias("m"))
-    out = own.join(first, "id", "left")
+    # what is cited in one question fails and is mended alike, however often it is cited
+    by = ["question_id", "np", "failure"]
+    asked = own.where(F.col("failure").isin("LINE_OUT_OF_RANGE", "FILE_NOT_FOUND")).select(*by).distinct()
+    first = asked.join(c, (F.col("question_id") == F.col("q")) & near).groupBy(*by).agg(F.min_by(F.struct("cp", "cs", "ce"), "cr").alias("m"))
+    out = own.join(first, by, "left")
     ok, fixed = F.col("failure") == "OK", F.col("m").isNotNull()
     action = F.when(ok, "KEPT").when(fixed & (F.col("failure") == "LINE_OUT_OF_RANGE"), "RANGE_FIXED").when(fixed, "PATH_FIXED").otherwise("DROPPED")
     pick = lambda a, b: F.when(ok | ~fixed, F.col(a)).otherwise(F.col(f"m.{b}"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import checkpointed
+
 
 def direct_callers(calls: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, node): distinct callers one hop away; seeds has a column seed."""
@@ -12,21 +14,34 @@ def direct_callers(calls: DataFrame, seeds: DataFrame) -> DataFrame:
     return edges.join(seeds, "seed").where("node <> seed").distinct()
 
 
-def reverse_search(calls: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
-    """(seed, node, hops): all transitive callers up to `depth`, at their least distance.
+def _levels(calls: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(seed, node, hops, line): transitive callers at their least distance, and the least
+    line at which each calls a node that is one hop nearer.
 
-    Level by level: the frontier joins the edges, distinct nodes that were visited drop out.
-    The depth bounds the plan; nothing is collected.
+    Calls are first reduced to one row a pair, so that a frequent call moves once. Level by
+    level the frontier joins them, and what was reached before drops out; each level but the
+    last is cut off by a checkpoint, so the plan does not grow with the depth.
     """
-    edges = calls.where("callee_symbol_id is not null and caller_symbol_id <> callee_symbol_id").select(F.col("callee_symbol_id").alias("at"), F.col("caller_symbol_id").alias("node")).distinct()
-    frontier = seeds.select("seed", F.col("seed").alias("at"))
-    seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops")).distinct()
+    own = calls.where("callee_symbol_id is not null and caller_symbol_id <> callee_symbol_id")
+    steps = own.groupBy(F.col("callee_symbol_id").alias("at"), F.col("caller_symbol_id").alias("node")).agg(F.min("call_line").alias("line"))
+    if depth > 1:
+        steps = checkpointed(steps)
+    start = seeds.select("seed").distinct()
+    frontier = start.select("seed", F.col("seed").alias("at"))
+    seen, out = start.select("seed", F.col("seed").alias("node")), None
     for d in range(1, depth + 1):
-        reached = frontier.join(edges, "at").select("seed", "node").distinct()
-        new = reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
-        seen = seen.unionByName(new.withColumn("hops", F.lit(d)))
+        reached = frontier.join(steps, "at").groupBy("seed", "node").agg(F.min("line").alias("line"))
+        new = reached.join(seen, ["seed", "node"], "left_anti").select("seed", "node", F.lit(d).alias("hops"), "line")
+        new = checkpointed(new) if d < depth else new
+        out = new if out is None else out.unionByName(new)
+        seen = seen.unionByName(new.select("seed", "node"))
         frontier = new.select("seed", F.col("node").alias("at"))
-    return seen.where("hops > 0")
+    return out
+
+
+def reverse_search(calls: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
+    """(seed, node, hops): all transitive callers up to `depth`, at their least distance."""
+    return _levels(calls, seeds, depth).select("seed", "node", "hops")
 
 
 def chain_only(calls: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
@@ -36,14 +51,13 @@ def chain_only(calls: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
 
 
 def chain_call_sites(calls: DataFrame, symbols: DataFrame, files: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
-    """(seed, site, callers): the first call site of every transitive caller, as path:line."""
-    found = reverse_search(calls, seeds, depth)
-    near = found.select("seed", F.col("node").alias("callee_symbol_id"), "hops").unionByName(seeds.select("seed", F.col("seed").alias("callee_symbol_id"), F.lit(0).alias("hops")))
-    names = symbols.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select(F.col("id").alias("caller_symbol_id"), "qualified_name", "path")
-    sites = near.join(calls.where("callee_symbol_id is not null"), "callee_symbol_id").select("seed", "hops", "caller_symbol_id", "call_line")
-    steps = sites.join(found.select("seed", F.col("node").alias("caller_symbol_id"), F.col("hops").alias("own")), ["seed", "caller_symbol_id"]).where("own = hops + 1").join(names, "caller_symbol_id")
-    first = steps.withColumn("r", F.row_number().over(Window.partitionBy("seed", "caller_symbol_id").orderBy("path", "call_line"))).where("r = 1")
-    return first.groupBy("seed", F.concat_ws(":", "path", F.col("call_line").cast("string")).alias("site")).agg(F.array_join(F.array_sort(F.collect_set("qualified_name")), ",").alias("callers"))
+    """(seed, site, callers): the first call site of every transitive caller, as path:line.
+
+    All calls of a caller stand in its own file, so the first site is that of the least line.
+    """
+    names = symbols.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select(F.col("id").alias("node"), "qualified_name", "path")
+    sites = _levels(calls, seeds, depth).join(names, "node").select("seed", F.concat_ws(":", "path", F.col("line").cast("string")).alias("site"), "qualified_name")
+    return sites.groupBy("seed", "site").agg(F.array_join(F.array_sort(F.collect_set("qualified_name")), ",").alias("callers"))
 
 
 def sampled(pool: DataFrame, key: str, seed: int, n: int) -> DataFrame:

@@ -93,21 +93,29 @@ def _side(symbols: DataFrame, files: DataFrame, side: str) -> DataFrame:
     return with_file(symbols, files).select(F.col("id").alias(f"{side}_symbol_id"), F.col("qualified_name").alias(f"{side}_name"), F.col("path").alias(f"{side}_path"))
 
 
-def callers(symbols: DataFrame, files: DataFrame, calls: DataFrame, callee: Column) -> DataFrame:
-    """Call sites of the chosen callees (a condition on callee_symbol_id), by path and line."""
-    own = calls.where("callee_symbol_id is not null").where(callee)
-    return own.join(_side(symbols, files, "caller"), "caller_symbol_id").select("callee_symbol_id", "caller_symbol_id", "caller_name", "caller_path", "call_line").orderBy("callee_symbol_id", "caller_path", "call_line", "caller_symbol_id")
+def _first(rows: DataFrame, limit: int | None, *order: str) -> DataFrame:
+    """The first rows in order; a whole result is left unsorted, since that would move it once more."""
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
 
 
-def callees(symbols: DataFrame, files: DataFrame, calls: DataFrame, caller: Column) -> DataFrame:
+def callers(symbols: DataFrame, files: DataFrame, calls: DataFrame, callee: Column | None = None, limit: int | None = None) -> DataFrame:
+    """Call sites of the chosen callees (a condition on callee_symbol_id); with a limit, by path and line."""
+    own = calls.where("callee_symbol_id is not null")
+    own = own if callee is None else own.where(callee)
+    out = own.join(_side(symbols, files, "caller"), "caller_symbol_id").select("callee_symbol_id", "caller_symbol_id", "caller_name", "caller_path", "call_line")
+    return _first(out, limit, "callee_symbol_id", "caller_path", "call_line", "caller_symbol_id")
+
+
+def callees(symbols: DataFrame, files: DataFrame, calls: DataFrame, caller: Column | None = None, limit: int | None = None) -> DataFrame:
     """What the chosen callers call; unresolved calls stay, with their reason."""
-    own = calls.where(caller).join(_side(symbols, files, "caller"), "caller_symbol_id")
-    return own.join(_side(symbols, files, "callee"), "callee_symbol_id", "left").select("caller_symbol_id", "caller_path", "call_line", "callee_symbol_id", "callee_name", "callee_path", "callee_raw", "resolved", "reason").orderBy("caller_symbol_id", "call_line", "callee_raw")
+    own = (calls if caller is None else calls.where(caller)).join(_side(symbols, files, "caller"), "caller_symbol_id")
+    out = own.join(_side(symbols, files, "callee"), "callee_symbol_id", "left").select("caller_symbol_id", "caller_path", "call_line", "callee_symbol_id", "callee_name", "callee_path", "callee_raw", "resolved", "reason")
+    return _first(out, limit, "caller_symbol_id", "call_line", "callee_raw")
 
 
-def implementations(symbols: DataFrame, files: DataFrame, relations: DataFrame, super_type: Column) -> DataFrame:
-    own = relations.where(super_type).join(symbols.withColumnRenamed("id", "sub_symbol_id").drop("kind"), "sub_symbol_id")
-    return with_file(own, files).select("super_symbol_id", "sub_symbol_id", "qualified_name", "path", "kind").orderBy("super_symbol_id", "qualified_name")
+def implementations(symbols: DataFrame, files: DataFrame, relations: DataFrame, super_type: Column | None = None, limit: int | None = None) -> DataFrame:
+    own = (relations if super_type is None else relations.where(super_type)).join(symbols.withColumnRenamed("id", "sub_symbol_id").drop("kind"), "sub_symbol_id")
+    return _first(with_file(own, files).select("super_symbol_id", "sub_symbol_id", "qualified_name", "path", "kind"), limit, "super_symbol_id", "qualified_name")
 
 
 def resolve_type(symbols: DataFrame, name: str) -> DataFrame:

@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import relaxed, tokens
+from .checkpoints import checkpointed
 
 #: Characters of a text that are embedded, of stored text and query alike.
 EMBED_CHARS = 6000
@@ -52,22 +54,60 @@ def search(chunks: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return precise if not precise.isEmpty() else search_phrases(chunks, row["r"], False, capped)
 
 
-def search_batch(chunks: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
+def search_batch(chunks: DataFrame, queries: DataFrame, top: int = 5, block: int = 512) -> DataFrame:
     """(query_id, id, rank, relaxed) for many queries at once.
 
-    Words are looked up by an inverted index of the chunks' own words made on the fly, so
-    each chunk meets only the queries that share a word with it: a shuffle on the word,
-    no cross join. Words here are whole; substrings are for search().
+    The query set is handled in blocks, each a broadcast matrix of words by queries of at
+    most SMALL_BYTES; every partition of the chunks keeps its own best `top` a query, so
+    neither frequent words nor pairs are shuffled. Words here are whole; substrings are for
+    search(). A query that some chunk matches in full keeps such chunks only.
     """
-    q = queries.select(F.col("id").alias("query_id"), tokens(F.lower("text")).alias("t"))
-    q = q.select("query_id", F.explode("t").alias("word"), F.size("t").alias("need"))
-    words = chunks.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}\p{Nd}_$]{2,})"), 1))).alias("word"))
-    hits = q.join(words, "word").groupBy("query_id", "id").agg(F.count("*").alias("have"), F.first("need").alias("need"))
-    hits = hits.withColumn("full", F.col("have") == F.col("need"))
-    any_full = F.max(F.col("full").cast("int")).over(Window.partitionBy("query_id"))
-    kept = hits.withColumn("any_full", any_full).where(F.col("full") | (F.col("any_full") == 0))
+    spark = chunks.sparkSession
+    q = checkpointed(queries.select(F.col("id").alias("query_id"), tokens(F.lower("text")).alias("t")).where(F.size("t") > 0))
+    count, cells = q.agg(F.count("*"), F.coalesce(F.sum(F.size("t")), F.lit(0))).first()
+    # a block of n queries has cells * n / count words at most
+    blocks = max(1, -(-count // block), int(math.ceil((4 * cells * max(1, count) / SMALL_BYTES) ** 0.5)))
+    words = chunks.select("id", F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}\p{Nd}_$]{2,})"), 1)).alias("words"))
+    found = None
+    for b in range(blocks):
+        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        shared = spark.sparkContext.broadcast((part.column("query_id").to_numpy(), part.column("t").to_pylist()))
+        got = words.mapInArrow(_best_by_words(shared, top), "query_id long, id long, have int, need int")
+        found = got if found is None else found.unionByName(got)
     order = Window.partitionBy("query_id").orderBy(F.desc("have"), "id")
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "id", "rank", (F.col("any_full") == 0).alias("relaxed"))
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    full = F.max(F.col("have") == F.col("need")).over(Window.partitionBy("query_id"))
+    return best.withColumn("full", full).where(~F.col("full") | (F.col("have") == F.col("need"))).select("query_id", "id", "rank", (~F.col("full")).alias("relaxed"))
+
+
+def _best_by_words(shared, top: int):
+    """(id, words) to the `top` chunks of each query that share most words with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, texts = shared.value
+        column: dict[str, int] = {}
+        for own in texts:
+            for w in own:
+                column.setdefault(w, len(column))
+        asked = np.zeros((len(column), len(names)), np.float32)
+        for k, own in enumerate(texts):
+            asked[[column[w] for w in own], k] = 1
+        held = np.zeros((0, 3), np.int64)  # query, -have, id
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                ids = batch.column(0).slice(lo, 256).to_numpy()
+                has = np.zeros((len(ids), len(column)), np.float32)
+                for i, own in enumerate(batch.column(1).slice(lo, 256).to_pylist()):
+                    has[i, [column[w] for w in own or () if w in column]] = 1
+                have = (has @ asked).astype(np.int64)
+                i, k = np.nonzero(have)
+                held = np.concatenate([held, np.stack([k, -have[i, k], ids[i]], axis=1)])
+                held = held[np.lexsort(held.T[::-1])]
+                held = held[np.arange(len(held)) - np.searchsorted(held[:, 0], held[:, 0]) < top]
+        need = np.array([len(set(own)) for own in texts], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names[held[:, 0]], pa.int64()), pa.array(held[:, 2]), pa.array(-held[:, 1], pa.int32()), pa.array(need[held[:, 0]] if len(texts) else held[:, 0], pa.int32())], names=["query_id", "id", "have", "need"])
+
+    return run
 
 
 def cosine(a: Column, b: Column) -> Column:

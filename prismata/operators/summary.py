@@ -53,7 +53,7 @@ def uncalled_classes(symbols: DataFrame, files: DataFrame, calls: DataFrame, lim
     return with_file(own, files).select("id", "qualified_name", "path").orderBy("path", "id").limit(limit)
 
 
-def key_types(symbols: DataFrame, files: DataFrame, pattern: str | None, limit: int = 5) -> DataFrame:
+def key_types(symbols: DataFrame, files: DataFrame, pattern: str | None, limit: int = 6) -> DataFrame:
     members = symbols.where(F.col("kind").isin("METHOD", "CONSTRUCTOR")).groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("m"))
     own = symbols.where(F.col("parent_id").isNull() & (F.lit(False) if not pattern else F.col("qualified_name").rlike(pattern)))
     return with_file(own.join(members, "id", "left"), files).select("id", "qualified_name", "path", F.coalesce("m", F.lit(0)).alias("members")).orderBy(F.desc("members"), "qualified_name").limit(limit)
@@ -64,9 +64,10 @@ def exact_names(symbols: DataFrame, names: list[str]) -> DataFrame:
 
 
 def file_scales(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """One row a JAVA file: lines, number of symbols, the package of its first top-level type."""
-    per = symbols.groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("symbols"), F.min_by("qualified_name", F.when(F.col("parent_id").isNull(), F.struct("start_line", "id"))).alias("type_name"))
-    return files.where("kind = 'JAVA'").join(per, "id", "left").select("path", "loc", "type_name", F.coalesce("symbols", F.lit(0)).alias("symbols"))
+    """One row for each top-level type of a JAVA file (one without a type for a file that has none): lines and number of symbols of the file."""
+    per = symbols.groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("symbols"))
+    tops = symbols.where("parent_id is null").select(F.col("file_id").alias("id"), F.col("qualified_name").alias("type_name"))
+    return files.where("kind = 'JAVA'").join(per, "id", "left").join(tops, "id", "left").select("path", "loc", "type_name", F.coalesce("symbols", F.lit(0)).alias("symbols"))
 
 
 def reasons(calls: DataFrame) -> DataFrame:
@@ -168,13 +169,17 @@ def key_type_pattern(package: str | None, prefix: str) -> str | None:
 
 
 def modules(scales: DataFrame, prefix: str | None = None, limit: int = 40, samples: int = 5) -> DataFrame:
-    """File scales summed by module, the largest first, with a few sample paths."""
-    own = scales.withColumn("package", package_of(F.col("type_name")))
+    """File scales summed by module, the largest first, with a few sample paths.
+
+    A file belongs to the package of one of its types, the last by name, and counts once a type.
+    """
+    of_file = F.max("type_name").over(Window.partitionBy("path"))
+    own = scales.withColumn("package", package_of(of_file))
     if prefix is None:
         prefix = choose_prefix(sorted(r["package"] for r in own.where("package is not null").select("package").distinct().collect()))
     named = own.withColumn("module", F.when(F.col("package").isNull(), NO_TYPE).otherwise(module_name(F.col("package"), prefix)))
     grouped = named.groupBy("module").agg(F.count("*").alias("files"), F.sum("loc").alias("loc"), F.sum("symbols").alias("symbols"))
-    first = named.select("module", "path").withColumn("r", F.row_number().over(Window.partitionBy("module").orderBy("path"))).where(F.col("r") <= samples)
+    first = named.select("module", "path").distinct().withColumn("r", F.row_number().over(Window.partitionBy("module").orderBy("path"))).where(F.col("r") <= samples)
     paths = first.groupBy("module").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("sample_paths"))
     return grouped.join(paths, "module").orderBy(F.desc("symbols"), "module").limit(limit)
 

@@ -10,6 +10,7 @@ and arity that is unique in the repository; anything else stays an unresolved ed
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,6 +46,13 @@ def _close(text: str, at: int, opening: str = "{", closing: str = "}") -> int:
     return len(text) - 1
 
 
+def _before(text: str, at: int) -> str:
+    """The last character before `at` that is no white space."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    return text[at - 1 : at]
+
+
 def _split(inside: str) -> list[str]:
     out, depth, last = [], 0, 0
     for k, c in enumerate(inside):
@@ -58,7 +66,8 @@ def _split(inside: str) -> list[str]:
 def outline(source: str) -> tuple[list[dict], list[dict], list[dict]]:
     """(symbols, calls, supertypes) of one compilation unit."""
     text = _blank(source)
-    line = lambda at: text.count("\n", 0, at) + 1
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    line = lambda at: bisect_left(breaks, at) + 1
     package = (m[1] if (m := re.search(r"^\s*package\s+([\w.]+)\s*;", text, re.M)) else "")
     symbols, calls, supers = [], [], []
 
@@ -100,7 +109,7 @@ def outline(source: str) -> tuple[list[dict], list[dict], list[dict]]:
                             kind, of = "SUPER", ""
                         else:
                             kind, of = "METHOD", simple if receiver in (None, "this") else known.get(receiver, receiver if receiver[:1].isupper() else "")
-                        if receiver is None and not c[1] and text[: c.start()].rstrip()[-1:] == ".":
+                        if receiver is None and not c[1] and _before(text, c.start()) == ".":
                             of = ""
                         calls.append({"caller_key": key, "owner": of, "name": called, "arity": n, "call_line": line(c.start()), "call_kind": kind, "raw": (c[0].strip() + ")")[:200]})
                 at = end + 1
@@ -194,7 +203,16 @@ def resolved_calls(units: DataFrame) -> DataFrame:
 
 
 def resolved_supers(units: DataFrame) -> DataFrame:
-    types = symbol_rows(units).where(is_type(F.col("kind"))).groupBy("name").agg(F.min("qualified_name").alias("super_key"))
+    """Supertypes with super_key: a type of that name in a scope around the subtype, the
+    innermost first; else the repository's only type of that simple name."""
+    types = symbol_rows(units).where(is_type(F.col("kind"))).select(F.col("qualified_name").alias("key"), "name").distinct()
     raw = units.select(F.explode("supers").alias("s")).select("s.*")
-    out = raw.join(types, F.substring_index("super_raw", ".", -1) == F.col("name"), "left")
-    return out.select("sub_key", "super_raw", "super_key", "kind", F.col("super_key").isNotNull().alias("resolved"), F.col("super_key").isNull().alias("external"))
+    pairs = raw.select("sub_key", "super_raw").distinct()
+    parts = F.split("sub_key", r"\.")
+    scopes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.concat_ws(".", F.slice(parts, F.lit(1), F.size(parts) - k), F.col("super_raw")))
+    around = pairs.select("sub_key", "super_raw", F.posexplode(scopes).alias("pos", "key")).join(types.select("key"), "key")
+    around = around.groupBy("sub_key", "super_raw").agg(F.min_by("key", "pos").alias("k1"))
+    only = types.groupBy(F.col("name").alias("super_raw")).agg(F.min("key").alias("k2"), F.count("*").alias("n")).where("n = 1").drop("n")
+    key = F.coalesce("k1", "k2")
+    out = raw.join(around, ["sub_key", "super_raw"], "left").join(only, "super_raw", "left")
+    return out.select("sub_key", "super_raw", key.alias("super_key"), "kind", key.isNotNull().alias("resolved"), key.isNull().alias("external"))

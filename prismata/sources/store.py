@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import chunks as cutting
+from ..operators.checkpoints import checkpointed
 from . import files as reading
 from . import java
 
@@ -23,7 +24,7 @@ def built(spark: SparkSession, root: str, repo_id: int) -> tuple[dict[str, DataF
     Of symbols with one qualified name the one of the greatest id stands for it.
     """
     found = reading.scanned(spark, root)
-    units = java.parsed(reading.java_files(found))
+    units = checkpointed(java.parsed(reading.java_files(found)))  # five tables are made of it
     text = reading.text_files(found)
     outcome = units.select("path", F.lit("JAVA").alias("kind"), "content_hash", "loc", "parsed_ok", "parse_error")
     outcome = outcome.unionByName(text.select("path", F.lit("TEXT").alias("kind"), F.coalesce("content_hash", F.lit("")).alias("content_hash"), "loc", "parsed_ok", "parse_error"))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from prismata.plans import answer_queries, code_queries  # noqa: F401
+from prismata.plans import answer_queries, code_queries, index_queries  # noqa: F401
 from prismata.plans.registry import QUERIES, SQL
 
 
