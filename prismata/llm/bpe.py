@@ -9,6 +9,8 @@ by one. Distinct words are encoded once a worker, in a cache of bounded size.
 
 Nulls count as empty texts; an empty text has no tokens. Every row is handled on its own,
 so repeated rows, ties and other columns do not matter, and an empty table gives no rows.
+Very long texts are encoded whole. A column of `docs` that is named like one of the results
+is replaced by it.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bound_batches, lean, slices
+from .common import bound_batches, lean, renamed, slices
 
 NONE = np.int64(1 << 62)
 #: Distinct words a worker remembers; the cache is emptied when it is full.
@@ -312,4 +314,4 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: bool = True, dig
         return pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
 
     out = docs.mapInArrow(lean(run), schema)
-    return out.toDF(*docs.columns, *[f.name for f in extra])
+    return renamed(out, docs, *[f.name for f in extra])

@@ -8,11 +8,14 @@ phrases are searched backward at once. Occurrences come from suffix positions sa
 every eighth word and at every run border, reached by LF steps, and merge into spans.
 
 The benchmark is read in blocks of bounded size; each block is one more map over the
-documents, so neither a shuffle nor an unbounded broadcast occurs.
+documents, with a checkpoint before it, so neither a shuffle nor an unbounded broadcast
+occurs and a task holds one block at a time.
 
 Nulls: a null text has no words, a null benchmark text no phrases; a null item id is
 reported as an empty string. Empty tables give empty results or all-clean documents.
-Repeated rows are judged each on its own. Other columns of either table are not touched.
+Repeated rows are judged each on its own; of items that share a window all are reported.
+Very long texts are searched whole. Other columns of either table are not touched; in
+find(), one that is named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, code_points, lean, slices, utf8, Words
+from .common import bound_batches, checkpointed, lean, renamed, slices, utf8, Words
 
 WINDOW = 10
 SAMPLE = 8
@@ -45,20 +48,27 @@ class Phrases:
         words = Words(data, offsets)
         self.vocabulary, ids = np.unique(words.hash, return_inverse=True)
         bounds = np.searchsorted(words.row, np.arange(len(items) + 1))
-        seen: dict[tuple[int, ...], set[str]] = {}
-        for i, item in enumerate(items):
-            own = (ids[bounds[i] : bounds[i + 1]] + 1).tolist()
-            for k in range(max(1, len(own) - window + 1) if own else 0):
-                seen.setdefault(tuple(own[k : k + window]), set()).add(item)
-        self.items = [sorted(x) for x in seen.values()]
-        self.length = np.array([len(x) for x in seen], dtype=np.int64)
-        self.words = np.zeros((len(seen), window), dtype=np.int64)
-        for i, x in enumerate(seen):
-            self.words[i, window - len(x) :] = x
-        self.shortest = int(self.length.min()) if len(seen) else window
+        count = np.diff(bounds)
+        windows = np.where(count > 0, np.maximum(1, count - window + 1), 0)
+        item = np.repeat(np.arange(len(items)), windows)
+        first = bounds[item] + np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
+        length = np.minimum(count[item], window)
+        at = first[:, None] + np.arange(-window, 0) + length[:, None]  # right-aligned
+        held = np.arange(window)[None, :] >= window - length[:, None]
+        rows = np.where(held, ids[np.where(held, at, 0)] + 1, 0).astype(np.int32) if len(item) else np.zeros((0, window), np.int32)
+        self.words, which = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
+        self.length = (self.words > 0).sum(axis=1).astype(np.int64)
+        #: The items of phrase p are those numbered owner[own[p] : own[p + 1]].
+        pairs = np.unique(which.ravel().astype(np.int64) * max(1, len(items)) + item)
+        self.names, self.owner = items, (pairs % max(1, len(items))).astype(np.int32)
+        self.own = np.searchsorted(pairs // max(1, len(items)), np.arange(len(self.words) + 1))
+        self.shortest = int(self.length.min()) if len(self.words) else window
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[(self.vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
+    def items(self, phrase: int) -> list[str]:
+        return [self.names[k] for k in self.owner[self.own[phrase] : self.own[phrase + 1]].tolist()]
+
     def ids(self, h: np.ndarray) -> np.ndarray:
         """1-based vocabulary number of each hash, 0 if it is no benchmark word."""
         out = np.zeros(len(h), np.int64)
@@ -221,7 +231,7 @@ class _Shard:
         pairs = np.unique(row[at] * np.int64(len(self.phrases.length)) + which)
         for pair in pairs.tolist():
             r, w = divmod(pair, len(self.phrases.length))
-            items.setdefault(r, set()).update(self.phrases.items[w])
+            items.setdefault(r, set()).update(self.phrases.items(w))
         return counts, spans, items
 
 
@@ -265,27 +275,33 @@ def _mapper(shared, text_at: int, first: bool):
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`docs` with n_words, word_spans (merged, half-open word ordinals) and items.
-
-    items holds the ids, as sorted strings, of the benchmark items of which a window of
-    `window` consecutive words (or the whole item, if shorter) occurs in the document.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The columns of `docs` as c0, c1, ..., then n_words, word_spans and items."""
     spark = docs.sparkSession
     bound_batches(spark)
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // block_bytes))
     text_at = docs.columns.index(text)
-    names = [*docs.columns, "n_words", "word_spans", "items"]
     out = docs
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toArrow()
         column = part.column("t").combine_chunks()
         shared = spark.sparkContext.broadcast(Phrases(part.column("i").to_pylist(), column if isinstance(column, pa.Array) else column.chunk(0), window))
         schema = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)], T.StructField(f"c{len(docs.columns)}", T.LongType()), T.StructField(f"c{len(docs.columns) + 1}", SPANS), T.StructField(f"c{len(docs.columns) + 2}", T.ArrayType(T.StringType()))])
+        if b:
+            out = checkpointed(out)  # else a task would hold a worker and a block for each pass
         out = out.mapInArrow(lean(_mapper(shared, text_at, b == 0)), schema)
-    return out.toDF(*names)
+    return out
+
+
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
+    """`docs` with n_words, word_spans (merged, half-open word ordinals) and items.
+
+    items holds the ids, as sorted strings, of the benchmark items of which a window of
+    `window` consecutive words (or the whole item, if shorter) occurs in the document.
+    """
+    return renamed(_found(docs, benchmark, text, **how), docs, "n_words", "word_spans", "items")
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -311,8 +327,8 @@ def _removing(text_at: int, spans_at: int):
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """`docs` with every contaminated span cut out of the text; all rows stay."""
-    found = find(docs, benchmark, text, **how)
-    return found.mapInArrow(lean(_removing(docs.columns.index(text), found.columns.index("word_spans"))), found.schema).select(*docs.columns)
+    found, width = _found(docs, benchmark, text, **how), len(docs.columns)
+    return found.mapInArrow(lean(_removing(docs.columns.index(text), width + 1)), found.schema).select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(docs.columns)])
 
 
 def digest(found: DataFrame) -> DataFrame:

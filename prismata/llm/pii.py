@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, checkpointed, lean
+from .common import renamed, bound_batches, checkpointed, lean
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -284,7 +284,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 
     short = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("kind", "start", "end", "base")]))
     out = seen.mapInArrow(lean(keep), T.StructType([*schema.fields[:-1], T.StructField(spans, short)]))
-    return out.toDF(*[f.name for f in rest], "found")
+    return renamed(out, docs.drop(text), "found")
 
 
 def digest(found: DataFrame) -> DataFrame:

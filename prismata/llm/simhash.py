@@ -13,7 +13,8 @@ anchor's cell a union-find keeps links that join two groups; the others say noth
 
 Nulls: a null text has no words and the fingerprint zero; rows with a null id get a
 component but never name it. Empty tables give empty results, repeated rows one row each.
-Other columns are left out.
+Very long texts are hashed whole; ties cannot occur, a component is named by its smallest
+id. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -127,7 +128,12 @@ def _linked(threshold: int):
 
 
 def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Spanning links (a, b) between the nodes of distinct fingerprints (fp, node) that are near."""
+    """Spanning links (a, b) between the nodes of distinct fingerprints (fp, node) that are near.
+
+    The anchors cover THRESHOLD differing bits; a larger threshold is refused.
+    """
+    if threshold > THRESHOLD:
+        raise ValueError(f"anchors cover {THRESHOLD} differing bits, not {threshold}")
     both = [F.shiftrightunsigned("fp", 32), F.col("fp")]
     rows = None
     for k, half in enumerate(both):

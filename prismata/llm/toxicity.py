@@ -16,7 +16,9 @@ At most TRAIN_ROWS labelled rows of each class (of the lowest hash of their id)
 from; all rows are scored, whole. Each distinct word of a batch is compared once.
 
 A null or empty text has no words and gets the score of an empty representation. Without
-labels of both classes every score is 0.5. Repeated rows and other columns do not matter.
+labels of both classes every score is 0.5. Repeated rows get equal scores, labels that differ
+for one id count as the larger one, and an empty table gives no rows. Very long texts are
+scored whole. Other columns do not matter; one that is named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, checkpointed, lean
+from .common import bound_batches, checkpointed, lean, renamed
 
 TRAIN_ROWS = 5_000
 LANDMARKS = 80
@@ -288,4 +290,4 @@ def score(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_c
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[f"c{i}" for i in range(width + 1)])
 
     schema = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)], T.StructField(f"c{width}", T.DoubleType())])
-    return docs.mapInArrow(lean(run), schema).toDF(*docs.columns, name)
+    return renamed(docs.mapInArrow(lean(run), schema), docs, name)
