@@ -1,12 +1,15 @@
 """Nearest neighbours by inner product with multiprobe p-stable hashing.
 
-Inner products become Euclidean distances by one more coordinate: a stored x gets
-sqrt(M^2 - |x|^2), M being the largest norm, a query is scaled to norm M and gets zero.
-Each of TABLES tables hashes a point by FUNCTIONS projections floor((a.x + b) / w), with a
+Points are dealt to ranges of similar norms, a factor RANGE wide, each with its own tables, so
+that a few long vectors spoil no other's index; all ranges of up to SCANNED points are one
+bucket that every query visits. Within a range, inner products become Euclidean distances by
+one more coordinate: a stored x gets sqrt(M^2 - |x|^2), M being the range's largest norm, a
+query is scaled to norm M and gets zero. Each of TABLES tables hashes a point by FUNCTIONS projections floor((a.x + b) / w), with a
 from the 2-stable normal distribution. A query visits, in each table, its own bucket and
 the perturbed ones (one step down or up in some functions) in the order of estimated
 success: the sum of squared distances to the crossed borders. The candidates of all
-visited buckets are merged and reranked by the exact inner product.
+visited buckets are merged and reranked by the exact inner product. A query for which fewer
+than TOP others were found is compared with every point, in blocks.
 
 The bucket's members and the probes that visit it meet in one task, as pieces of bounded
 size (groups.grid); each task keeps the best of each query only. Equal vectors are one
@@ -16,7 +19,8 @@ vector that a third of the rows hold costs no more than any other, as stored or
 The index holds every row and needs no training. Vectors that are null, empty, zero or
 hold null or non-finite components, and those of another length than the most frequent
 one, take no part; rows with a null id neither. Repeated rows with one id are one
-candidate. Empty tables give no rows. Other columns are left out.
+candidate. Ties go to the smaller id. Empty tables give no rows. Other columns are left out,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +42,9 @@ FUNCTIONS = 6
 #: Bucket width as a part of the largest norm.
 WIDTH = 1.4
 PROBES = 96
+#: Norms of a range differ by this factor at most; ranges of so few points are compared whole.
+RANGE = 2**0.5
+SCANNED = 64
 SEED = 17
 #: Candidates that a task holds before it keeps the best of each query and hands them on.
 HELD = 400_000
@@ -103,31 +110,49 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _spread(index) -> callable:
-    """Points to one row a table and, where they are queries, one row a probe."""
+#: The key of the bucket that is compared whole.
+WHOLE = -1
+#: The level of points whose norm is zero or infinite as a double.
+OTHER = 1 << 20
+
+
+def _spread(index):
+    """(point, vec, asks, level) to one row a table and, where they ask, one row a probe.
+
+    index: the tables of each hashed level; points of other levels go to the bucket WHOLE.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = index.value
+        by_level = index.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                x = _vectors(part.column(1))
-                key = tables.stored(x)
-                n, t = key.shape
-                yield _rows(part, np.repeat(np.arange(n), t), np.tile(np.arange(t), n), key.ravel(), False)
+                x, level = _vectors(part.column(1)), part.column(3).to_numpy()
                 asks = np.flatnonzero(part.column(2).to_numpy(zero_copy_only=False))
-                if len(asks):
-                    key = tables.visited(x[asks])
-                    p = key.shape[2]
-                    yield _rows(part, np.repeat(asks, t * p), np.tile(np.repeat(np.arange(t), p), len(asks)), key.ravel(), True)
+                rest = np.flatnonzero(~np.isin(level, list(by_level)))
+                yield _rows(part, rest, np.full(len(rest), WHOLE), False)
+                yield _rows(part, asks, np.full(len(asks), WHOLE), True)
+                for k, tables in by_level.items():
+                    own = np.flatnonzero(level == k)
+                    if len(own):
+                        yield _rows(part, np.repeat(own, tables.tables), _salted(tables.stored(x[own]), k), False)
+                    if len(asks):
+                        key = tables.visited(x[asks])
+                        yield _rows(part, np.repeat(asks, key.shape[1] * key.shape[2]), _salted(key, k), True)
 
     return run
 
 
-def _rows(part: pa.RecordBatch, at: np.ndarray, t: np.ndarray, key: np.ndarray, probe: bool) -> pa.RecordBatch:
+def _salted(key: np.ndarray, level: int) -> np.ndarray:
+    """Keys (rows x tables, or rows x tables x probes) that differ between tables and levels."""
+    t = np.arange(key.shape[1]).reshape(1, -1, *[1] * (key.ndim - 2))
+    salt = (t + 1000 * (level + 10_000)).astype(np.int64) * np.int64(0x9E3779B97F4A7C1)
+    return (key ^ salt).ravel()
+
+
+def _rows(part: pa.RecordBatch, at: np.ndarray, key: np.ndarray, probe: bool) -> pa.RecordBatch:
     place = pa.array(at)
-    key = key ^ (t.astype(np.int64) * np.int64(0x9E3779B97F4A7C1))
-    return pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(place), part.column(1).take(place), pa.array(np.full(len(at), probe))], names=["key", "point", "vec", "asks"])
+    return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), part.column(0).take(place), part.column(1).take(place), pa.array(np.full(len(at), probe))], names=["key", "point", "vec", "asks"])
 
 
 def _best(ask: np.ndarray, point: np.ndarray, score: np.ndarray, top: int) -> np.ndarray:
@@ -206,18 +231,27 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec: st
     dims = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").select("d").first()
     dims = dims["d"] if dims else 1
     rows = rows.where(F.size("vec") == dims)
-    norm = rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).alias("m")).first()["m"] or 1.0
     # equal vectors are one point; a row number up to a constant is cut before the shuffle too
     one = Window.partitionBy("vec").orderBy("id")
     low = rows.select("id", "vec").withColumn("r", F.dense_rank().over(one)).where(F.col("r") <= top + 1)
     ids = low.groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     asking = rows.where("asks").groupBy("vec").agg(F.lit(True).alias("asks"))
-    points = checkpointed(ids.join(asking, "vec", "left").select(F.col("ids")[0].alias("point"), "vec", F.coalesce("asks", F.lit(False)).alias("asks"), "ids"))
-    index = spark.sparkContext.broadcast(Tables(dims, norm, **how))
-    spread = points.select("point", "vec", "asks").mapInArrow(lean(_spread(index)), "key long, point long, vec array<double>, asks boolean")
-    cells = _cells(spread)
-    dealt = cells.select("key", "cell", "point", "vec", "asks").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    found = dealt.mapInArrow(lean(_compare(top + 1)), "ask long, point long, score double")
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    level = F.when((norm > 0) & (norm < float("inf")), F.floor(F.log2(norm) / float(np.log2(RANGE)))).otherwise(OTHER).cast("int")
+    points = ids.join(asking, "vec", "left").select(F.col("ids")[0].alias("point"), "vec", F.coalesce("asks", F.lit(False)).alias("asks"), "ids", norm.alias("norm"))
+    points = checkpointed(points.withColumn("level", level))
+    # levels are few: a double has 4,200 half octaves at most
+    levels = points.where(F.col("level") != OTHER).groupBy("level").agg(F.count("*").alias("n"), F.max("norm").alias("m")).orderBy("level").collect()
+    index = spark.sparkContext.broadcast({r["level"]: Tables(dims, r["m"], **how) for r in levels if r["n"] > SCANNED})
+    found = _compared(points.select("point", "vec", "asks", "level"), index, top)
+    # who found too few is compared with all
+    total = points.count()
+    asked = points.where("asks").select(F.col("point").alias("ask"))
+    many = found.groupBy("ask").agg(F.count_distinct("point").alias("n")).where(F.col("n") >= min(top + 1, total)).select("ask")
+    short = checkpointed(asked.join(many, "ask", "left_anti"))
+    if index.value and not short.isEmpty():
+        again = points.join(short, points["point"] == short["ask"], "left").select("point", "vec", F.col("ask").isNotNull().alias("asks"), F.lit(OTHER).alias("level"))
+        found = found.unionByName(_compared(again, spark.sparkContext.broadcast({}), top))
     merged = found.groupBy("ask", "point").agg(F.first("score").alias("score"))
     order = Window.partitionBy("ask").orderBy(F.desc("score"), "point")
     best = merged.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top + 1)
@@ -228,6 +262,13 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec: st
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("c.id").alias(id_col), (-F.col("c.s")).alias("score"))
 
 
+def _compared(points: DataFrame, index, top: int) -> DataFrame:
+    """(ask, point, score): the best candidates that share a bucket with each asking point."""
+    spread = points.mapInArrow(lean(_spread(index)), "key long, point long, vec array<double>, asks boolean")
+    dealt = _cells(spread).select("key", "cell", "point", "vec", "asks").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return checkpointed(dealt.mapInArrow(lean(_compare(top + 1)), "ask long, point long, score double"))
+
+
 def _cells(spread: DataFrame) -> DataFrame:
     """Pieces of buckets: probes lie along one axis, stored points along the other."""
     cells = grid(spread, "key", F.xxhash64("point"), F.col("asks"))
