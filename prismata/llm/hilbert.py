@@ -1,17 +1,19 @@
 """Sharding along a Hilbert curve: sort by curve index, cut equal runs.
 
-Three metadata dimensions are quantised to four bits each: source and language by hash,
-the text's length by its binary logarithm. A table of the 4,096 curve indexes is made by
-Skilling's transform with SQL expressions and broadcast (its size is fixed by the bits).
+Three metadata dimensions are quantised to four bits each, in their order, so that runs have
+narrow ranges of each: source and language by cuts between their distinct values, the text's
+size by cuts between rows. A table of the 4,096 curve indexes is made by Skilling's transform
+with SQL expressions and broadcast (its size is fixed by the bits).
 Rows are ordered by (curve index, bucket, crc32 of the text, id); the bucket is a hash of
 the crc32 and the id, so a cell that holds a third of all rows still spreads over many
-tasks. Global ranks come from counts: per cell, per bucket in its cell, per row in its
+tasks; their number grows with the rows. Global ranks come from counts: per cell, per bucket in its cell, per row in its
 bucket; the first two are bounded tables, so no task ever holds all rows. The runs follow
 the law `rows`: shard sizes differ by one row at most.
 
 Nulls: a null text counts as no bytes and crc32 zero, a null dimension as its own value
-zero; a null id sorts first. Repeated rows are placed one after the other in any order.
-An empty table gives an empty result. Other columns are left out.
+zero; a null id sorts first. Very long texts are measured whole. Ties in the order are
+repeated rows (or a hash collision of equal ids); they are placed in any order. An empty
+table gives an empty result. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +23,14 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 BITS = 4
 DIMENSIONS = 3
-BUCKETS = 512
+#: The columns of the named dimensions, and the bytes of a value that its cuts tell apart.
+NAMED, BYTES = ("source", "lang"), 7
+#: Buckets of a cell, more of them when a bucket would hold more rows than these.
+BUCKETS, BUCKET_ROWS = 512, 200_000
 
 
 def _fixed_width(x: Column, bits: int) -> Column:
@@ -75,13 +82,34 @@ def curve(spark: SparkSession, bits: int = BITS, dimensions: int = DIMENSIONS) -
     return table.select("cell", h.alias("h"))
 
 
-def cells(docs: DataFrame, text: str = "text") -> Column:
-    """The grid cell of a row: source, language and log-length, four bits each."""
+def _number(column: str, skip: int) -> Column:
+    """BYTES bytes of a value from byte `skip` on, as a whole number in the order of the values."""
+    digits = F.substring(F.hex(F.col(column).cast("string").cast("binary")), 2 * skip + 1, 2 * BYTES)
+    return F.conv(F.rpad(digits, 2 * BYTES, "0"), 16, 10).cast("long")
+
+
+def _levels(rows: DataFrame, column: str) -> Column:
+    """The values of a column as 1 to 15 in their order, cut evenly between distinct values; null is 0.
+
+    What reaches the driver is the least and the greatest value and 14 cuts.
+    """
+    ends = rows.agg(F.min(F.col(column).cast("string")).alias("a"), F.max(F.col(column).cast("string")).alias("b")).first()
+    if ends["a"] is None:
+        return F.lit(0)
+    low, high = ends["a"].encode(), ends["b"].encode()
+    skip = next((k for k, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
     top = (1 << BITS) - 1
-    named = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col(c)), F.lit(top)) + 1).cast("long") if c in docs.columns else F.lit(0).cast("long")
-    size = F.octet_length(F.coalesce(F.col(text), F.lit("")))
-    length = F.least(F.lit(top), F.floor(F.log2(size.cast("double") + 1))).cast("long")
-    return F.shiftleft(named("source"), 2 * BITS).bitwiseOR(F.shiftleft(named("lang"), BITS)).bitwiseOR(length)
+    values = rows.where(F.col(column).isNotNull()).select(_number(column, skip).alias("x")).distinct()
+    cuts = sorted(set(values.agg(F.percentile_approx("x", [k / top for k in range(1, top)], 10_000).alias("c")).first()["c"]))
+    above = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < _number(column, skip)))
+    return F.when(F.col(column).isNull(), 0).otherwise(above + 1)
+
+
+def _sizes(rows: DataFrame) -> Column:
+    """Sizes as 0 to 15, cut evenly between rows."""
+    top = 1 << BITS
+    cuts = rows.agg(F.percentile_approx("size", [k / top for k in range(1, top)], 10_000).alias("c")).first()["c"] or [0]
+    return F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("size")))
 
 
 def shards(docs: DataFrame, n: int = 16, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,8 +119,14 @@ def shards(docs: DataFrame, n: int = 16, id_col: str = "doc_id", text: str = "te
     """
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole).alias("crc"), cells(docs, text).alias("cell"))
-    rows = rows.join(F.broadcast(curve(spark)), "cell").withColumn("bucket", F.pmod(F.xxhash64("crc", "id"), F.lit(BUCKETS)))
+    named = [F.col(c).alias(f"d{k}") if c in docs.columns else F.lit(None).cast("string").alias(f"d{k}") for k, c in enumerate(NAMED)]
+    # texts are read once; all that follows works on narrow rows
+    rows = checkpointed(docs.select(F.col(id_col).alias("id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole).alias("crc"), *named))
+    place = F.lit(0).cast("long")
+    for level in (*[_levels(rows, f"d{k}") for k in range(len(NAMED))], _sizes(rows)):
+        place = F.shiftleft(place, BITS).bitwiseOR(level.cast("long"))
+    buckets_of = max(BUCKETS, -(-rows.count() // BUCKET_ROWS))
+    rows = rows.withColumn("cell", place).join(F.broadcast(curve(spark)), "cell").withColumn("bucket", F.pmod(F.xxhash64("crc", "id"), F.lit(buckets_of)))
     counts = rows.groupBy("h", "bucket").agg(F.count("*").alias("n"))
     within = Window.partitionBy("h").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = counts.withColumn("ahead", F.coalesce(F.sum("n").over(within), F.lit(0)))
