@@ -7,10 +7,14 @@ it. It is normalised: equal strings have kernel one. Strings are the words of a
 (longer ones in overlapping windows) and runs of single characters joined together, each
 without characters that are no letters or digits, and with marks for its ends.
 
-Landmarks are the words that set toxic from clean labelled documents best. A document is
-represented, for every landmark, by the largest kernel value of its words, above a floor;
-the Nystrom map turns these into features on which a linear machine with squared hinge
-loss is fitted, and a sigmoid fitted to its margins gives the score.
+The kernel of two documents is the sum, over the pairs of their distinct strings, of the
+string kernel to the power POWER, so that few close matches outweigh many distant ones; it is
+a kernel, being a sum of products of kernels. Values under FLOOR are taken as zero.
+
+Landmarks are the words that set toxic from clean labelled documents best, each a document of
+one string. A document's kernel values with them go through the Nystrom map (the inverse root
+of the landmarks' kernel matrix); on these features a linear machine with squared hinge loss
+is fitted, and a sigmoid fitted to its margins gives the score.
 
 At most TRAIN_ROWS labelled rows of each class (of the lowest hash of their id) are learnt
 from; all rows are scored, whole. Each distinct word of a batch is compared once.
@@ -41,6 +45,7 @@ LANDMARKS = 80
 SPAN = 5
 DECAY = 0.7
 FLOOR = 0.4
+POWER = 3
 PIECE = 24
 #: Words a worker remembers as far from all landmarks, till it forgets them all.
 KNOWN = 200_000
@@ -122,6 +127,11 @@ def spectrum(numbers: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return u, sums / np.sqrt((sums * sums).sum())
 
 
+def raised(value: np.ndarray) -> np.ndarray:
+    """The document kernel of two single strings from their string kernel."""
+    return np.where(value > FLOOR, value, 0) ** POWER
+
+
 class Kernel:
     """Kernel values of strings against the landmarks, which are class strings."""
 
@@ -132,7 +142,7 @@ class Kernel:
             numbers, w = numbered([word])
             u, x = spectrum(numbers[0], w)
             weights[u, c] = x
-        self.gram = (weights.T @ weights).astype(np.float64)
+        self.gram = raised((weights.T @ weights).astype(np.float64))
         used = np.flatnonzero(weights.any(axis=1))
         self.row = np.full(1 << 15, -1, np.int32)
         self.row[used] = np.arange(len(used))
@@ -140,7 +150,7 @@ class Kernel:
         self.far: set[str] = set()
 
     def near(self, words: list[str]) -> dict[str, np.ndarray]:
-        """For the words with a kernel value over FLOOR, all their values."""
+        """For the words with a kernel value over FLOOR, their kernel values as documents."""
         by: dict[int, dict[str, list[str]]] = {}
         for w, c in zip(words, coded(words)):
             for p in pieces(c):
@@ -165,27 +175,22 @@ class Kernel:
                     value = sums[k] / np.sqrt((total * total).sum())
                     if value.max() > FLOOR:
                         for word in owners[part[at[first[k]]]]:
-                            out[word] = np.maximum(out[word], value) if word in out else value
+                            out[word] = out.get(word, 0) + raised(value)
         return out
 
     def represent(self, texts: list[str | None]) -> np.ndarray:
-        """Rows of max-pooled kernel values over the floor, and two sums over the words."""
+        """Kernel values of each text with the landmarks: the sums of those of its words."""
         sets = [words_of(t) for t in texts]
         words = set().union(*sets) if sets else set()
         if len(self.far) > KNOWN:
             self.far.clear()
         near = self.near(list(words - self.far))
         self.far |= words - near.keys()
-        out = np.zeros((len(texts), len(self.landmarks) + 2))
+        out = np.zeros((len(texts), len(self.landmarks)))
         names = near.keys()
         for r, own in enumerate(sets):
-            hit = [near[w] for w in (own & names)]
-            if hit:
-                v = np.clip((np.array(hit) - FLOOR) / (1 - FLOOR), 0, 1)
-                out[r, :-2] = v.max(axis=0)
-                best = v.max(axis=1)
-                out[r, -2] = best.max() ** 2
-                out[r, -1] = np.log1p((best**3).sum())
+            for w in sorted(own & names):  # in an order, so that sums are equal on every run
+                out[r] += near[w]
         return out
 
 
@@ -223,7 +228,7 @@ class Machine:
         self.a, self.b = max(a, 1e-3), b
 
     def _mapped(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([x[:, :-2] @ self.map, x[:, -2:], np.ones(len(x))])
+        return np.column_stack([x @ self.map, np.ones(len(x))])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         m = self._mapped(self.kernel.represent(texts)) @ self.w
