@@ -37,7 +37,7 @@ from .common import bound_batches, checkpointed, lean
 from .groups import columns, grid, streamed
 
 TOP = 20
-TABLES = 10
+TABLES = 12
 FUNCTIONS = 6
 #: Bucket width as a part of the largest norm.
 WIDTH = 1.4
@@ -45,6 +45,8 @@ PROBES = 96
 #: Norms of a range differ by this factor at most; ranges of so few points are compared whole.
 RANGE = 2**0.5
 SCANNED = 64
+#: Ranges begin a part of one further on, so that norms about 1 share one.
+SHIFT = 0.37
 SEED = 17
 #: Candidates that a task holds before it keeps the best of each query and hands them on.
 HELD = 400_000
@@ -237,7 +239,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec: st
     ids = low.groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     asking = rows.where("asks").groupBy("vec").agg(F.lit(True).alias("asks"))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    level = F.when((norm > 0) & (norm < float("inf")), F.floor(F.log2(norm) / float(np.log2(RANGE)))).otherwise(OTHER).cast("int")
+    level = F.when((norm > 0) & (norm < float("inf")), F.floor(F.log2(norm) / float(np.log2(RANGE)) + SHIFT)).otherwise(OTHER).cast("int")
     points = ids.join(asking, "vec", "left").select(F.col("ids")[0].alias("point"), "vec", F.coalesce("asks", F.lit(False)).alias("asks"), "ids", norm.alias("norm"))
     points = checkpointed(points.withColumn("level", level))
     # levels are few: a double has 4,200 half octaves at most
