@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismata.llm import ann, gam, lines, pii, queries, toxicity
+from prismata.llm import ann, components, gam, groups, lines, minhash, pii, queries, toxicity
 
 from .test_text_ops import DOC, ODD
 
@@ -97,11 +97,34 @@ def test_string_kernel_tolerates_gaps():
     k = toxicity.Kernel(toxicity.coded(["pathetic", "scum"]))
     near = k.near(["pathetic", "pa-the-tic", "patxhetic", "pathtic", "scum", "sc.um", "window", "pathology", "x" * 100])
     assert near["pathetic"][0] == pytest.approx(1, abs=1e-5) and near["pa-the-tic"][0] == pytest.approx(1, abs=1e-5)
-    assert near["patxhetic"][0] > 0.6 and near["pathtic"][0] > 0.6
+    assert near["patxhetic"][0] > 0.6**toxicity.POWER and near["pathtic"][0] > 0.6**toxicity.POWER
     assert "window" not in near and "x" * 100 not in near
     assert "idiot" in toxicity.words_of("you i d i o t there") and toxicity.words_of(None) == set()
 
 
+def test_document_kernel_equals_brute_force():
+    from itertools import combinations
+
+    def spectrum(word):
+        w = "^" + word + "$"
+        out = Counter()
+        for at in combinations(range(len(w)), 3):
+            if at[2] - at[0] < toxicity.SPAN:
+                out[tuple(w[i] for i in at)] += toxicity.DECAY ** (at[2] - at[0] - 2)
+        return out
+
+    def kernel(a, b):
+        x, y = spectrum(a), spectrum(b)
+        value = sum(x[k] * y[k] for k in x) / np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        return value**toxicity.POWER if value > toxicity.FLOOR else 0.0
+
+    landmarks = ["pathetic", "idiot", "scumbag"]
+    k = toxicity.Kernel(toxicity.coded(landmarks))
+    texts = ["a pathetic idiot, id-iot idioot", "scum scumbags scumbag", "nothing of the kind", "", None, "pathetically idiotic"]
+    want = [[sum(kernel("".join(c for c in w if c.isalpha()), m) for w in toxicity.words_of(t)) for m in landmarks] for t in texts]
+    assert np.allclose(k.represent(texts), want, atol=1e-4) and np.allclose(k.gram, [[kernel(a, b) for b in landmarks] for a in landmarks], atol=1e-4)
+
+
 def test_gam_learns_an_interaction():
     r = np.random.default_rng(1)
     x = r.random((4000, 4))
@@ -119,7 +142,7 @@ def test_nearest_neighbours_against_brute_force(spark):
     rows += [(3000, None), (3020, [0.0] * 16), (3040, [float("nan")] * 16), (3060, [1.0, None] + [0.0] * 14), (3080, []), (3100, [1.0] * 3), (None, rows[0][1]), (5, rows[5][1])]
     df = spark.createDataFrame([(*x, "extra") for x in rows], "vec_id long, embedding array<float>, score string")
     got = defaultdict(list)
-    for x in ann.search(df, F.col("vec_id") % 20 == 0, probes=243, tables=12).collect():
+    for x in ann.search(df, F.col("vec_id") % 20 == 0).collect():
         got[x.query_id].append((x["rank"], x.vec_id, x.score))
     valid = {i: np.array(v, dtype=np.float64) for i, v in rows if i is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)}
     assert set(got) == {i for i in valid if i % 20 == 0}
@@ -134,6 +157,31 @@ def test_nearest_neighbours_against_brute_force(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("norms", ["one long", "log-normal", "few rows"])
+def test_nearest_neighbours_of_unequal_norms(spark, sf_dir, norms):
+    r = np.random.default_rng(11)
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").where("embedding is not null").toPandas()
+    x = np.array(own["embedding"].tolist(), dtype=np.float64)
+    ids = own["vec_id"].to_numpy()
+    if norms == "one long":
+        x[5] *= 10
+    elif norms == "log-normal":
+        x *= r.lognormal(0, 0.7, size=(len(x), 1))
+    else:
+        x, ids = x[:30], np.arange(30)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for row in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+        got[row.query_id].add(row.vec_id)
+    share = []
+    for q in np.flatnonzero(ids % 20 == 0).tolist():
+        s = x @ x[q]
+        best = [int(ids[k]) for k in np.argsort(-s, kind="stable") if k != q][:20]
+        assert len(got[int(ids[q])]) == min(20, len(x) - 1)
+        share.append(len(got[int(ids[q])] & set(best)) / len(best))
+    assert np.mean(share) >= 0.9, np.mean(share)
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
@@ -149,22 +197,30 @@ def test_edit_distance():
         a = "".join(r.choice("abcé ") for _ in range(r.randrange(30)))
         b = "".join(r.choice("abcé ") for _ in range(r.randrange(30))) if r.random() < 0.5 else a[: r.randrange(30)] + r.choice(["", "x", "ab"]) + a[r.randrange(30) :]
         assert lines.distance(a, b) == _distance(a, b)
+    word = lambda n: "".join(r.choice("abcdeé 不😀") for _ in range(n))
+    pairs = [(word(r.choice([0, 1, 5, 63, 64, 65, 128, 130, 200])), word(r.choice([0, 3, 64, 90, 129, 200]))) for _ in range(300)]
+    pairs += [(a, a[:40] + word(3) + a[45:]) for a, _ in pairs]
+    pairs += [(a, "".join(c for c in a if r.random() < 0.9) + word(9)) for a, _ in pairs]
+    for part in (0.1, 0.2, 0.5, 1.0):
+        room = np.array([part * max(len(a), len(b)) + 1e-9 for a, b in pairs])
+        assert lines.within(pairs, room).tolist() == [lines.distance(a, b) <= k for (a, b), k in zip(pairs, room)]
+        alone, lines.ALONE = lines.ALONE, 20
+        assert lines.within(pairs, room).tolist() == [lines.distance(a, b) <= k for (a, b), k in zip(pairs, room)]
+        lines.ALONE = alone
+    assert all(lines.at_most(a, b) >= lines.distance(a, b) for a, b in pairs)
+    assert not len(lines.within([], np.zeros(0)))
 
 
 def _brute_lines(rows):
     """(kept text, lines, removed) of each row, by comparing all distinct lines with each other."""
-    import pyarrow as pa
-
-    from prismata.llm.common import utf8
-
     at = []
     for i, t in sorted({(i, t) for i, t in rows if t is not None}, key=lambda x: (x[0] is not None, x[0])):
         for k, line in enumerate(t.split("\n")):
-            w = lines.normal(line)
-            if len(w.split()) >= lines.MIN_WORDS:
-                data, offsets = utf8(pa.array([line]))
-                at.append(((i is not None, i, k), t, w, int(lines._line_hashes(data, offsets)[2][0])))
-    texts = sorted({(w, s) for _, _, w, s in at})
+            w = re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ", line)
+            w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w).strip(" ")
+            if w:
+                at.append(((i is not None, i, k), t, w))
+    texts = sorted({w for _, _, w in at})
     parent = {x: x for x in texts}
 
     def root(x):
@@ -172,15 +228,16 @@ def _brute_lines(rows):
             x = parent[x]
         return x
 
-    for i, a in enumerate(texts):
-        for b in texts[:i]:
-            if (a[1] ^ b[1]).bit_count() <= 3 and 1 - _distance(a[0], b[0]) / max(len(a[0]), len(b[0])) >= 0.8 - 1e-12:
+    long = [w for w in texts if len(w.split()) >= 5 or len(w) >= 20]
+    for i, a in enumerate(long):
+        for b in long[:i]:
+            room = 0.2 * max(len(a), len(b)) + 1e-9
+            if abs(len(a) - len(b)) <= room and sum((Counter(a) - Counter(b)).values()) <= room and root(a) != root(b) and lines.distance(a, b) <= room:
                 parent[root(a)] = root(b)
     first = {}
-    for place, t, w, s in at:
-        g = root((w, s))
-        first[g] = min(first.get(g, (place, t)), (place, t))
-    gone = {(place, t) for place, t, w, s in at if first[root((w, s))] != (place, t)}
+    for place, t, w in at:
+        first[root(w)] = min(first.get(root(w), (place, t)), (place, t))
+    gone = {(place, t) for place, t, w in at if first[root(w)] != (place, t)}
     out = []
     for i, t in rows:
         if t is None:
@@ -213,7 +270,11 @@ def test_line_dedup_equals_brute_force(spark, odd, monkeypatch):
     assert have == Counter(_brute_lines(rows))
     assert sum(x[3] for x in have) > 30
     assert lines.dedup(docs.limit(0)).count() == 0
-    monkeypatch.setattr(lines, "PIECE", 3)  # larger groups meet under their keys
+    for name, small in (("LED", 2), ("PIECE", 3), ("HELD", 50)):  # frequent keys, groups in pieces
+        monkeypatch.setattr(minhash, name, small)
+    monkeypatch.setattr(groups, "CELL", 2)
+    monkeypatch.setattr(lines, "FREQUENT", 3)
+    monkeypatch.setattr(components, "FEW", 1)  # and rounds of joins
     assert Counter((x.doc_id, x.text, x.n_lines, x.n_removed) for x in lines.dedup(docs, counts=True).collect()) == have
 
 

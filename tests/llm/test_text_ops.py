@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from prismata.llm import bpe, components, decontaminate, hilbert, queries, simhash, url_filter
+from pyspark.sql import functions as F
+
+from prismata.llm import bpe, components, decontaminate, gam, hilbert, lines, near_copies, pii, queries, simhash, toxicity, url_filter
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, "Alpha beta gamma", "en", None, 3), (1, "Alpha beta gamma", "en", None, 3), (2, None, None, "s", None), (3, "", "en", "s", 0), (None, "x y z", "en", "s", 5), (4, "the " * 30_000, "en", "s", 1), (5, "... !!! \n\t", "en", "s", 9)]
@@ -97,6 +99,22 @@ def test_shards_are_even_and_gapless(spark, odd, sf_dir, n):
     assert hilbert.shards(odd.limit(1), n).collect()[0].shard == 0
 
 
+def test_shards_prune_by_each_dimension(spark):
+    r = random.Random(3)
+    rows = [(i, "x" * r.randrange(4000), r.choice(["de", "en", "es", "fr"]), f"site-{min(r.randrange(40), 25):03d}", 0) for i in range(6000)]
+    docs = spark.createDataFrame(rows, DOC)
+    own = hilbert.shards(docs, 16).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    ranges = own.groupBy("shard").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("lang", "source", "size") for f in (F.min, F.max)]).collect()
+
+    def read(column, values):
+        return sum(s[f"{column}_min"] <= v <= s[f"{column}_max"] for v in values for s in ranges) / (16 * len(values))
+
+    assert read("source", [f"site-{k:03d}" for k in range(26)]) < 0.5
+    assert read("lang", ["de", "en", "es", "fr"]) < 0.7
+    assert read("size", range(100, 4000, 100)) < 0.7
+    assert read("source", ["site-025"]) >= 0.3  # a third of the rows
+
+
 def _fingerprint(text):
     words = (text or "").encode().lower().split()
     k = min(3, len(words))
@@ -154,14 +172,54 @@ def test_split_cells_lose_no_link(spark, monkeypatch):
     test_anchors_cover_all_differences_up_to_three(spark)
 
 
-def test_components_of_a_path_a_star_and_a_ring(spark):
+def test_results_replace_columns_of_the_same_name(spark):
+    names = ["doc_id", "text", "items", "n_words", "word_spans", "n_tokens", "ids", "found", "score", "n_lines", "x", "node", "key", "id", "c0", "c1"]
+    docs = spark.createDataFrame([(k, t, *["own"] * 14) for k, t in enumerate(["beta gamma", None, ""])], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names[2:]))
+    bench = _benchmark(spark)
+    found = decontaminate.find(docs, bench)
+    assert Counter(found.columns) == Counter(names) and [r.contaminated for r in decontaminate.digest(found).orderBy("doc_id").collect()] == [True, False, False]
+    clean = decontaminate.clean(docs, bench)
+    assert clean.columns == names and {(r.text, r.items, r.n_words, r.c0) for r in clean.collect()} == {("", "own", "own", "own"), (None, "own", "own", "own")}
+    coded = bpe.encode(docs, queries.tokenizer_path(), digest=True)
+    assert set(coded.columns) == {*names, "decoded", "ids_sha256", "decoded_sha256"} and {r.n_tokens for r in coded.collect()} == {2, 0}
+    assert {r.n_ip for r in pii.digest(pii.find(docs)).collect()} == {0}
+    labels = spark.createDataFrame([(0, 1, 1, "z"), (1, 0, 0, "z")], "doc_id long, toxic int, quality int, score string")
+    assert all(0 <= r.score <= 1 and r.found == "own" for r in toxicity.score(docs, labels, "toxic", F.lit(False)).collect())
+    assert all(0 <= r.score <= 1 for r in gam.score(docs, labels, "quality", F.lit(False)).collect())
+    assert len(simhash.groups(docs).collect()) == 3 and len(hilbert.shards(docs).collect()) == 3
+    assert near_copies.kept(docs).columns == names and near_copies.kept(docs).count() == 2
+    cut = lines.dedup(docs, counts=True)
+    assert Counter(cut.columns) == Counter([*names, "n_removed"]) and {r.n_lines for r in cut.collect()} == {1, 0}
+    assert lines.dedup(docs).columns == names
+
+
+def test_empty_tables_give_empty_results(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    for out in (
+        bpe.encode(none, queries.tokenizer_path(), digest=True), pii.digest(pii.find(none)), toxicity.score(none, labels, "toxic", F.lit(False)), gam.score(none, labels, "quality", F.lit(False)),
+        hilbert.shards(none), simhash.groups(none), lines.dedup(none), near_copies.kept(none), decontaminate.clean(none, none.select("doc_id", "text"), item_id="doc_id"),
+    ):
+        assert out.count() == 0
+
+
+def test_simhash_of_larger_thresholds_is_refused(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1, 1)], "fp long, node long"), threshold=4)
+
+
+def test_components_of_a_path_a_star_and_a_ring(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 900)] + [(1000 + i, 1000 + (i + 1) % 50) for i in range(50)] + [(5, 5), (None, 3)]
     roots = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    monkeypatch.setattr(components, "FEW", 10)  # by rounds of joins
+    assert {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()} == roots
     assert roots == {**{i: 100 for i in range(100, 161)}, **{i: 500 for i in range(500, 900)}, **{1000 + i: 1000 for i in range(50)}}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_url_filter_edges(spark):
+@pytest.mark.parametrize("small", [1 << 26, 0])
+def test_url_filter_edges(spark, small, monkeypatch):
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", small)
     pages = [(1, None), (2, "no scheme"), (3, "http://A.Example.com/en/7x?q#f"), (4, "http://x.com"), (5, "https://www.bad.org/p/1.html#z"), (5, "https://www.bad.org/p/1.html#z"), (6, "http://bad.org/p/1/"), (7, "http://bad.org/p/2"), (8, "http://com/en/"), (9, "http://xcom/en/"), (10, "a://b://c")]
     listed = spark.createDataFrame([("http://BAD.org/p/1",), (None,), ("http://other.org/",)], "url string")
     df = spark.createDataFrame([(*p, "x", False) for p in pages], "page_id long, url string, rule string, listed boolean")

@@ -6,8 +6,6 @@ from collections import Counter
 
 from prismata.llm import lines, pii
 
-from .test_learned_ops import _brute_lines
-
 
 def test_similar_lines_are_joined_whatever_their_words(spark):
     r = random.Random(8)
@@ -28,26 +26,6 @@ def test_similar_lines_are_joined_whatever_their_words(spark):
     assert sum(got.values()) >= 0.97 * want and want > 150
 
 
-def test_line_dedup_equals_brute_force_without_bits(spark, monkeypatch):
-    r = random.Random(6)
-    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(80)]
-    base = [[r.choice(vocab) for _ in range(r.randrange(5, 60))] for _ in range(25)]
-    rows = []
-    for d in range(60):
-        own = []
-        for _ in range(r.randrange(0, 6)):
-            w = list(r.choice(base))
-            if r.random() < 0.5:
-                w[r.randrange(len(w))] = r.choice(vocab)
-            own.append(" ".join(w).capitalize() + r.choice(["", ".", "!"]))
-        rows.append((d, "\n".join(own + [""] * r.randrange(3))))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    have = Counter((x.doc_id, x.text, x.n_lines, x.n_removed) for x in lines.dedup(docs, counts=True).collect())
-    real = lines._line_hashes
-    monkeypatch.setattr(lines, "_line_hashes", lambda *a: (*real(*a)[:2], real(*a)[2] * 0))  # all within 3 bits
-    assert have == Counter(_brute_lines(rows))
-
-
 def test_near_copy_stage_equals_exact_jaccard(spark):
     import corpus_pipeline
 
@@ -80,6 +58,24 @@ def test_near_copy_stage_equals_exact_jaccard(spark):
     assert len(stay) < 120
 
 
+def test_pipeline_stages_keep_columns_and_odd_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "lang", "source", "n_chars", "_toxic", "items", "n_words", "n_tokens", "ids", "node", "key", "c0", "id"]
+    long = "many words " * 20_000
+    rows = [(1, "one line of words\nread more", "en"), (1, "one line of words\nread more", "en"), (2, None, None), (3, "", "en"), (None, "read more", "en"), (4, long, "en"), (5, "... \n\t", "en")]
+    docs = spark.createDataFrame([(i, t, g, "s", len(t or ""), *["own"] * 9) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{n} string" for n in names[5:]))
+    for own in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            own = stage(spark, own, sf_dir)
+            assert own.columns == names and own.schema["n_chars"].dataType == docs.schema["n_chars"].dataType, name
+            assert all(r.items == "own" and (r.text is None or r.n_chars == len(r.text)) for r in own.collect())
+        last = corpus_pipeline.STAGES[-1][1](spark, own, sf_dir).collect()
+        assert all(r.n_tokens == len(r.ids) for r in last)
+        if not own.isEmpty():
+            assert {r.doc_id for r in last} == {1, 2, 4, 5, None}  # 3 has no words, as 2
+
+
 def test_written_out_addresses_need_no_other_sign():
     for form in ("jane.doe [at] mail.com", "jane.doe (at) mail.com", "jane.doe at mail.com", "jane.doe AT mail [DOT] com", "jane.doe[at]mail{dot}com", "jane.doe {at} mail[ dot ]com"):
         text = f"write to {form}"
