@@ -52,8 +52,8 @@ def compacted(results: DataFrame, session: str, order: str | list[str], keep: in
     return results.withColumn("r", late).withColumn("text", F.when(F.col("r") <= keep, F.col("text")).otherwise(one_line)).drop("r")
 
 
-def allowed(requests: DataFrame, client: str, at: str, capacity: float, per_second: float) -> DataFrame:
-    """Token bucket per client over its requests in time order; `at` is in seconds.
+def allowed(requests: DataFrame, client: str, at: str, capacity: float, per_second: float, *then: str) -> DataFrame:
+    """Token bucket per client over its requests in time order (of equal times, by `then`); `at` is in seconds.
 
     Level after each request is a running fold, so a client's requests are handled in
     order in one task; clients are spread over tasks.
@@ -61,7 +61,7 @@ def allowed(requests: DataFrame, client: str, at: str, capacity: float, per_seco
     schema = requests.schema
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(at)
+        f = frame.sort_values([at, *then], kind="stable")
         level, last, out = capacity, None, []
         for t in f[at]:
             level = capacity if last is None else min(capacity, level + (t - last) * per_second)

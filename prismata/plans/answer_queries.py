@@ -124,7 +124,11 @@ def _(r: Repo) -> DataFrame:
     return retrieval.search(r.chunk, "idiot 不存", 20).withColumn("score", F.round("score", 9))
 
 
-@query("h5_search_batch")
+@query("h5_search_batch", r"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{Nd}_$]+'), lambda x: length(x) >= 2))) AS w FROM benchmark),
+need AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1), d AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(content), '[\p{L}\p{Nd}_$]{2,}'))) AS w FROM chunk),
+h AS (SELECT query_id, id, count(*) AS have FROM q JOIN d ON d.w = q.w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY have DESC, id) AS rank FROM h),
+f AS (SELECT r.*, need, max(CASE WHEN have = need THEN 1 ELSE 0 END) OVER (PARTITION BY r.query_id) = 1 AS full_one FROM r JOIN need ON need.query_id = r.query_id WHERE rank <= 5)
+SELECT query_id, id, CAST(rank AS INTEGER) AS rank, NOT full_one AS relaxed FROM f WHERE NOT full_one OR have = need""")
 def _(r: Repo) -> DataFrame:
     return retrieval.search_batch(r.chunk, r.benchmark.select(F.col("item_id").alias("id"), "text"))
 
@@ -239,7 +243,18 @@ def _(r: Repo) -> DataFrame:
     return r.question.select("id", F.array_join(T.identifiers(F.col("text")), ",").alias("names"))
 
 
-@query("i6_routed_targets")
+TYPES = "('CLASS','INTERFACE','ENUM','RECORD','ANNOTATION')"
+ROUTED = f"""q AS (SELECT id, {KINDS} AS wanted, text FROM question), l AS (SELECT id, regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*') AS l FROM question),
+ww AS (SELECT id, unnest(l) AS w, generate_subscripts(l, 1) AS p FROM l), c AS (SELECT id, w, min(p) AS pos FROM ww WHERE lower(w) NOT IN {STOPS} GROUP BY id, w), n AS (SELECT id, string_agg(w, ',' ORDER BY pos) AS names FROM c GROUP BY id),
+h AS (SELECT c.id, pos, w, s.id AS sid, s.kind, s.parent_id, s.qualified_name, CASE WHEN wanted IN ('IMPLEMENTATIONS', 'STRUCTURE') THEN s.kind IN {TYPES} WHEN wanted IN ('CALLERS', 'CALLEES') THEN s.kind IN ('METHOD', 'CONSTRUCTOR') ELSE true END AS fits
+    FROM c JOIN q ON q.id = c.id JOIN symbol s ON s.name = c.w),
+o AS (SELECT id, sid AS osid, w AS oname FROM h WHERE kind IN {TYPES} QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos, strlen(qualified_name), qualified_name, sid) = 1),
+b AS (SELECT h.id, 0 AS tier, pos, sid FROM h JOIN o ON o.id = h.id WHERE fits AND parent_id = osid AND w <> oname UNION ALL SELECT id, 1, pos, sid FROM h WHERE fits),
+m AS (SELECT id, min(tier * 1000 + pos) AS best FROM b GROUP BY id), t AS (SELECT b.id, list_sort(list(DISTINCT sid)) AS sids FROM b JOIN m ON m.id = b.id WHERE tier * 1000 + pos = best GROUP BY b.id),
+routed AS (SELECT q.id, CASE WHEN wanted <> 'SEMANTIC' AND sids IS NULL THEN 'SEMANTIC' ELSE wanted END AS route, coalesce(names, '') AS names, sids FROM q LEFT JOIN t ON t.id = q.id LEFT JOIN n ON n.id = q.id)"""
+
+
+@query("i6_routed_targets", f"WITH {ROUTED} SELECT id, route, names, coalesce(array_to_string(sids, ','), '') AS target_ids FROM routed")
 def _(r: Repo) -> DataFrame:
     return ranking.routed(r.question, r.symbol)
 
@@ -272,7 +287,13 @@ def _(r: Repo) -> DataFrame:
     return ranking.in_scope(r.chunk, "src3/").select("id")
 
 
-@query("i13_answers")
+@query("i13_answers", f"""WITH {ROUTED}, x AS (SELECT id, route, unnest(CASE WHEN route = 'LOCATE' THEN sids ELSE sids[1:1] END) AS tid FROM routed WHERE route <> 'SEMANTIC'),
+place AS (SELECT s.id AS nid, path AS file, start_line AS line, qualified_name AS why, parent_id FROM symbol s JOIN source_file f ON f.id = s.file_id),
+found AS (SELECT x.id, route, file, call_line AS line, why FROM x JOIN call_edge e ON e.callee_symbol_id = tid JOIN place ON nid = e.caller_symbol_id WHERE route = 'CALLERS'
+    UNION ALL SELECT x.id, route, file, line, why FROM x JOIN call_edge e ON e.caller_symbol_id = tid JOIN place ON nid = e.callee_symbol_id WHERE route = 'CALLEES'
+    UNION ALL SELECT x.id, route, file, line, why FROM x JOIN place ON place.parent_id = tid WHERE route = 'STRUCTURE'
+    UNION ALL SELECT x.id, route, file, line, why FROM x JOIN type_relation r ON r.super_symbol_id = tid JOIN place ON nid = r.sub_symbol_id WHERE route = 'IMPLEMENTATIONS')
+SELECT DISTINCT * FROM found UNION SELECT x.id, route, file, line, why FROM x JOIN place ON nid = tid WHERE x.id NOT IN (SELECT id FROM found)""")
 def _(r: Repo) -> DataFrame:
     return ranking.answers(ranking.routed(r.question, r.symbol), r.symbol, r.source_file, r.call_edge, r.type_relation)
 
@@ -522,10 +543,13 @@ def _(r: Repo) -> DataFrame:
     return control.summary_evidence(row("e"), row("h"), row("k")).select("location")
 
 
-@query("m24_token_bucket")
+@query("m24_token_bucket", """WITH RECURSIVE e AS (SELECT id, user_id, CAST(floor(epoch(ts)) AS DOUBLE) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), id) AS k FROM answer_log),
+b AS (SELECT id, user_id, sec, k, CAST(5 AS DOUBLE) AS level FROM e WHERE k = 1
+    UNION ALL SELECT e.id, e.user_id, e.sec, e.k, least(CAST(5 AS DOUBLE), CASE WHEN level >= 1 THEN level - 1 ELSE level END + (e.sec - b.sec) * CAST(0.001 AS DOUBLE)) FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1)
+SELECT id, user_id, sec AS "at", level >= 1 AS allowed FROM b""")
 def _(r: Repo) -> DataFrame:
     own = r.answer_log.select("id", "user_id", F.unix_timestamp("ts").cast("double").alias("at"))
-    return control.allowed(own, "user_id", "at", 5.0, 0.001)
+    return control.allowed(own, "user_id", "at", 5.0, 0.001, "id")
 
 
 @query("m25_severities", "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'high' ELSE 'unknown' END AS s FROM events")
