@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from . import minhash
 from .common import bound_batches, checkpointed, lean, mixed, powers, renamed, slices, utf8
-from .nodes import BY_LINE, fetched, Lines
+from .nodes import BY_LINE, fetched, Lines, passes, wanted_filter
 
 MIN_WORDS = 5
 #: Characters from which a line of fewer words, as in scripts without spaces, is long enough too.
@@ -55,11 +55,14 @@ BANDS, FEW_ROWS, ROWS = 12, 3, 4
 #: Places of 32 in which the sketches of candidates may differ: 12 on average where half of all
 #: features are common, 24 between unrelated lines.
 APART = 12
-CLOSE = minhash.Close(SIMILARITY, APART)
+#: The same for pairs of up to so many characters, whose similarity is rough.
+FEW_CHARS, FEW_APART = 80, 13
+CLOSE = minhash.Close(SIMILARITY, APART, FEW_CHARS, FEW_APART)
 #: Pairs whose distances are found at once, and bytes of their bit masks.
 PAIRS, PEQ_BYTES = 2048, 24 << 20
-#: Characters from which a pair is handled alone, on whole numbers of any length.
-ALONE = 1600
+#: Characters from which a bound of the distance is tried first, and from which a pair is
+#: handled alone, on whole numbers of any length.
+BOUNDED, ALONE = 150, 1600
 #: Pairs of lines, and their bytes, that a task verifies at once.
 AT_ONCE, AT_ONCE_BYTES = 16_384, 24 << 20
 #: Nodes that a task remembers to have handed on.
@@ -219,7 +222,7 @@ def within(pairs: list[tuple[str, str]], room: np.ndarray) -> np.ndarray:
         a, b = _trimmed(a, b)
         if len(a) > len(b):
             a, b = b, a
-        if len(b) <= room[k]:
+        if len(b) <= room[k] or (len(a) > BOUNDED and at_most(a, b) <= room[k]):
             out[k] = True
         elif len(a) > ALONE:
             out[k] = _steps(a, b) <= room[k]
@@ -236,6 +239,31 @@ def within(pairs: list[tuple[str, str]], room: np.ndarray) -> np.ndarray:
     return out
 
 
+#: How many words of each line at_most() tries to skip, the fewest first.
+SKIPS = tuple((p, n - p) for n in range(1, 9) for p in range(n + 1))
+
+
+def at_most(a: str, b: str) -> int:
+    """An upper bound of the edit distance: words are skipped up to the next two that agree."""
+    x, y = [*a.split(" "), "", ""], [*b.split(" "), "", ""]
+    m, n = len(x) - 2, len(y) - 2
+    i = j = cost = 0
+    while i < m and j < n:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        ahead, words = x[i : i + 10], y[j : j + 10]
+        for p, q in SKIPS:
+            if i + p < m and j + q < n and ahead[p] == words[q] and ahead[p + 1] == words[q + 1]:
+                break
+        else:
+            p = q = 1
+        cost += max(len("".join(ahead[:p])) + p, len("".join(words[:q])) + q)
+        i, j = i + p, j + q
+    rest = lambda w, k, end: len("".join(w[k:])) + end - k
+    return cost + rest(x, i, m) + rest(y, j, n)
+
+
 def _points(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
 
@@ -294,6 +322,26 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return abs(len(a) - len(b)) <= room and distance(a, b) <= room
 
 
+def _possible(shared):
+    """(id, th, nodes of the lines) to (id, th, line, node) of those that may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            listed = batch.column(2)
+            node = listed.flatten()
+            count = listed.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(count)), count)
+            line = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            at = np.flatnonzero(node.is_valid().to_numpy(zero_copy_only=False))
+            value = node.fill_null(0).to_numpy()
+            at = at[passes(table, value[at])]
+            of = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(line[at], pa.int32()), pa.array(value[at])], names=["id", "th", "line", "node"])
+
+    return run
+
+
 def normal(line: str) -> str:
     """The lower-cased words of a line, joined by single spaces."""
     return b" ".join(line.encode().translate(BY_LINE.tobytes()).split()).decode()
@@ -320,7 +368,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lines, repeated): every line that has words; each node that repeats.
+    """(lines, repeated): the lines whose node may repeat; each node that does.
 
     lines: id, th (hash of the text), line (from 0), node. repeated: node, root (equal within
     a group), n (occurrences) and keep, the occurrence (id, line, th) that stays for it.
@@ -335,9 +383,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple
     told = checkpointed(told)
     cells = told.where("key is not null").select(*minhash.names())
     roots = minhash.linked(cells, fetched(rows.select("text"), cells), CLOSE, _alike)
-    lines = told.where("nodes is not null").select("id", "th", F.posexplode("nodes").alias("line", "node")).where("node is not null")
-    nodes = lines.groupBy("node").agg(F.min(F.struct("id", "line", "th")).alias("first"), F.count("*").alias("n"))
-    nodes = checkpointed(nodes.join(roots, "node", "left").where("n > 1 or root is not null"))
+    texts = told.where("nodes is not null").select("id", "th", "nodes")
+    counts = texts.select(F.explode("nodes").alias("node")).where("node is not null").groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    again = checkpointed(counts.join(roots, "node", "full").select("node", F.coalesce("n", F.lit(1)).alias("n"), "root"))
+    # most lines are alone: only those whose node may repeat are looked at one by one
+    shared = spark.sparkContext.broadcast(wanted_filter(again, again.count()))
+    lines = checkpointed(texts.mapInArrow(lean(_possible(shared)), f"id {kind}, th long, line int, node long"))
+    firsts = lines.groupBy("node").agg(F.min(F.struct("id", "line", "th")).alias("first"))
+    nodes = checkpointed(again.join(firsts, "node"))
     fuzzy = nodes.where("root is not null")
     best = fuzzy.groupBy("root").agg(F.min("first").alias("keep"))
     fuzzy = fuzzy.join(best, "root").select("node", "root", "n", "keep")

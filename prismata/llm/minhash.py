@@ -29,6 +29,8 @@ LED = 16
 HELD = 1_000_000
 #: Rows of a key that are compared with their leaders at once.
 PIECE = 2048
+#: Rows of (node, root) that may be broadcast.
+ROOTS = 500_000
 #: A sketch holds two bits of each of so many minima.
 SKETCH = 32
 _ODD = np.uint64(0x5555555555555555)
@@ -37,9 +39,9 @@ _RNG = np.random.default_rng(29)
 _DRAW = _RNG.integers(1, 1 << 32, (2, 128), np.uint32)
 ROW = np.dtype([("key", "<i8"), ("node", "<i8"), ("size", "<i4"), ("sketch", "<u8")])
 PACKED = np.dtype([("key", "<u4"), ("node", "<i8"), ("size", "<u4"), ("sketch", "<u8")])  # the top bit of a size: the key was led in a worker
-LINKED = np.dtype([*ROW.descr, ("center", "<i8"), ("ok", "?")])
+LINKED = np.dtype([*ROW.descr, ("center", "<i8"), ("ok", "?"), ("open", "?")])
 #: Columns of a row that is not of the document kind.
-CELLS = "key long, node long, size int, sketch long, center long, ok boolean"
+CELLS = "key long, node long, size int, sketch long, center long, ok boolean, open boolean"
 
 
 def minima(feature: np.ndarray, first: np.ndarray, hashes: int) -> np.ndarray:
@@ -70,15 +72,19 @@ def sketches(low: np.ndarray) -> np.ndarray:
 
 
 class Close:
-    """Whether sizes and sketches allow a similarity."""
+    """Whether sizes and sketches allow a similarity.
 
-    def __init__(self, ratio: float, apart: int):
-        self.ratio, self.apart = ratio, apart
+    Sketches may differ in `apart` places, those of a pair of up to `small` in size, which have
+    few features, in `small_apart`.
+    """
+
+    def __init__(self, ratio: float, apart: int, small: int = -1, small_apart: int = 0):
+        self.ratio, self.apart, self.small, self.small_apart = ratio, apart, small, small_apart
 
     def __call__(self, size_a, sketch_a, size_b, sketch_b):
         small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
         x = sketch_a ^ sketch_b
-        return (small >= self.ratio * large - 1e-9) & (np.bitwise_count((x | x >> np.uint64(1)) & _ODD) <= self.apart)
+        return (small >= self.ratio * large - 1e-9) & (np.bitwise_count((x | x >> np.uint64(1)) & _ODD) <= np.where(large <= self.small, self.small_apart, self.apart))
 
 
 def _led(rows: np.ndarray, close: Close) -> np.ndarray:
@@ -89,7 +95,7 @@ def _led(rows: np.ndarray, close: Close) -> np.ndarray:
     out = np.zeros(len(rows), LINKED)
     for name in ROW.names:
         out[name] = rows[name]
-    out["center"] = out["node"]
+    out["center"], out["open"] = out["node"], True
     left = np.arange(len(rows))
     while len(left):
         leaders = []
@@ -108,6 +114,14 @@ def _led(rows: np.ndarray, close: Close) -> np.ndarray:
     return out
 
 
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of some keys, and the bounds of equal ones in it."""
+    order = np.argsort(key)
+    own = key[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    return order, np.append(first, len(own))
+
+
 def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows by (key, node), sorted, and the bounds of their keys."""
     rows = rows[np.lexsort((rows["node"], rows["key"]))]
@@ -138,14 +152,19 @@ class Packer:
     def flush(self) -> list[tuple[int, bool, bytes]]:
         if not self.count:
             return []
-        rows, bounds = _grouped(np.concatenate(self.rows))
+        rows = np.concatenate(self.rows)
         self.rows, self.count = [], 0
+        order, bounds = _sorted(np.ascontiguousarray(rows["key"]))
+        rows = rows[order]
         stay, frequent, out = np.ones(len(rows), bool), np.zeros(len(rows), bool), []
         for g in np.flatnonzero(np.diff(bounds) > LED).tolist():
             lo, hi = int(bounds[g]), int(bounds[g + 1])
-            led = _led(rows[lo:hi], self.close)
-            stay[lo:hi] = ~led["ok"]
-            frequent[lo:hi] = True
+            own, _ = _grouped(rows[lo:hi])
+            led = _led(own, self.close)
+            stay[lo:hi], frequent[lo:hi] = False, True
+            lead = np.flatnonzero(~led["ok"])
+            rows[lo : lo + len(lead)] = own[lead]
+            stay[lo : lo + len(lead)] = True
             out.append((int(rows["node"][lo] % self.parts), True, led.tobytes()))
         rows, frequent = rows[stay], frequent[stay]
         packed = np.zeros(len(rows), PACKED)
@@ -168,16 +187,22 @@ def blobs(found: list[tuple[int, bool, bytes]]) -> list[pa.Array]:
 
 def _emitted(rows: np.ndarray) -> pa.RecordBatch:
     take = lambda name, kind=None: pa.array(np.ascontiguousarray(rows[name]) if kind is None else np.ascontiguousarray(rows[name]).view(kind))
-    return pa.RecordBatch.from_arrays([take("key"), take("node"), take("size"), take("sketch", np.int64), take("center"), take("ok")], names=["key", "node", "size", "sketch", "center", "ok"])
+    return pa.RecordBatch.from_arrays([take("key"), take("node"), take("size"), take("sketch", np.int64), take("center"), take("ok"), take("open")], names=names())
 
 
 def _part(part: int, held: list[bytes], close: Close) -> Iterator[pa.RecordBatch]:
     packed = np.concatenate([np.frombuffer(b, PACKED) for b in held])
+    # most keys stand alone and lead to nothing
+    order, bounds = _sorted(np.ascontiguousarray(packed["key"]))
+    count = np.diff(bounds)
+    packed = packed[order[np.repeat(count > 1, count) | (packed["size"][order] >> 31 > 0)]]
     rows = np.zeros(len(packed), ROW)
     rows["key"] = packed["key"].astype(np.int64) | np.int64(part) << 32
     for name in PACKED.names[1:]:
         rows[name] = packed[name].view(ROW[name])
     rows, bounds = _grouped(rows)
+    if not len(rows):
+        return
     frequent = rows["size"] < 0
     rows["size"] &= 0x7FFFFFFF
     # most keys are all close to their first row; the others are led one by one
@@ -192,6 +217,7 @@ def _part(part: int, held: list[bytes], close: Close) -> Iterator[pa.RecordBatch
         out[name] = rows[name][easy]
     out["center"] = rows["node"][lead][easy]
     out["ok"] = out["center"] != out["node"]
+    out["open"] = np.repeat((count > 2) | more, count)[easy]  # of two rows there is one pair only
     all_led = [out]
     for g in np.flatnonzero(~whole | more & (count == 1)).tolist():
         led = _led(rows[bounds[g] : bounds[g + 1]], close)
@@ -255,11 +281,12 @@ def star(cells: DataFrame) -> DataFrame:
     return cells.where("ok").select(F.greatest("node", "center").alias("a"), F.least("node", "center").alias("b")).distinct()
 
 
-def _crossing(close: Close):
+def _crossing(close: Close, told: Close | None):
     def handle(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Pairs of nodes of each cell that have different roots and are close."""
-        node, root, size, sketch = (t.column(k).to_numpy() for k in (2, 3, 4, 5))
+        """Close pairs of nodes of different roots, each in the cell of the least key that they share."""
+        key, node, root, size, sketch = (t.column(k).to_numpy() for k in (0, 2, 3, 4, 5))
         sketch, probe = sketch.view(np.uint64), t.column(6).to_numpy(zero_copy_only=False)
+        keys = _padded(t.column(7).combine_chunks())
         count = np.diff(bounds)
         group = np.repeat(np.arange(len(count)), count)
         ask = np.flatnonzero(probe & (count[group] > 1))
@@ -268,31 +295,50 @@ def _crossing(close: Close):
             n = count[group[part]]
             left = np.repeat(part, n)
             right = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[:-1][group[part]], n)
-            near = np.flatnonzero(root[left] != root[right])
+            near = np.flatnonzero((root[left] != root[right]) & (node[left] > node[right]))
             left, right = left[near], right[near]
-            near = close(size[left], sketch[left], size[right], sketch[right])
-            a, b = node[left[near]], node[right[near]]
+            both = size[left], sketch[left], size[right], sketch[right]
+            near = close(*both) if told is None else close(*both) & ~told(*both)
+            left, right = left[near], right[near]
+            once = np.zeros(len(left), bool)
+            for lo in range(0, len(left), 20_000):
+                x, y = keys[left[lo : lo + 20_000]], keys[right[lo : lo + 20_000]]
+                common = ((x[:, :, None] == y[:, None, :]) & (x >= 0)[:, :, None]).any(axis=2)
+                once[lo : lo + 20_000] = x[np.arange(len(x)), common.argmax(axis=1)] == key[left[lo : lo + 20_000]]
+            a, b = node[left[once]], node[right[once]]
             if len(a):
-                pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return handle
 
 
-def rest(cells: DataFrame, roots: DataFrame, close: Close, told: DataFrame) -> DataFrame:
-    """Distinct close pairs (a, b) of a band whose ends have different roots, but for those told.
+def _padded(lists: pa.Array) -> np.ndarray:
+    """Sorted keys, which are not negative, as the rows of a matrix that ends in -1."""
+    lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)
+    size = lists.value_lengths().to_numpy()
+    out = np.full((len(size), int(size.max())), -1, np.int64)
+    out[np.repeat(np.arange(len(size)), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
+    return out
+
+
+def rest(cells: DataFrame, roots: DataFrame, close: Close, led: DataFrame, told: Close | None = None) -> DataFrame:
+    """The close pairs (a, b) of a band whose ends have different roots, but for those led, and
+    those that were already close in the sense of `told`.
 
     roots holds (node, root) of the nodes that have links.
     """
-    named = cells.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", "sketch").distinct()
+    # 16 bytes a row: few roots need no second shuffle of the cells
+    small = F.broadcast(roots) if roots.count() <= ROOTS else roots
+    named = cells.where("open").join(small, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", "sketch")
     mixed_keys = named.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
     open_rows = checkpointed(named.join(mixed_keys, "key", "left_semi"))
+    keys = open_rows.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # a node has few
     salt: Column = F.xxhash64("node")
-    dealt = grid(open_rows, "key", salt, F.lit(True)).select("key", "cell", "node", "root", "size", "sketch", "probe")
+    dealt = grid(open_rows.join(keys, "node"), "key", salt, F.lit(True)).select("key", "cell", "node", "root", "size", "sketch", "probe", "keys")
     dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    handle = _crossing(close)
-    found = dealt.mapInArrow(lean(lambda b: streamed(b, columns(0, 1), handle)), "a long, b long").distinct()
-    return found.join(told, ["a", "b"], "left_anti")
+    handle = _crossing(close, told)
+    found = dealt.mapInArrow(lean(lambda b: streamed(b, columns(0, 1), handle)), "a long, b long")
+    return found.join(led, ["a", "b"], "left_anti")
 
 
 def _verified(pairs: DataFrame, norms: DataFrame, alike) -> DataFrame:
@@ -303,11 +349,16 @@ def _verified(pairs: DataFrame, norms: DataFrame, alike) -> DataFrame:
 def linked(cells: DataFrame, norms: DataFrame, close: Close, alike) -> DataFrame:
     """(node, root) of the nodes that link to another one.
 
-    `alike` maps batches of (a, b, norm of a, norm of b) to the (a, b) that do link.
+    `alike` maps batches of (a, b, norm of a, norm of b) to the (a, b) that do link. Leaders
+    come first, then the nearest of the pairs between different groups, then all others.
     """
     led = checkpointed(star(cells))
     roots = components(_verified(led, norms, alike))
-    return completed(roots, _verified(rest(cells, roots, close, led), norms, alike))
+    told = None
+    for near in (Close(close.ratio, close.apart // 3), Close(close.ratio, close.apart * 2 // 3), close):
+        pairs = checkpointed(rest(cells, roots, near, led, told))
+        roots, told = completed(roots, _verified(pairs, norms, alike)), near
+    return roots
 
 
 __all__ = ["CELLS", "Close", "Packer", "band_keys", "blobs", "collected", "completed", "linked", "minima", "names", "rest", "sketches", "star"]

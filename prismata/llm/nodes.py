@@ -72,7 +72,7 @@ def wanted_filter(nodes: DataFrame, count: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _passes(table: np.ndarray, node: np.ndarray) -> np.ndarray:
+def passes(table: np.ndarray, node: np.ndarray) -> np.ndarray:
     n = node.view(np.uint64)
     block = ((n >> np.uint64(FILTER_AT)) & np.uint64(len(table) - 1)).astype(np.int64)
     ok = np.ones(len(n), bool)
@@ -91,7 +91,7 @@ def _fetcher(shared, plain: np.ndarray):
             for lo, hi in slices(batch.column(0)):
                 own = Lines(*utf8(batch.column(0).slice(lo, hi - lo)), plain)
                 node = own.nodes()
-                at = np.flatnonzero(_passes(table, node))
+                at = np.flatnonzero(passes(table, node))
                 _, one = np.unique(node[at], return_index=True)
                 at = at[one]
                 raw = own.text.tobytes()
