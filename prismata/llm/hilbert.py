@@ -102,7 +102,8 @@ def _levels(rows: DataFrame, column: str) -> Column:
     values = rows.where(F.col(column).isNotNull()).select(_number(column, skip).alias("x")).distinct()
     cuts = sorted(set(values.agg(F.percentile_approx("x", [k / top for k in range(1, top)], 10_000).alias("c")).first()["c"]))
     above = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < _number(column, skip)))
-    return F.when(F.col(column).isNull(), 0).otherwise(above + 1)
+    # few values are spread over all levels, else they would differ in the lowest bits only
+    return F.when(F.col(column).isNull(), 0).otherwise(F.floor(above * (top - 1) / len(cuts)) + 1)
 
 
 def _sizes(rows: DataFrame) -> Column:

@@ -109,6 +109,7 @@ def test_shards_prune_by_each_dimension(spark):
     def read(column, values):
         return sum(s[f"{column}_min"] <= v <= s[f"{column}_max"] for v in values for s in ranges) / (16 * len(values))
 
+    print([round(read(*x), 2) for x in (("source", [f"site-{k:03d}" for k in range(26)]), ("lang", ["de", "en", "es", "fr"]), ("size", range(100, 4000, 100)))])
     assert read("source", [f"site-{k:03d}" for k in range(26)]) < 0.5
     assert read("lang", ["de", "en", "es", "fr"]) < 0.7
     assert read("size", range(100, 4000, 100)) < 0.7
