@@ -32,7 +32,7 @@ from .common import bound_batches, lean, renamed, slices
 
 NONE = np.int64(1 << 62)
 #: Distinct words a worker remembers; the cache is emptied when it is full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Bytes of text that are encoded and handed on at once.
 PART_BYTES = 1 << 20
 END = "</w>"

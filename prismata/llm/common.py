@@ -30,6 +30,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
+            _powers.clear()
             gc.collect()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):

@@ -48,7 +48,7 @@ FLOOR = 0.4
 POWER = 3
 PIECE = 24
 #: Words a worker remembers as far from all landmarks, till it forgets them all.
-KNOWN = 200_000
+KNOWN = 100_000
 EDGES = ".,;:!?\"'()[]{}|<>*#$%&-_=+~`/\\"
 SPELLED = re.compile(r"(?<!\S)\S(?:[ ]\S){2,}(?!\S)")
 START, STOP, DIGIT, OTHER = 30, 31, 27, 28
