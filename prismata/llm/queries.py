@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, gam, hilbert, lines, pii, simhash, toxicity, url_filter
+from . import ann, bpe, codes, decontaminate, gam, hilbert, lines, pii, simhash, toxicity, url_filter
 from .common import crc_mod, table
 
 
@@ -84,6 +84,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, RULES, listed)
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return codes.digest(*codes.compress(vectors))
+
+
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOW + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -118,10 +123,28 @@ SELECT page_id, host, path,
 FROM l
 """
 
+_MOVED = """a{0} AS MATERIALIZED (SELECT rid, p, min(d * 16 + entry) AS best FROM
+    (SELECT rid, c.p, entry, sum((q - v) * (q - v)) AS d FROM c JOIN e{0} USING (p, j) GROUP BY ALL) GROUP BY ALL),
+m{0} AS (SELECT a.p, CAST(best % 16 AS BIGINT) AS entry, j, sum(q) AS s, count(*) AS n FROM a{0} a JOIN c USING (rid, p) GROUP BY ALL),
+e{1} AS MATERIALIZED (SELECT e.p, e.entry, e.j, coalesce((s - ((s % n) + n) % n) // n, v) AS v FROM e{0} e LEFT JOIN m{0} m ON e.p = m.p AND e.entry = m.entry AND e.j = m.j)"""
+OP13_SQL = f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, embedding AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+size AS (SELECT (max(len(v)) + 7) // 8 AS w FROM k),
+c AS MATERIALIZED (SELECT rid, (i - 1) // w AS p, (i - 1) % w AS j, CAST(floor(coalesce(CAST(v[i] AS DOUBLE), 0) * 4096) AS HUGEINT) AS q
+    FROM (SELECT rid, v, w, unnest(range(1, 8 * w + 1)) AS i FROM k, size)),
+e0 AS (SELECT p, CAST(rid - 1 AS BIGINT) AS entry, j, q AS v FROM c WHERE rid <= 16),
+{", ".join(_MOVED.format(i, i + 1) for i in range(6))},
+f AS (SELECT rid, p, min(d * 16 + entry) AS best FROM (SELECT rid, c.p, entry, sum((q - v) * (q - v)) AS d FROM c JOIN e6 USING (p, j) GROUP BY ALL) GROUP BY ALL),
+r AS (SELECT rid, string_agg(lpad(lower(hex(CAST(best % 16 AS BIGINT))), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best // 16) AS BIGINT) AS error FROM f GROUP BY rid),
+b AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, entry, j)) AS codebooks_sha256 FROM e6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN r USING (rid), b
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_pii, op4_toxicity, op5_hilbert_shards, op6_quality, op7_simhash, op8_multiprobe, op9_fuzzy_lines, op10_url_filter)}
+    return {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_pii, op4_toxicity, op5_hilbert_shards, op6_quality, op7_simhash, op8_multiprobe, op9_fuzzy_lines, op10_url_filter, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op10_url_filter": OP10_SQL, "op13_vector_codes": OP13_SQL}
