@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, codes, decontaminate, gam, hilbert, lines, pii, simhash, toxicity, url_filter
+from . import ann, bpe, codes, conversations, decontaminate, gam, hilbert, lines, pii, simhash, toxicity, url_filter
 from .common import crc_mod, table
 
 
@@ -84,6 +84,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, RULES, listed)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     return codes.digest(*codes.compress(vectors))
@@ -123,6 +127,52 @@ SELECT page_id, host, path,
 FROM l
 """
 
+def _crc_table() -> list[int]:
+    """The 256 remainders of the byte-wise CRC-32, from its polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+#: Costs are eight digits in front of the audit so far: the least string is the cheapest, then the first.
+_PLUS = "lpad(CAST(CAST({0}[1:8] AS INT) + {1} AS VARCHAR), 8, '0') || {0}[9:] || '{2}'"
+_AFTER_S = "least(" + ", ".join(_PLUS.format(m, "{0}", "{1}") for m in ("m0", "m1", "m3")) + ")"
+_AFTER_U = _PLUS.format("m2", "{0}", "{1}")
+_CUT = "(CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END)"
+_STAYS = "fault IN ('', 'truncated')"
+OP11_SQL = f"""
+WITH RECURSIVE t AS (SELECT {_crc_table()}::UBIGINT[] AS t),
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS b FROM conversations),
+c AS (SELECT o.*, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(b, lambda x: CAST(ascii(x) AS UBIGINT))), lambda r, x: xor(r >> 8, t[CAST((xor(r, x) & 255) AS INT) + 1])), 4294967295::UBIGINT) % 20 AS INT) AS crc FROM o, t),
+d AS (SELECT conv_id, turn, CASE WHEN crc = 4 THEN 'user' ELSE role END AS role, CASE crc WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM (SELECT * FROM c WHERE crc > 0 UNION ALL SELECT * FROM c WHERE crc = 3)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS k FROM d),
+x AS (SELECT *, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+    WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM n),
+p AS (SELECT conv_id, 0::BIGINT AS k, '00000000' AS m0, NULL::VARCHAR AS m1, '00000005I' AS m2, '00000010II' AS m3 FROM conversations GROUP BY conv_id
+    UNION ALL SELECT conv_id, k, m0, m1, n2, least(m3, {_PLUS.format("n2", 5, "I")}) FROM (
+        SELECT *, least(m2, {_AFTER_S.format(5, "I")}) AS n2 FROM (
+            SELECT p.conv_id, x.k, least({_PLUS.format("m0", 2, "D")}, CASE WHEN {_STAYS} AND i = '' THEN {_PLUS.format("m0", _CUT, "K")} END) AS m0,
+                least({_PLUS.format("m1", 2, "D")}, CASE WHEN {_STAYS} AND i = '' THEN {_PLUS.format("m1", _CUT, "K")} WHEN {_STAYS} AND i = 's' THEN {_PLUS.format("m0", _CUT, "K")} END) AS m1,
+                least({_PLUS.format("m2", 2, "D")}, CASE WHEN {_STAYS} AND i = '' THEN {_PLUS.format("m2", _CUT, "K")} WHEN {_STAYS} AND i = 'u' THEN {_AFTER_S.format(_CUT, "K")} END, CASE WHEN {_STAYS} THEN {_AFTER_S.format(f"1 + {_CUT}", "R")} END) AS m2,
+                least({_PLUS.format("m3", 2, "D")}, CASE WHEN {_STAYS} AND i = '' THEN {_PLUS.format("m3", _CUT, "K")} WHEN {_STAYS} AND i = 'a' THEN {_AFTER_U.format(_CUT, "K")} END, CASE WHEN {_STAYS} THEN {_AFTER_U.format(f"1 + {_CUT}", "R")} END) AS m3
+            FROM p JOIN x ON x.conv_id IS NOT DISTINCT FROM p.conv_id AND x.k = p.k + 1))),
+best AS (SELECT conv_id, arg_max(least(m0, m3), k) AS m FROM p GROUP BY conv_id),
+e AS (SELECT *, sum(CASE WHEN letter = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY spot) AS k FROM
+    (SELECT conv_id, unnest(string_split(m[9:], '')) AS letter, unnest(range(1, len(m) - 7)) AS spot FROM best WHERE len(m) > 8)),
+y AS (SELECT e.conv_id, spot, letter, role, text, i, sum(CASE WHEN letter = 'K' AND i = '' THEN 0 ELSE 1 END) OVER w AS j, first_value(letter = 'K' AND i = 's') OVER w AS led
+    FROM e LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM e.conv_id AND x.k = e.k AND letter <> 'I' WHERE letter <> 'D' WINDOW w AS (PARTITION BY e.conv_id ORDER BY letter = 'K' AND i = '', spot)),
+z AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (j - CAST(led AS INT)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY spot) AS out FROM y GROUP BY conv_id),
+s AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (k > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM x) GROUP BY conv_id)
+SELECT b.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    CAST(m[1:8] AS BIGINT) AS cost, m[9:] AS audit, sha256(coalesce(out, '')) AS repaired_sha256
+FROM best b LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
 _MOVED = """a{0} AS MATERIALIZED (SELECT rid, p, min(d * 16 + entry) AS best FROM
     (SELECT rid, c.p, entry, sum((q - v) * (q - v)) AS d FROM c JOIN e{0} USING (p, j) GROUP BY ALL) GROUP BY ALL),
 m{0} AS (SELECT a.p, CAST(best % 16 AS BIGINT) AS entry, j, sum(q) AS s, count(*) AS n FROM a{0} a JOIN c USING (rid, p) GROUP BY ALL),
@@ -143,8 +193,8 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_pii, op4_toxicity, op5_hilbert_shards, op6_quality, op7_simhash, op8_multiprobe, op9_fuzzy_lines, op10_url_filter, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_pii, op4_toxicity, op5_hilbert_shards, op6_quality, op7_simhash, op8_multiprobe, op9_fuzzy_lines, op10_url_filter, op11_conversation_repair, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op10_url_filter": OP10_SQL, "op13_vector_codes": OP13_SQL}
+    return {"op1_decontamination": OP1_SQL, "op10_url_filter": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op13_vector_codes": OP13_SQL}
