@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, codes, conversations, decontaminate, gam, hilbert, lines, pii, simhash, toxicity, url_filter
+from . import ann, bpe, codes, conversations, decontaminate, gam, hilbert, lines, pii, secret_scan, simhash, toxicity, url_filter
 from .common import crc_mod, table
 
 
@@ -88,6 +88,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     return codes.digest(*codes.compress(vectors))
@@ -193,7 +197,7 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_pii, op4_toxicity, op5_hilbert_shards, op6_quality, op7_simhash, op8_multiprobe, op9_fuzzy_lines, op10_url_filter, op11_conversation_repair, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_pii, op4_toxicity, op5_hilbert_shards, op6_quality, op7_simhash, op8_multiprobe, op9_fuzzy_lines, op10_url_filter, op11_conversation_repair, op12_secret_field, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
