@@ -1,4 +1,5 @@
-"""The indexing dataflow over a checkout of one made-up Java file for each supplier."""
+"""The indexing dataflow over made-up checkouts: Java files for each supplier, from one
+template (T), and from three that use each other and more of the language (shapes)."""
 
 from __future__ import annotations
 
@@ -98,3 +99,130 @@ UNION ALL SELECT concat('com.acme.T', a), 'Api', NULL, 'IMPLEMENTS' FROM g
 UNION ALL SELECT concat('com.acme.T', a), concat('T', b, '.Hook'), CASE WHEN (SELECT count(*) FROM g h WHERE h.a = g.b) > 0 THEN concat('com.acme.T', b, '.Hook') END, 'IMPLEMENTS' FROM g""")
 def _(r: Repo) -> DataFrame:
     return java.resolved_supers(_units(r)).select(F.col("sub_key").alias("sub"), F.col("super_raw").alias("super"), F.col("super_key").alias("target"), "kind")
+
+
+#: Three files a supplier: a base class, its user, and a helper that shares a name with a class of the user's package.
+SHAPES = {
+    "src/main/java/com/shapes/base#/Base#.java": """package com.shapes.base#;
+/** Base of # (see {@link Use#}). */
+@SuppressWarnings({"unused", "}"})
+public abstract class Base# implements com.shapes.other.Named, AutoCloseable {
+  protected int[] sizes = {1, 2}, more[];
+  static { System.out.println("not { a callable"); }
+  public Base# self() { return this; }
+  public Base# with(int n) { return n < 0 ? this : with(-n); }
+  protected void inherited(Object o) { toString(); }
+  protected static class Part { Base# whole() { return null; } }
+}
+""",
+    "src/main/java/com/shapes/use#/Use#.java": """package com.shapes.use#;
+import com.shapes.base#.Base#;
+import com.shapes.other.Helper#;
+import static com.shapes.other.Helper#.go;
+public class Use# extends Base# implements Runnable {
+  enum Mode { ON { int code() { return start(); } }, OFF; int code() { return start(); } static int start() { return 0; } }
+  record Pair<A>(A a, String b) implements java.util.function.Supplier<A> { Pair { go(1); } public A get() { return a(); } }
+  @interface Mark { String value() default "{"; int[] at() default {}; }
+  private final Helper# helper = new Helper#();
+  public Use#(int n) { super(); go(n); }
+  public Use# with(String s) { return this; }
+  Use# own() { return this; }
+  public <T extends Comparable<T>> void generic(T t, java.util.Map<String, T>... rest) { inherited(t); }
+  @Override
+  public void run() {
+    self().with(1).inherited(null);
+    with("s").own();
+    with(1)
+      .self();
+    Runnable r = () -> helper.help(1, (a, b) -> a.x());
+    Runnable q = new Runnable() { public void run() { local(); helper.help("s", null); own(); } void local() {} };
+    for (var p = new Pair<String>("a, b", "c"); p.get() != null;) { p.get().length(); }
+    Mode.OFF.code(); // Mode.ON.code()
+    go(2);
+    super.with(3);
+    new Part().whole().self();
+    if (q instanceof Use# u && u.own() != null) u.<String>generic("x");
+    missing.call();
+    new Thread(this::own, String.valueOf('"')).start();
+  }
+}
+class Helper# { void help(int n, Object o) {} }
+""",
+    "src/main/java/com/shapes/other/Helper#.java": """package com.shapes.other;
+public class Helper# { public void help(int n, Runnable r) {} public void help(String s, Object o) {} public static void go(int n) {} }
+interface Named extends Comparable<Named> { default String title() { return getClass().getName(); } }
+""",
+}
+NAMED = "src/main/java/com/shapes/other/Helper#.java"
+U, B, O = "com.shapes.use#.Use#", "com.shapes.base#.Base#", "com.shapes.other.Helper#"  # noqa: E741
+
+
+def _shapes(r: Repo) -> DataFrame:
+    """Three files a supplier; Named, of the first supplier's helper file only, is a type of all."""
+    own = F.col("s_suppkey").cast("string")
+    first = r.supplier.agg(F.min("s_suppkey").alias("f"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(t).alias("t")) for p, t in SHAPES.items()])).alias("k")
+    s = r.supplier.join(F.broadcast(first)).select("s_suppkey", "f", kinds)
+    text = F.when((F.col("k.p") == NAMED) & (F.col("s_suppkey") != F.col("f")), F.regexp_replace("k.t", r"interface Named.*\n", "")).otherwise(F.col("k.t"))
+    return s.select(F.replace("k.p", F.lit("#"), own).alias("path"), F.replace(text, F.lit("#"), own).cast("binary").alias("content"))
+
+
+def _rows(columns: str, rows: list[tuple], extra: list[tuple] = ()) -> str:
+    """SQL: the rows for every supplier, `extra` for the first one; # is the supplier's number."""
+    names = columns.split(", ")
+    said = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    values = lambda x: ", ".join("(" + ", ".join(map(said, v)) + ")" for v in x)
+    put = ", ".join(c if isinstance(rows[0][k], int) else f"replace({c}, '#', {I}) AS {c}" for k, c in enumerate(names))
+    sql = f"SELECT {put} FROM supplier, (VALUES {values(rows)}) AS v({columns})"
+    return sql + (f" UNION ALL SELECT {put} FROM supplier, (VALUES {values(extra)}) AS v({columns}) WHERE s_suppkey = (SELECT min(s_suppkey) FROM supplier)" if extra else "")
+
+
+DECLARED = [
+    ("CLASS", B, 3, 11, "public abstract class Base#"), ("FIELD", B + ".sizes", 5, 5, "protected int sizes"), ("FIELD", B + ".more", 5, 5, "protected int more"), ("METHOD", B + "#self/0".replace("#", "~"), 7, 7, "public Base# self()"),
+    ("METHOD", B + "~with/1", 8, 8, "public Base# with(int)"), ("METHOD", B + "~inherited/1", 9, 9, "protected void inherited(Object)"), ("CLASS", B + ".Part", 10, 10, "protected static class Part"), ("METHOD", B + ".Part~whole/0", 10, 10, " Base# whole()"),
+    ("CLASS", U, 5, 31, "public class Use#"), ("ENUM", U + ".Mode", 6, 6, " enum Mode"), ("METHOD", U + ".Mode~code/0", 6, 6, " int code()"), ("METHOD", U + ".Mode~start/0", 6, 6, "static int start()"),
+    ("RECORD", U + ".Pair", 7, 7, " record Pair"), ("METHOD", U + ".Pair~get/0", 7, 7, "public A get()"), ("ANNOTATION", U + ".Mark", 8, 8, " annotation Mark"), ("FIELD", U + ".helper", 9, 9, "private final Helper# helper"),
+    ("CONSTRUCTOR", U + "~<init>/1", 10, 10, "public <init>(int)"), ("METHOD", U + "~with/1", 11, 11, "public Use# with(String)"), ("METHOD", U + "~own/0", 12, 12, " Use# own()"), ("METHOD", U + "~generic/2", 13, 13, "public void generic(T, java.util.Map<String, T>...)"),
+    ("METHOD", U + "~run/0", 14, 30, "public void run()"), ("CLASS", "com.shapes.use#.Helper#", 32, 32, " class Helper#"), ("METHOD", "com.shapes.use#.Helper#~help/2", 32, 32, " void help(int, Object)"),
+    ("CLASS", O, 2, 2, "public class Helper#"), ("METHOD", O + "~help/2", 2, 2, "public void help(int, Runnable)"), ("METHOD", O + "~help/2", 2, 2, "public void help(String, Object)"), ("METHOD", O + "~go/1", 2, 2, "public static void go(int)"),
+]
+DECLARED_ONCE = [("INTERFACE", "com.shapes.other.Named", 3, 3, " interface Named"), ("METHOD", "com.shapes.other.Named~title/0", 3, 3, "default String title()")]
+#: `~` is the sign between a type and its member; # is the supplier.
+_KEYED = "SELECT kind, replace(key, '~', '#') AS key, first, last, signature FROM ({})"
+
+
+@query("c4_syntax", _KEYED.format(_rows("kind, key, first, last, signature", DECLARED, DECLARED_ONCE)))
+def _(r: Repo) -> DataFrame:
+    own = java.symbol_rows(java.parsed(_shapes(r)))
+    return own.select("kind", F.col("qualified_name").alias("key"), F.col("start_line").alias("first"), F.col("end_line").alias("last"), "signature")
+
+
+RUN = U + "~run/0"
+EDGES = [
+    (B + "~with/1", B + "~with/1", 8, "with/1", ""), (B + "~inherited/1", None, 9, "toString/0", "EXTERNAL"), (U + ".Mode~code/0", U + ".Mode~start/0", 6, "start/0", ""), (U + ".Pair~get/0", None, 7, "a/0", "EXTERNAL"),
+    (U + "~<init>/1", O + "~go/1", 10, "go/1", ""), (U + "~generic/2", B + "~inherited/1", 13, "inherited/1", ""),
+    (RUN, B + "~self/0", 16, "self/0", ""), (RUN, B + "~with/1", 16, "self()~with/1", ""), (RUN, B + "~inherited/1", 16, "self().with(1)~inherited/1", ""),
+    (RUN, U + "~with/1", 17, "with/1", ""), (RUN, U + "~own/0", 17, "with(\"s\")~own/0", ""), (RUN, B + "~with/1", 18, "with/1", ""), (RUN, B + "~self/0", 19, "with(1)~self/0", ""),
+    (RUN, O + "~help/2", 20, "helper~help/2", ""), (RUN, None, 20, "a~x/0", "UNSOLVED"),
+    (RUN, None, 21, "Runnable/0", "EXTERNAL"), (RUN, None, 21, "local/0", "UNSOLVED"), (RUN, O + "~help/2", 21, "helper~help/2", ""), (RUN, U + "~own/0", 21, "own/0", ""),
+    (RUN, None, 22, "Pair/2", "EXTERNAL"), (RUN, U + ".Pair~get/0", 22, "p~get/0", ""), (RUN, U + ".Pair~get/0", 22, "p~get/0", ""), (RUN, None, 22, "p.get()~length/0", "UNSOLVED"),
+    (RUN, U + ".Mode~code/0", 23, "Mode.OFF~code/0", ""), (RUN, O + "~go/1", 24, "go/1", ""), (RUN, B + "~with/1", 25, "super~with/1", ""),
+    (RUN, None, 26, "Part/0", "EXTERNAL"), (RUN, B + ".Part~whole/0", 26, "new Part()~whole/0", ""), (RUN, B + "~self/0", 26, "new Part().whole()~self/0", ""),
+    (RUN, U + "~own/0", 27, "u~own/0", ""), (RUN, U + "~generic/2", 27, "u~generic/1", ""), (RUN, None, 28, "missing~call/0", "UNSOLVED"),
+    (RUN, None, 29, "Thread/2", "EXTERNAL"), (RUN, None, 29, "String~valueOf/1", "EXTERNAL"), (RUN, None, 29, "new Thread(this::own, String.valueOf('\"'))~start/0", "EXTERNAL"),
+]
+EDGES_ONCE = [("com.shapes.other.Named~title/0", None, 3, "getClass/0", "EXTERNAL"), ("com.shapes.other.Named~title/0", None, 3, "getClass()~getName/0", "EXTERNAL")]
+
+
+@query("c6_hierarchy", "SELECT replace(caller, '~', '#') AS caller, replace(callee, '~', '#') AS callee, line, replace(raw, '~', '#') AS raw, reason FROM (" + _rows("caller, callee, line, raw, reason", EDGES, EDGES_ONCE) + ")")
+def _(r: Repo) -> DataFrame:
+    edges = java.resolved_calls(java.parsed(_shapes(r)))
+    return edges.select(F.col("caller_key").alias("caller"), F.col("callee_key").alias("callee"), F.col("call_line").alias("line"), F.col("callee_raw").alias("raw"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+RELATIONS = [(B, "com.shapes.other.Named", "com.shapes.other.Named", "IMPLEMENTS"), (B, "AutoCloseable", None, "IMPLEMENTS"), (U, "Base#", B, "EXTENDS"), (U, "Runnable", None, "IMPLEMENTS"), (U + ".Pair", "java.util.function.Supplier<A>", None, "IMPLEMENTS")]
+
+
+@query("c8_imports", _rows("sub, super, target, kind", RELATIONS, [("com.shapes.other.Named", "Comparable<Named>", None, "EXTENDS")]))
+def _(r: Repo) -> DataFrame:
+    return java.resolved_supers(java.parsed(_shapes(r))).select(F.col("sub_key").alias("sub"), F.col("super_raw").alias("super"), F.col("super_key").alias("target"), "kind")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from prismata.functions import text as T
 from prismata.operators import chunks, control, evaluation, evidence, lookup, ranking, retrieval, review, summary
 from prismata.sources import files, java, store
+from prismata.sources.java_syntax import Outline
 from prismata.streaming import ledger
 
 
@@ -156,12 +157,93 @@ interface Api { void run(int a); }
 
 
 def test_java_outline():
-    symbols, calls, supers = java.outline(JAVA)
-    keys = {s["qualified_name"]: s for s in symbols}
+    found = Outline(JAVA)
+    keys = {s["qualified_name"]: s for s in found.symbols}
     assert {"com.x.Service", "com.x.Service#<init>/1", "com.x.Service#main/1", "com.x.Service#submit/2", "com.x.Service#helper/2", "com.x.Service.repo", "com.x.Service.Color", "com.x.Service.Color#code/0", "com.x.Api", "com.x.Api#run/1"} <= set(keys)
     assert keys["com.x.Service#<init>/1"]["name"] == "Service" and keys["com.x.Service"]["start_line"] == 4 and keys["com.x.Service"]["parent_key"] is None
-    assert {(c["caller_key"], c["owner"], c["name"], c["arity"]) for c in calls} >= {("com.x.Service#submit/2", "Repo", "save", 1), ("com.x.Service#submit/2", "Service", "helper", 2), ("com.x.Service#main/1", "Service", "<init>", 1)}
-    assert {(s["super_raw"], s["kind"]) for s in supers} == {("Base", "EXTENDS"), ("Api", "IMPLEMENTS"), ("Closeable", "IMPLEMENTS")}
+    assert keys["com.x.Service"]["javadoc"] == "Orders. {" and keys["com.x.Service#submit/2"]["return_type"] == "List<String>"
+    assert {(c["caller_key"], c["base"], c["ref"], c["name"], c["arity"]) for c in found.nodes} >= {("com.x.Service#submit/2", "TYPE", "Repo", "save", 1), ("com.x.Service#submit/2", "LEXICAL", None, "helper", 2), ("com.x.Service#main/1", "TYPE", "Service", "<init>", 1)}
+    assert {(s["super_raw"], s["kind"]) for s in found.supers} == {("Base", "EXTENDS"), ("Api", "IMPLEMENTS"), ("Closeable", "IMPLEMENTS")}
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    ("if (a < b && c > (d)) f(g(1, h()));", {"f/1", "g/2", "h/0"}),
+    ("x.<A, B>f(new HashMap<A, List<B>>() {{ put(1, 2); }}, y -> y.z());", {"x#f/2", "HashMap/0", "put/2", "y#z/0"}),
+    ("class L { L(int a) { m(a); } <T> void m(T t) {} } new L(1).m(2);", {"m/1", "L/1", "new L(1)#m/1"}),
+    ("switch (o) { case P(int a, Q(var b)) when t(a) -> f(b); case R r -> r.g(); default -> throw e(\"}\"); }", {"t/1", "f/1", "r#g/0", "e/1"}),
+    ("int[] a = {f(1), g()}, b = new int[h()]; this.c[0].d().e();", {"f/1", "g/0", "h/0", "this.c[0]#d/0", "this.c[0].d()#e/0"}),
+    ("try (var s = open()) { s.read(); } catch (E | F e) { e.log(\"\"\"\n  {\"x\"}\"\"\"); } finally { synchronized (lock()) { super.f(); } }", {"open/0", "s#read/0", "e#log/1", "lock/0", "super#f/0"}),
+    ("@SuppressWarnings(value = {\"a\"}) final var x = (String) y.get(); assert ok() : '\"' + bad('{');", {"y#get/0", "ok/0", "bad/1"}),
+    ("return c ? this::f : a.b.C.d(e -> { return g(e); }, Outer.this.h());", {"a.b.C#d/2", "g/1", "Outer.this#h/0"}),
+])
+def test_calls_of_bodies(body, want):
+    found = Outline("class A { String[] c; void run(int p) {\n" + body + "\n} int after() { return last(); } }")
+    assert {n["raw"] for n in found.nodes if n["call_kind"] != "FIELD" and n["caller_key"] == "A#run/1"} == want
+    assert [n["raw"] for n in found.nodes if n["caller_key"] == "A#after/0"] == ["last/0"]
+
+
+@pytest.mark.parametrize("text", ["class A {", "class A { void f( }", "class A { void f() }", "class A } {"])
+def test_broken_files_are_errors(text):
+    with pytest.raises(SyntaxError):
+        Outline(text)
+
+
+def _units(spark, *sources):
+    return java.parsed(spark.createDataFrame([(f"F{i}.java", s.encode()) for i, s in enumerate(sources)], "path string, content binary"))
+
+
+def _edges(units):
+    return {(r.caller_key.split(".")[-1], r.callee_raw): r.callee_key or r.reason for r in java.resolved_calls(units).collect()}
+
+
+def test_members_are_looked_up_along_the_hierarchy(spark):
+    edges = _edges(_units(
+        spark,
+        "package p; public class A { A a() { return this; } void f(String s) {} void f(int n, Object... more) {} static void s() {} int x; }",
+        "package p; interface I { default void d() {} I i(); } interface J extends I { J j(); }",
+        "package q; import p.*; class B extends A implements J { A inner; void f(Object o) {} void run(B b) { this.f(\"s\"); f(1); f(1, 2, 3); d(); i().d(); j().i(); b.a().f(null); inner.a().f(\"s\"); A.s(); b.zz(); toString(); } }",
+        "package q; class C extends B { C a() { return this; } void run() { a().f(2); super.a().a(); new C().run(); new C(1); this.inner.a(); } class D { void run2() { run(); f(this); a().run(); } } }",
+        "class Loop1 extends Loop2 { void f() { g(); h(); } } class Loop2 extends Loop1 { void g() {} }",
+    ))
+    assert edges == {
+        ("B#run/1", "this#f/1"): "p.A#f/1", ("B#run/1", "f/1"): "q.B#f/1", ("B#run/1", "f/3"): "p.A#f/2", ("B#run/1", "d/0"): "p.I#d/0", ("B#run/1", "i/0"): "p.I#i/0", ("B#run/1", "i()#d/0"): "p.I#d/0", ("B#run/1", "j/0"): "p.J#j/0", ("B#run/1", "j()#i/0"): "p.I#i/0",
+        ("B#run/1", "b#a/0"): "p.A#a/0", ("B#run/1", "b.a()#f/1"): "p.A#f/1", ("B#run/1", "inner#a/0"): "p.A#a/0", ("B#run/1", "inner.a()#f/1"): "p.A#f/1", ("B#run/1", "A#s/0"): "p.A#s/0", ("B#run/1", "b#zz/0"): "UNSOLVED", ("B#run/1", "toString/0"): "EXTERNAL",
+        ("C#run/0", "a/0"): "q.C#a/0", ("C#run/0", "a()#f/1"): "q.B#f/1", ("C#run/0", "super#a/0"): "p.A#a/0", ("C#run/0", "super.a()#a/0"): "p.A#a/0", ("C#run/0", "C/0"): "EXTERNAL", ("C#run/0", "new C()#run/0"): "q.C#run/0", ("C#run/0", "C/1"): "EXTERNAL", ("C#run/0", "this.inner#a/0"): "p.A#a/0",
+        ("D#run2/0", "run/0"): "q.C#run/0", ("D#run2/0", "f/1"): "q.B#f/1", ("D#run2/0", "a/0"): "q.C#a/0", ("D#run2/0", "a()#run/0"): "q.C#run/0",
+        ("Loop1#f/0", "g/0"): "Loop2#g/0", ("Loop1#f/0", "h/0"): "UNSOLVED",
+    }
+
+
+def test_overloads_are_ranked_by_arguments(spark):
+    edges = _edges(_units(
+        spark,
+        "package p; class Animal {} class Dog extends Animal {} class Plant {} class R1 { void one() {} } class R2 { void two() {} }",
+        "package p; class Base { R1 f(Plant p) { return null; } R1 g(String s) { return null; } }",
+        "package p; class Sub extends Base { R2 f(Animal a) { return null; } R2 g(int n) { return null; } void run(Dog d) { f(d).two(); f(new Plant()).one(); g(\"s\").one(); g(1).two(); g(true ? 1 : 2).two(); } }",
+    ))
+    assert edges["Sub#run/1", "f/1"] in ("p.Sub#f/1", "p.Base#f/1")  # one text, two calls
+    want = {"f(d)#two/0": "p.R2#two/0", "f(new Plant())#one/0": "p.R1#one/0", 'g("s")#one/0': "p.R1#one/0", "g(1)#two/0": "p.R2#two/0"}
+    assert {k: edges["Sub#run/1", k] for k in want} == want
+
+
+def test_names_mean_the_nearest_scope(spark):
+    units = _units(
+        spark,
+        "package a; public class X { public static class In {} }", "package b; public class X {}", "package c; public class X {} class Y {}",
+        "package d; import a.X; import c.*; class P extends X implements X.In, Y {} class Z extends d.e.W {}",
+        "package b; class Q extends X { class X {} class R extends X {} } class S extends a.X {}",
+        "package c; import java.util.*; class T extends List<X> {} class V extends x.y.X {} class U<X2> extends Missing {}",
+        "package e; import other.X; import b.*; class N extends X {}",
+    )
+    got = {(r.sub_key, r.super_raw): r.super_key for r in java.resolved_supers(units).collect()}
+    assert got == {("d.P", "X"): "a.X", ("d.P", "X.In"): "a.X.In", ("d.P", "Y"): "c.Y", ("d.Z", "d.e.W"): None, ("b.Q", "X"): "b.X", ("b.Q.R", "X"): "b.Q.X", ("b.S", "a.X"): "a.X", ("c.T", "List<X>"): None, ("c.V", "x.y.X"): None, ("c.U", "Missing"): None, ("e.N", "X"): None}
+
+
+def test_nothing_to_resolve(spark):
+    units = _units(spark, "package p; class Empty {}", "class Bad {")
+    assert java.resolved_calls(units).count() == 0 and java.resolved_supers(units).count() == 0
+    assert {(r.path, r.parsed_ok) for r in units.collect()} == {("F0.java", True), ("F1.java", False)}
+    assert java.resolved_calls(units.limit(0)).count() == 0
 
 
 @pytest.fixture()
@@ -182,7 +264,7 @@ def test_scan_and_build(spark, checkout, tmp_path):
     tables = {k: v.cache() for k, v in tables.items()}
     assert orphans.count() == 0
     edges = {(r.callee_raw, r.resolved) for r in tables["call_edge"].collect()}
-    assert ("repo.save()", True) in edges and any(not ok for _, ok in edges)
+    assert ("repo#save/1", True) in edges and any(not ok for _, ok in edges)
     prints = [evaluation.fingerprint(t["symbol"], t["source_file"]).first() for t in (tables, store.built(spark, checkout, 6)[0])]
     assert prints[0] == prints[1]
     kinds = {r.kind for r in tables["chunk"].collect()}
