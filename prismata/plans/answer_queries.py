@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunks, control, evaluation, evidence, ranking, retrieval, summary
+from ..operators.checkpoints import shared_folder
 from ..sources.projection import Repo
+from ..sources.text_index import TextIndex, write_segment
 from .registry import query
 
 USAGE = """SELECT count(*) AS questions, CAST(sum(refused) AS BIGINT) AS refusals, CAST(sum(cache_hit) AS BIGINT) AS cache_hits,
@@ -124,15 +128,56 @@ def _(r: Repo) -> DataFrame:
     return retrieval.search(r.chunk, "idiot 不存", 20).withColumn("score", F.round("score", 9))
 
 
-@query("h5_search_batch", r"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{Nd}_$]+'), lambda x: length(x) >= 2))) AS w FROM benchmark),
+SQL_BATCH = r"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{Nd}_$]+'), lambda x: length(x) >= 2))) AS w FROM benchmark),
 need AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1), d AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(content), '[\p{L}\p{Nd}_$]{2,}'))) AS w FROM chunk),
 h AS (SELECT query_id, id, count(*) AS have FROM q JOIN d ON d.w = q.w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY have DESC, id) AS rank FROM h),
 f AS (SELECT r.*, need, max(CASE WHEN have = need THEN 1 ELSE 0 END) OVER (PARTITION BY r.query_id) = 1 AS full_one FROM r JOIN need ON need.query_id = r.query_id WHERE rank <= 5)
-SELECT query_id, id, CAST(rank AS INTEGER) AS rank, NOT full_one AS relaxed FROM f WHERE NOT full_one OR have = need""")
+SELECT query_id, id, CAST(rank AS INTEGER) AS rank, NOT full_one AS relaxed FROM f WHERE NOT full_one OR have = need"""
+
+
+@query("h5_search_batch", SQL_BATCH)
 def _(r: Repo) -> DataFrame:
     return retrieval.search_batch(r.chunk, r.benchmark.select(F.col("item_id").alias("id"), "text"))
 
 
+_INDEXES: dict[tuple[str, str], TextIndex] = {}
+
+
+def _index(r: Repo) -> TextIndex:
+    """The text index of a table's chunks; built at its first use in a session."""
+    key = (r.spark.sparkContext.applicationId, r.dir)
+    if key not in _INDEXES:
+        base = f"{shared_folder(r.spark)}/text-index-{uuid.uuid4().hex}"
+        write_segment(r.chunk, base, 0, 8)
+        _INDEXES[key] = TextIndex(r.spark, base, 8)
+    return _INDEXES[key]
+
+
+@query("h4_index_all", _phrases(["the", "and of"], True, 100000))
+def _(r: Repo) -> DataFrame:
+    return _index(r).search_phrases(r.chunk, ["the", "and of"], True, 100000).withColumn("score", F.round("score", 9))
+
+
+@query("h4_index_any", _phrases(["idiot", "sh ou"], False, 100000))
+def _(r: Repo) -> DataFrame:
+    return _index(r).search_phrases(r.chunk, ["idiot", "sh ou"], False, 100000).withColumn("score", F.round("score", 9))
+
+
+@query("h5_index_falls_back", _phrases(["idiot"], False, 20))
+def _(r: Repo) -> DataFrame:
+    return _index(r).search(r.chunk, "idiot 不存", 20).withColumn("score", F.round("score", 9))
+
+
+@query("h5_index_batch", SQL_BATCH)
+def _(r: Repo) -> DataFrame:
+    return _index(r).search_batch(r.benchmark.select(F.col("item_id").alias("id"), "text"))
+
+
+@query("b14_terms", r"""SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{Nd}_$]+')) AS term FROM chunk) GROUP BY term""")
+def _(r: Repo) -> DataFrame:
+    return _index(r).terms()
+
+
 #: Tokens of a question in SQL: distinct words of two letters or more in their order, then what its Han bigrams fill up to eight.
 TOKENS = r"""WITH w AS (SELECT id, unnest(regexp_extract_all(text, '[A-Za-z0-9_$]+')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9_$]+'), 1) AS p FROM question),
 words AS (SELECT id, w, min(p) AS p FROM w WHERE length(w) >= 2 GROUP BY id, w), n AS (SELECT id, count(*) AS n FROM words GROUP BY id),

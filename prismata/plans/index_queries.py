@@ -3,10 +3,13 @@ template (T), and from three that use each other and more of the language (shape
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import java
+from ..operators.checkpoints import checkpointed, shared_folder
+from ..sources import java, store
 from ..sources.projection import Repo
 from .registry import query
 
@@ -226,3 +229,21 @@ RELATIONS = [(B, "com.shapes.other.Named", "com.shapes.other.Named", "IMPLEMENTS
 @query("c8_imports", _rows("sub, super, target, kind", RELATIONS, [("com.shapes.other.Named", "Comparable<Named>", None, "EXTENDS")]))
 def _(r: Repo) -> DataFrame:
     return java.resolved_supers(java.parsed(_shapes(r))).select(F.col("sub_key").alias("sub"), F.col("super_raw").alias("super"), F.col("super_key").alias("target"), "kind")
+
+
+@query("b7_committed", """SELECT 'source_file' AS name, 3 * count(*) AS n FROM supplier UNION ALL SELECT 'symbol', 27 * count(*) + 2 FROM supplier
+UNION ALL SELECT 'call_edge', 35 * count(*) + 2 FROM supplier UNION ALL SELECT 'type_relation', 5 * count(*) + 1 FROM supplier UNION ALL SELECT 'orphans', 0""")
+def _(r: Repo) -> DataFrame:
+    """The shapes' index, committed as one version and read back through its manifest."""
+    files = checkpointed(_shapes(r))
+    sources = files.select("path", F.col("content").cast("string").alias("content"))
+    text = r.spark.createDataFrame([], "path string, content_hash string, loc long, parsed_ok boolean, parse_error string, content string")
+    tables, orphans = store.assembled(checkpointed(java.parsed(files)), sources, text, 7)
+    base = f"{shared_folder(r.spark)}/store-{uuid.uuid4().hex}"
+    manifest = store.commit(tables, orphans, base, 7)
+    pinned = store.Pinned(r.spark, base)
+    counts = [pinned.table(t).groupBy(F.lit(t).alias("name")).agg(F.count("*").alias("n")) for t in ("source_file", "symbol", "call_edge", "type_relation")]
+    out = r.spark.range(1).select(F.lit("orphans").alias("name"), F.lit(manifest["orphan_edge_count"]).cast("long").alias("n"))
+    for c in counts:
+        out = out.unionByName(c)
+    return out
