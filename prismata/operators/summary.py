@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_trivial, module_name, package_of, percent, ratio
 from .lookup import with_file
+from .checkpoints import checkpointed
 
 NO_TYPE = "(没有顶层类型)"
 #: Parts of package names that hold domain types; mapping annotations.
@@ -162,6 +163,32 @@ def choose_prefix(packages: list[str], least: int = 3) -> str:
     return prefix
 
 
+def chosen_prefix(packages: DataFrame, column: str = "package", least: int = 3) -> DataFrame:
+    """choose_prefix over a table of packages: its trie is counted by level, and one way down it is followed.
+
+    A node of the trie knows the packages below it, their next segments and the most
+    frequent one that goes deeper; a step looks up one row. No list of packages is collected.
+    """
+    own = packages.where(F.col(column).isNotNull()).select(F.col(column).alias("package")).distinct()
+    seg = F.split("package", r"\.")
+    k = F.col("k")
+    level = own.select("package", seg.alias("seg")).withColumn("k", F.explode(F.sequence(F.lit(0), F.size("seg"))))
+    level = level.select(F.array_join(F.slice("seg", F.lit(1), k), ".").alias("prefix"), F.get("seg", k).alias("next"), (k + 1 < F.size("seg")).alias("deeper"))
+    steps = level.groupBy("prefix", "next").agg(F.count("*").alias("n"), F.count_if("deeper").alias("deep"))
+    ranked = F.min(F.when(F.col("next").isNotNull() & (F.col("deep") > 0), F.struct((-F.col("deep")).alias("n"), F.col("next").alias("next"))))
+    inside, whole = F.col("next").isNotNull(), F.col("next").isNull()
+    node = steps.groupBy("prefix").agg(F.count_if(inside).alias("nexts"), F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).alias("below"), F.max(whole.cast("int")).alias("self"), ranked.getField("next").alias("best"))
+    node = checkpointed(node)
+    total = own.count()
+    prefix = common_prefix(own).first()["prefix"]
+    while row := node.where(F.col("prefix") == prefix).first():
+        groups = row["nexts"] if not prefix else row["nexts"] + total - row["below"]
+        if groups >= least or row["best"] is None:
+            break
+        prefix = f"{prefix}.{row['best']}" if prefix else row["best"]
+    return packages.sparkSession.createDataFrame([(prefix,)], "prefix string")
+
+
 def key_type_pattern(package: str | None, prefix: str) -> str | None:
     if package is None or package.startswith("(其他包)"):
         return None

@@ -582,10 +582,14 @@ def _(r: Repo) -> DataFrame:
     return control.cited(own)
 
 
-@query("m18_summary_evidence", "SELECT concat('e', CAST(i AS VARCHAR)) AS location FROM range(1, 4) t(i) UNION SELECT concat('h', CAST(i AS VARCHAR)) FROM range(1, 4) t(i) UNION SELECT concat('k', CAST(i AS VARCHAR)) FROM range(1, 5) t(i)")
-def _(r: Repo) -> DataFrame:
-    row = lambda c: r.spark.range(1, 6).select(F.col("id").alias("place"), F.concat(F.lit(c), F.col("id").cast("string")).alias("location"))
-    return control.summary_evidence(row("e"), row("h"), row("k")).select("location")
+@query("m18_summary_evidence", """WITH t AS (SELECT kind, qualified_name, row_number() OVER (PARTITION BY kind ORDER BY id) AS place FROM symbol WHERE kind IN ('CLASS', 'INTERFACE', 'ENUM'))
+SELECT DISTINCT qualified_name AS location FROM t WHERE place <= CASE WHEN kind = 'ENUM' THEN 4 ELSE 3 END""")
+def _(r: Repo) -> DataFrame:
+    """Places in order of ids: classes as entry points, interfaces as hubs, enums as key types."""
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("id"))
+    types = r.symbol.where("kind in ('CLASS', 'INTERFACE', 'ENUM')").select("kind", place.alias("place"), F.col("qualified_name").alias("location"))
+    some = lambda k: types.where(F.col("kind") == k).select("place", "location")
+    return control.summary_evidence(some("CLASS"), some("INTERFACE"), some("ENUM")).select("location")
 
 
 @query("m24_token_bucket", """WITH RECURSIVE e AS (SELECT id, user_id, CAST(floor(epoch(ts)) AS DOUBLE) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), id) AS k FROM answer_log),

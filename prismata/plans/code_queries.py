@@ -212,10 +212,17 @@ def _(r: Repo) -> DataFrame:
     return summary.common_prefix(r.symbol.where("parent_id is null").select(T.package_of(F.col("qualified_name")).alias("package")))
 
 
-@query("f3_chosen_prefix")
-def _(r: Repo) -> DataFrame:
-    p = r.symbol.where("parent_id is null").select(T.package_of(F.col("qualified_name")).alias("package")).distinct()
-    return r.spark.createDataFrame([(summary.choose_prefix(sorted(x["package"] for x in p.collect())),)], "prefix string")
+@query("f3_chosen_prefix", f"""WITH RECURSIVE s AS (SELECT DISTINCT {PACKAGE} AS package, string_split({PACKAGE}, '.') AS seg FROM symbol WHERE parent_id IS NULL AND {PACKAGE} IS NOT NULL),
+m AS (SELECT min(seg) AS a, max(seg) AS b, count(*) AS total FROM s),
+c AS (SELECT coalesce(max(k), 0) AS k FROM (SELECT a, b, unnest(range(1, least(len(a), len(b)) + 1)) AS k FROM m) WHERE a[1:k] = b[1:k]),
+lv AS (SELECT array_to_string(seg[1:k], '.') AS prefix, seg[k + 1] AS next, k + 1 < len(seg) AS deeper FROM (SELECT seg, unnest(range(0, len(seg) + 1)) AS k FROM s)),
+nd AS (SELECT prefix, CASE WHEN prefix = '' THEN count(DISTINCT next) ELSE count(DISTINCT next) + any_value(total) - count(next) END AS modules FROM lv, m GROUP BY prefix),
+bs AS (SELECT prefix, next FROM (SELECT prefix, next, row_number() OVER (PARTITION BY prefix ORDER BY count(*) DESC, next) AS r FROM lv WHERE deeper GROUP BY prefix, next) WHERE r = 1),
+ch AS (SELECT array_to_string(a[1:k], '.') AS prefix FROM m, c UNION ALL
+    SELECT CASE WHEN ch.prefix = '' THEN next ELSE ch.prefix || '.' || next END FROM ch JOIN nd ON nd.prefix = ch.prefix JOIN bs ON bs.prefix = ch.prefix WHERE modules < 3)
+SELECT prefix FROM ch ORDER BY length(prefix) DESC LIMIT 1""")
+def _(r: Repo) -> DataFrame:
+    return summary.chosen_prefix(r.symbol.where("parent_id is null").select(T.package_of(F.col("qualified_name")).alias("package")))
 
 
 @query("f6_module_patterns", f"SELECT DISTINCT {PACKAGE} AS package, concat('^', replace({PACKAGE}, '.', '[.]'), '[.].+$') AS pattern FROM symbol WHERE parent_id IS NULL")
