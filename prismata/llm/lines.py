@@ -54,9 +54,9 @@ LONG_WORD, GRAM = 20, 6
 BANDS, FEW_ROWS, ROWS = 12, 3, 4
 #: Places of 32 in which the sketches of candidates may differ: 12 on average where half of all
 #: features are common, 24 between unrelated lines.
-APART = 12
+APART = 14
 #: The same for pairs of up to so many characters, whose similarity is rough.
-FEW_CHARS, FEW_APART = 80, 13
+FEW_CHARS, FEW_APART = 80, 16
 CLOSE = minhash.Close(SIMILARITY, APART, FEW_CHARS, FEW_APART)
 #: Pairs whose distances are found at once, and bytes of their bit masks.
 PAIRS, PEQ_BYTES = 2048, 24 << 20
@@ -107,11 +107,16 @@ def _features(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[
         return number, line[first], size[line[first]], first, hashes
 
     telling = right - left >= TELLING
-    few = np.bincount(line, weights=telling, minlength=len(start)) < TELLING_WORDS
-    at = np.flatnonzero(short[line] & (telling | few[line]))
-    yield kind(0, short, line[at], runs(left[at], right[at]))
-    at = np.flatnonzero(long[line][:-1] & (line[1:] == line[:-1])) if len(line) else np.zeros(0, np.int64)
-    yield kind(1, long, line[at], runs(left[at], right[at + 1]))
+    count = np.bincount(line, weights=telling, minlength=len(start))
+    few = count < TELLING_WORDS
+    named = runs(left, right)
+    for number, of in ((0, short), (1, long)):
+        at = np.flatnonzero(of[line] & (telling | few[line]))
+        yield kind(number, of, line[at], named[at])
+    # an edit may take or give a telling word: about the limit, lines meet by all their words, too
+    about = short & ~few & (count <= TELLING_WORDS + 1)
+    at = np.flatnonzero(about[line])
+    yield kind(0, about, line[at], named[at])
     if dense.any():
         at = np.flatnonzero(((text & 0xC0) != 0x80) & inside)
         of = np.searchsorted(start, at, side="right") - 1
