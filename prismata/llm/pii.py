@@ -9,9 +9,13 @@ codes, issuer digits, reserved networks), the words before it and the words agai
 Counts of equal vote patterns over the whole corpus go to the driver: their number is
 bounded by the labelers, not by the data. Expectation-maximisation on them (one latent
 class a kind, labelers independent given it) estimates each labeler's reliability and the
-posterior of each pattern. A logistic regression over votes and coarse shape, trained on
-the corpus counts with the posteriors as labels, is the final span classifier; candidates
-it gives 0.5 or more, and which overlap no span of their kind, are added.
+posterior of each pattern. A corpus may hold no look-alike at all, which would leave the
+class "no" empty; so ANCHORS made-up candidates of each class, planted by a seeded rule
+(written-out forms; amounts, dates, part numbers, times, sequences that fail their check),
+take part with a known class. A logistic regression over votes, shape and what stands
+beside the span, by kind, trained on the counts with the posteriors as labels, is the final
+span classifier. Loose candidates that overlap a base span of any kind are none; those it
+gives 0.5 or more are added.
 
 A null text is empty and has no spans; whole texts are read. Repeated rows, ties and other
 columns do not matter; an empty table gives no rows.
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -46,8 +51,8 @@ AT = r"(?:\s?[\[({]\s?(?:at|AT)\s?[\])}]\s?|\s(?:at|AT)\s|\s?@\s?)"
 DOT = r"(?:\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?|\s(?:dot|DOT)\s|\.)"
 LOOSE = {
     "email": re.compile(rf"{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+"),  # what follows the name
-    "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s?[\[(]\.?(?:dot)?[\])]\s?[0-9]{1,3}){3}(?![0-9.])"),
-    "card": re.compile(r"(?<![0-9.])[0-9]{4}(?:[._/]|\x20-\x20)[0-9]{4}(?:(?:[._/]|\x20-\x20)[0-9]{4})(?:[._/]|\x20-\x20)[0-9]{4}(?![0-9.])"),
+    "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s?[\[(]\.?(?:dot)?[\])]\s?[0-9]{1,3}){3}(?![0-9]|\.[0-9])"),
+    "card": re.compile(r"(?<![0-9.])[0-9]{4}(?:[._/]|\x20-\x20)[0-9]{4}(?:(?:[._/]|\x20-\x20)[0-9]{4})(?:[._/]|\x20-\x20)[0-9]{4}(?![0-9]|\.[0-9])"),
     "phone": re.compile(r"(?<![0-9A-Za-z+.])(?:00[1-9][0-9]{0,2}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])"),
 }
 #: Common ends of domain names, first digits of card issuers, calling codes.
@@ -61,9 +66,11 @@ CUES = {
     "card": re.compile(r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|karte|tarjeta|carte)\b"),
     "phone": re.compile(r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|contact|telefon|tel[eé]fono|t[eé]l[eé]phone)\b"),
 }
-AGAINST = re.compile(r"(?i)\b(?:version|ver|v|isbn|issn|doi|order|invoice|section|chapter|page|token|password|hash|id)\b[\s:=#.\"']*$")
+AGAINST = re.compile(r"(?i)\b(?:version|ver|v|isbn|issn|doi|order|invoice|section|chapter|page|token|password|hash|id|part|serial|ref|no|total|sum|amount|eur|usd|price|date|lot|build|opens|starts|ends|look|see|fig|item|row|code)\b[\s:=#.\"']*(?:at\s)?$")
 REACH = 40
 LABELERS = 5
+#: Made-up candidates of each class that the estimate is anchored by.
+ANCHORS, SEED = 600, 3
 
 
 def luhn(digits: str) -> bool:
@@ -147,27 +154,85 @@ def candidates(text: str | None) -> Iterator[tuple[int, int, int, bool, tuple[in
     if not text:
         return
     base = base_spans(text)
+    taken = sorted(x for own in base.values() for x in own)
+    ends = np.maximum.accumulate([b for _, b in taken]) if taken else np.zeros(0, np.int64)
+    found = [(k, a, b, True) for k, kind in enumerate(KINDS) for a, b in base[kind]]
+    loosely: list[tuple[int, int]] = []
     for k, kind in enumerate(KINDS):
-        own = base[kind]
-        spans = [(a, b, True) for a, b in own]
         # every loose address holds an @, at or AT
-        if kind != "email" or "@" in text or "at" in text or "AT" in text:
-            loose = _named(LOOSE[kind], text) if kind == "email" else [m.span() for m in LOOSE[kind].finditer(text)]
-            for a, b in loose:
-                at = bisect.bisect_left(own, (b, -1))
-                if not at or own[at - 1][1] <= a:
-                    spans.append((a, b, False))
-        for a, b, strict in sorted(spans):
-            found, ahead = text[a:b], text[max(0, a - REACH) : a]
-            votes = (1 if strict else 0, _form(kind, found), _listed(kind, found, strict), 1 if CUES[kind].search(ahead) else 0, 2 if AGAINST.search(ahead) else 0)
-            shape = min(3, (b - a) // 8) * 4 + min(3, 4 * len(_digits(found)) // max(1, b - a))
-            yield k, a, b, strict, votes, shape
-
-
-def reliabilities(patterns: np.ndarray, weights: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+        if kind == "email" and not ("@" in text or "at" in text or "AT" in text):
+            continue
+        for a, b in _named(LOOSE[kind], text) if kind == "email" else [m.span() for m in LOOSE[kind].finditer(text)]:
+            at = bisect.bisect_left(taken, (b, -1))  # base spans that begin before its end
+            if (not at or ends[at - 1] <= a) and not any(p < b and a < q for p, q in loosely):
+                found.append((k, a, b, False))
+        loosely += [(a, b) for j, a, b, strict in found if j == k and not strict]
+    for k, a, b, strict in sorted(found):
+        kind, value, ahead = KINDS[k], text[a:b], text[max(0, a - REACH) : a]
+        votes = (1 if strict else 0, _form(kind, value), _listed(kind, value, strict), 1 if CUES[kind].search(ahead) else 0, 2 if AGAINST.search(ahead) else 0)
+        beside = (ahead[-1:] in "" or ahead[-1].isspace()) * 2 + (text[b : b + 1] in "" or not text[b].isalnum())
+        shape = (min(3, (b - a) // 8) * 4 + min(3, 4 * len(_digits(value)) // max(1, b - a))) * 4 + beside
+        yield k, a, b, strict, votes, shape
+
+
+def planted(right: bool, n: int, seed: int) -> list[tuple[str, str]]:
+    """n made-up texts, each with one written-out span (or one look-alike), and the span."""
+    r = random.Random(seed)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randrange(2, 4)))
+    octet = lambda top: str(r.randrange(1, top))
+
+    def card() -> str:
+        body = r.choice(ISSUERS)
+        body += d(15 - len(body))
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    def value() -> tuple[str, str]:
+        kind = r.randrange(4)
+        if right:
+            if kind == 0:
+                at, dot = r.choice(((" [at] ", " [dot] "), (" at ", " dot "), ("[at]", "."), (" (at) ", " (dot) "), (" AT ", " DOT "), (" {at} ", ".")))
+                return "email", f"{word()}.{word()}{at}{word()}{dot}{r.choice(('com', 'org', 'net', 'de', 'fr'))}"
+            if kind == 1:
+                return "ip", r.choice(("[.]", "(dot)", "[dot]", " [.] ")).join(octet(256) for _ in range(4))
+            if kind == 2:
+                c = card()
+                return "card", r.choice((".", "_", "/", " - ")).join(c[i : i + 4] for i in range(0, 16, 4))
+            return "phone", r.choice((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"00{r.choice(CODES[:30])} {d(3)} {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}"))
+        if kind == 0:
+            return "email", f"{word()} at {r.choice((f'{d(2)}.{d(2)}', f'{word()}.{d(1)}', f'v{d(1)}.{d(1)}.{d(1)}', f'{word()}.{word()}'))}"
+        if kind == 1:
+            return "ip", r.choice(("[.]", "(dot)", "[dot]")).join([str(r.randrange(256, 999)), *(octet(999) for _ in range(3))])
+        if kind == 2:
+            return "card", r.choice((".", "_", "/", " - ")).join(d(4) for _ in range(4))
+        return "phone", r.choice((f"{d(2)}.{d(3)}.{d(3)}", f"{d(2)} {d(3)} {d(3)}", f"{d(4)}-{d(4)}-{d(4)}", f"{d(4)} {d(4)} {d(4)}", f"{d(3)}-{d(3)}-{d(3)}"))
+
+    cues = {"email": ("mail", "e-mail:", "contact", "write to", "reach me:"), "ip": ("ip", "host", "server", "login from", "address"), "card": ("card", "visa", "credit card:", "debit"), "phone": ("call", "tel", "phone:", "mobile", "fax", "call me on")}
+    against = ("order", "total", "part no", "serial", "version", "page", "ref", "invoice", "amount", "lot", "code", "opens", "see")
+    out = []
+    for _ in range(n):
+        kind, v = value()
+        lead = r.choice(cues[kind]) if right and r.random() < 0.85 else r.choice(against) if not right and r.random() < 0.75 else word()
+        out.append((f"{word()} {word()} {lead} {v}{r.choice((' ', '. ', ', '))}{word()} {word()}", v))
+    return out
+
+
+def _anchors() -> tuple[list[tuple[int, tuple[int, ...], int]], list[int]]:
+    rows, truth = [], []
+    for right in (True, False):
+        for text, v in planted(right, ANCHORS, SEED + right):
+            for k, a, b, strict, votes, shape in candidates(text):
+                if not strict:
+                    rows.append((k, votes, shape))
+                    truth.append(int(right and text[a:b] == v))
+    return rows, truth
+
+
+def reliabilities(patterns: np.ndarray, weights: np.ndarray, known: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """EM over vote patterns: P(vote | class) by labeler, and each pattern's posterior.
 
-    patterns: n x LABELERS of 0, 1, 2; weights: how often each occurs. Classes: 0 no, 1 yes.
+    patterns: n x LABELERS of 0, 1, 2; weights: how often each occurs; known: the class of an
+    anchor, else -1. Classes: 0 no, 1 yes.
     """
     theta = np.empty((LABELERS, 2, 3))
     theta[:, 1] = (0.35, 0.6, 0.05)
@@ -179,7 +244,7 @@ def reliabilities(patterns: np.ndarray, weights: np.ndarray, rounds: int = 50) -
         for j in range(LABELERS):
             log += np.log(theta[j][:, patterns[:, j]]).T
         log += np.log([1 - prior, prior])
-        post = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
+        post = np.where(known >= 0, known, 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50))))
         total = weights.sum()
         prior = float(np.clip((post * weights).sum() / total, 0.02, 0.98))
         for j in range(LABELERS):
@@ -192,14 +257,14 @@ def reliabilities(patterns: np.ndarray, weights: np.ndarray, rounds: int = 50) -
 
 
 def _features(kind: np.ndarray, votes: np.ndarray, shape: np.ndarray) -> np.ndarray:
-    n = len(kind)
-    x = np.zeros((n, 1 + len(KINDS) + LABELERS * 3 + 16))
-    x[:, 0] = 1
-    rows = np.arange(n)
-    x[rows, 1 + kind] = 1
-    for j in range(LABELERS):
-        x[rows, 1 + len(KINDS) + 3 * j + votes[:, j]] = 1
-    x[rows, 1 + len(KINDS) + 3 * LABELERS + shape] = 1
+    """One-hot by kind: each labeler's vote, the shape, what stands beside."""
+    n, k = len(kind), len(KINDS)
+    blocks = [(kind, k), *((kind * 3 + votes[:, j], 3 * k) for j in range(LABELERS)), (kind * 16 + shape // 4, 16 * k), (kind * 4 + shape % 4, 4 * k)]
+    x = np.zeros((n, 1 + sum(size for _, size in blocks)))
+    x[:, 0], start = 1, 1
+    for at, size in blocks:
+        x[np.arange(n), start + at] = 1
+        start += size
     return x
 
 
@@ -207,7 +272,8 @@ def classifier(kind: np.ndarray, votes: np.ndarray, shape: np.ndarray, weights:
     """Weighted ridge logistic regression by Newton steps; returns the coefficients."""
     x = _features(kind, votes, shape)
     w = np.zeros(x.shape[1])
-    scale = weights / max(1.0, weights.mean())
+    scale = np.minimum(weights, 50 * np.sqrt(weights))  # frequent patterns of a large corpus do not drown the others
+    scale = scale / max(1.0, scale.mean())
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (scale * (p - target)) + 0.1 * w
@@ -221,17 +287,19 @@ def classifier(kind: np.ndarray, votes: np.ndarray, shape: np.ndarray, weights:
 
 def fit(spans: DataFrame) -> np.ndarray | None:
     """The final classifier from all candidates of a corpus; None if there are none."""
-    rows = spans.groupBy("kind", "votes", "shape").count().collect()  # at most 4 * 3^5 * 16 rows
+    rows = spans.groupBy("kind", "votes", "shape").count().collect()  # at most 4 * 3^5 * 64 rows
     if not rows:
         return None
-    kind = np.array([r["kind"] for r in rows])
-    votes = np.array([[r["votes"] // 3**j % 3 for j in range(LABELERS)] for r in rows])
-    shape = np.array([r["shape"] for r in rows])
-    weights = np.array([r["count"] for r in rows], dtype=float)
-    target = np.zeros(len(rows))
+    anchors, truth = _anchors()
+    kind = np.array([r["kind"] for r in rows] + [k for k, _, _ in anchors])
+    votes = np.array([[r["votes"] // 3**j % 3 for j in range(LABELERS)] for r in rows] + [list(v) for _, v, _ in anchors])
+    shape = np.array([r["shape"] for r in rows] + [x for _, _, x in anchors])
+    weights = np.array([r["count"] for r in rows] + [1] * len(anchors), dtype=float)
+    known = np.array([-1] * len(rows) + truth)
+    target = np.zeros(len(kind))
     for k in range(len(KINDS)):
-        if (own := kind == k).any():
-            _, target[own] = reliabilities(votes[own], weights[own])
+        own = kind == k
+        _, target[own] = reliabilities(votes[own], weights[own], known[own])
     return classifier(kind, votes, shape, weights, target)
 
 

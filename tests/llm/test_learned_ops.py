@@ -50,6 +50,34 @@ def test_pii_base_equals_plain_patterns(spark, odd, sf_dir):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+def test_pii_added_spans_are_right_on_planted_texts(spark):
+    """Other made-up texts than those that anchor the estimate: precision, recall, rejections."""
+    right, wrong = pii.planted(True, 600, 901), pii.planted(False, 600, 902)
+    rows = [(i, t) for i, (t, _) in enumerate(right + wrong)] + [(5000 + i, f"host 10.2.{i}.124, 248.167.124.{i} and +1 204 555 29{i:02d} or a{i}@b.org") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.found for r in pii.find(docs).collect()}
+    added = lambda i, t: [t[s["start"] : s["end"]] for s in found[i] if not s["base"]]
+    hits = sum(v in added(i, t) for i, (t, v) in enumerate(right))
+    total = sum(len(added(i, t)) for i, (t, _) in enumerate(right + wrong))
+    assert hits >= 0.9 * len(right) and hits >= 0.95 * total
+    # look-alikes are candidates and are rejected, not merely unseen
+    seen = sum(any(not c[3] for c in pii.candidates(t)) for t, _ in wrong)
+    assert seen > 400 and sum(len(added(600 + i, t)) for i, (t, _) in enumerate(wrong)) < 0.05 * seen
+    for spans in found.values():
+        base = [s for s in spans if s["base"]]
+        assert not any(a["start"] < b["end"] and b["start"] < a["end"] for a in spans if not a["base"] for b in base)
+    assert not any(added(5000 + i, t) for i, (_, t) in enumerate(rows[1200:]))
+
+
+def test_pii_estimate_moves_both_classes():
+    rows, truth = pii._anchors()
+    for k in range(len(pii.KINDS)):
+        own = [i for i, r in enumerate(rows) if r[0] == k]
+        theta, _ = pii.reliabilities(np.array([rows[i][1] for i in own]), np.ones(len(own)), np.array([truth[i] for i in own]))
+        start = np.array([(0.35, 0.15, 0.5), (0.35, 0.6, 0.05)])
+        assert (np.abs(theta - start).max(axis=(0, 2)) > 0.1).all()
+
+
 def test_pii_adds_written_out_forms(spark):
     rows = [(i, f"please call me on 204-555-29{i:02d} or mail jane.doe{i} [at] mail [dot] com, also x{i}@a.org and +1 204 555 29{i:02d}") for i in range(40)]
     rows += [(100 + i, "the order of the words at the dot and on the line is fine") for i in range(40)]

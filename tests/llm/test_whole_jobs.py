@@ -26,6 +26,46 @@ def test_similar_lines_are_joined_whatever_their_words(spark):
     assert sum(got.values()) >= 0.97 * want and want > 150
 
 
+def test_lines_of_spread_edits_are_joined(spark):
+    """Recall by kind of edit, of pairs that are 0.8 alike by a plain edit distance."""
+    r = random.Random(11)
+    letters = "abcdefghijklmnop"
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randrange(4, 8)))
+
+    def replaced(n, k):
+        own = [word() for _ in range(n)]
+        other = own.copy()
+        for i in r.sample(range(n), k):
+            other[i] = word()
+        return " ".join(own), " ".join(other)
+
+    def typed(n, share):
+        own = " ".join(word() for _ in range(n))
+        return own, "".join(r.choice(letters) if c != " " and r.random() < share else c for c in own)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    # typos all over a line are a known loss (README): their floor is what is measured, less a margin
+    kinds = [(lambda: replaced(6, 1), 0.9), (lambda: replaced(20, 3), 0.9), (lambda: replaced(30, 4), 0.9), (lambda: replaced(30, 5), 0.9), (lambda: replaced(50, 8), 0.9), (lambda: typed(12, 0.03), 0.85), (lambda: typed(40, 0.03), 0.85), (lambda: typed(20, 0.05), 0.6)]
+    rows, kind_of = [], {}
+    for k, (made, _) in enumerate(kinds):
+        for _ in range(60):
+            a, b = made()
+            if a != b and plain(a, b) <= 0.2 * max(len(a), len(b)):
+                kind_of[len(rows) + 1] = k
+                rows += [(len(rows), a), (len(rows) + 1, b)]
+    got = {x.doc_id: x.n_removed for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
+    for k, (_, least) in enumerate(kinds):
+        own = [got[i] for i in kind_of if kind_of[i] == k]
+        assert len(own) > 30 and sum(own) >= least * len(own), (k, sum(own), len(own))
+
+
 def test_near_copy_stage_equals_exact_jaccard(spark):
     import corpus_pipeline
 
