@@ -333,3 +333,31 @@ def test_pipeline_of_small_documents(spark):
             assert r.ids == lib.encode(cut[r.doc_id], add_special_tokens=False).ids
         else:
             assert r.n_tokens < len(lib.encode(cut[r.doc_id], add_special_tokens=False).ids)
+
+
+def test_quality_scores_are_plain_sums_of_table_entries(spark, sf_dir, monkeypatch):
+    """Each score again by loops: a bin by counting edges, table entries added one by one."""
+    import math
+
+    made = []
+
+    begin = gam.Model.__init__
+    monkeypatch.setattr(gam.Model, "__init__", lambda self, x, y: made.append(self) or begin(self, x, y))
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    got = {r.doc_id: r.score for r in gam.score(docs, labels, "quality", out).collect()}
+    model = made[0]
+    for r in docs.collect():
+        values = gam.features(r.text)
+        total = model.bias
+        places = [sum(float(edge) <= v for edge in edges) for v, edges in zip(values, model.edges)]
+        for table, at in zip(model.tables, places):
+            total += table[at]
+        for (a, b), table in zip(model.pairs, model.pair_tables):
+            total += table[places[a] * gam.COARSE // gam.BINS][places[b] * gam.COARSE // gam.BINS]
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-max(-40, min(40, total))))) < 1e-9
+    # a first tree is the best of all single cuts, tried one by one
+    g, h = np.array([0.5, 0.4, -0.2, -0.9, 0.1]), np.array([1.0, 0.5, 0.7, 1.1, 0.3])
+    best = max(range(1, 5), key=lambda c: g[:c].sum() ** 2 / (h[:c].sum() + 2) + g[c:].sum() ** 2 / (h[c:].sum() + 2))
+    tree = gam.Model._tree(g, h, 1)
+    assert np.allclose(tree[:best], g[:best].sum() / (h[:best].sum() + 2)) and np.allclose(tree[best:], g[best:].sum() / (h[best:].sum() + 2))

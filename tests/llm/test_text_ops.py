@@ -99,6 +99,72 @@ def test_shards_are_even_and_gapless(spark, odd, sf_dir, n):
     assert hilbert.shards(odd.limit(1), n).collect()[0].shard == 0
 
 
+def _plain_shards(rows, n):
+    """(doc_id, shard, slot) with multiplicity, by loops: cuts by rank, the curve bit by bit, one sort of all rows."""
+    import math
+    import struct
+
+    def cuts(values, parts):
+        values = sorted(values)
+        return sorted({values[max(0, math.ceil(k / parts * len(values)) - 1)] for k in range(1, parts)}) if values else []
+
+    def levels(values):
+        raw = [None if v is None else v.encode() for v in values]
+        known = sorted({v for v in raw if v is not None})
+        if not known:
+            return [0] * len(raw)
+        skip = next((k for k, (x, y) in enumerate(zip(known[0], known[-1])) if x != y), min(len(known[0]), len(known[-1])))
+        number = lambda v: int.from_bytes(v[skip : skip + 7].ljust(7, b"\0"), "big")
+        at = cuts({number(v) for v in known}, 15)
+        return [0 if v is None else sum(c < number(v) for c in at) * 14 // len(at) + 1 for v in raw]
+
+    def along(x):
+        """The curve index of a point of three times four bits."""
+        x, q = list(x), 8
+        while q > 1:
+            for i in range(3):
+                if x[i] & q:
+                    x[0] ^= q - 1
+                else:
+                    t = (x[0] ^ x[i]) & (q - 1)
+                    x[0], x[i] = x[0] ^ t, x[i] ^ t
+            q >>= 1
+        x[1] ^= x[0]
+        x[2] ^= x[1]
+        t = 0
+        for q in (8, 4, 2):
+            if x[2] & q:
+                t ^= q - 1
+        x = [v ^ t for v in x]
+        return int("".join(str(v >> b & 1) for b in (3, 2, 1, 0) for v in x), 2)
+
+    sizes = [len((r.text or "").encode()) + 1 for r in rows]
+    size_cuts = cuts(sizes, 16)
+    points = zip(levels([r.source for r in rows]), levels([r.lang for r in rows]), [sum(c < s for c in size_cuts) for s in sizes])
+
+    def key(r, point):
+        crc = zlib.crc32((r.text or "").encode())
+        h = xxhash.xxh64_intdigest(struct.pack("<q", crc), seed=42)
+        h = h if r.doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), seed=h)
+        signed = h - (1 << 64) if h >> 63 else h
+        return along(point), signed % 512, crc, r.doc_id is not None, r.doc_id or 0
+
+    order = sorted(range(len(rows)), key=[key(r, p) for r, p in zip(rows, points)].__getitem__)
+    out, base, more, at = Counter(), len(rows) // n, len(rows) % n, 0
+    for shard in range(n):
+        for slot in range(base + (shard < more)):
+            out[rows[order[at]].doc_id, shard, slot] += 1
+            at += 1
+    return out
+
+
+@pytest.mark.parametrize("n", [16, 5])
+def test_shards_equal_one_sort_of_all_rows(spark, odd, sf_dir, n):
+    docs = odd.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    got = Counter((r.doc_id, r.shard, r.slot) for r in hilbert.shards(docs, n).collect())
+    assert got == _plain_shards(docs.collect(), n)
+
+
 def test_shards_prune_by_each_dimension(spark):
     r = random.Random(3)
     rows = [(i, "x" * r.randrange(4000), r.choice(["de", "en", "es", "fr"]), f"site-{min(r.randrange(40), 25):03d}", 0) for i in range(6000)]
