@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +118,83 @@ def support(verdict: Column) -> Column:
     return F.when(v == "supported", "SUPPORTED").when(v == "unsupported", "UNSUPPORTED").when(v == "unknown", "UNKNOWN").otherwise("UNAVAILABLE")
 
 
+#: Evidences, lines and characters that a support check may be shown.
+MOST_EVIDENCES, MOST_LINES, MOST_CHARS = 6, 40, 1500
+UNREADABLE = "(no code can be read here)"
+
+
+def material(cited: DataFrame, files: DataFrame) -> DataFrame:
+    """(claim_id, place, location, why, code, more): the code of a claim's first evidences, from the files themselves.
+
+    cited: claim_id, place (its order), file, start_line, end_line, why; files: path, content.
+    A place's code is its numbered lines, MOST_LINES at most, till they have MOST_CHARS
+    characters; only files that are cited move. `more` evidences of the claim are left out.
+    """
+    order = Window.partitionBy("claim_id").orderBy("place")
+    own = cited.withColumns({"r": F.row_number().over(order), "total": F.count("*").over(Window.partitionBy("claim_id"))}).where(F.col("r") <= MOST_EVIDENCES)
+    first = F.greatest(F.lit(1), F.col("start_line")).cast("int")
+    last = F.least(F.col("end_line").cast("int"), first + MOST_LINES - 1)
+    clean = F.replace("file", F.lit("\\"), F.lit("/"))
+    own = own.select("claim_id", "place", clean.alias("path"), first.alias("a"), last.alias("b"), "start_line", "end_line", "why", (F.col("total") - F.least(F.col("total"), F.lit(MOST_EVIDENCES))).alias("more"))
+    text = files.join(own.select("path").distinct(), "path", "left_semi").select("path", lines(F.col("content")).alias("_lines"))
+    met = own.join(text, "path", "left")
+    shown = F.transform(F.slice("_lines", F.col("a"), F.greatest(F.lit(0), F.col("b") - F.col("a") + 1)), lambda x, i: F.concat((F.col("a") + i).cast("string"), F.lit(": "), x, F.lit("\n")))
+    grown = F.aggregate(shown, F.lit(""), lambda t, x: F.when(F.length(t) < MOST_CHARS, F.concat(t, x)).otherwise(t))
+    code = F.when(F.coalesce(F.length(grown), F.lit(0)) > 0, grown).otherwise(UNREADABLE)
+    return met.select("claim_id", "place", F.concat("path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")).alias("location"), "why", code.alias("code"), "more")
+
+
+def prompts(claims: DataFrame, shown: DataFrame) -> DataFrame:
+    """(id, prompt) of claims (id, question, answer) that have an answer and evidence; a prompt is bounded by the limits above."""
+    why = F.when(F.trim(F.coalesce("why", F.lit(""))) != "", F.concat(F.lit("  cited because: "), F.col("why"))).otherwise("")
+    one = F.concat(F.lit("\n["), F.row_number().over(Window.partitionBy("claim_id").orderBy("place")).cast("string"), F.lit("] "), F.col("location"), why, F.lit("\n"), F.col("code"))
+    packed = shown.withColumn("one", one).groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("place", "one"))).alias("e"), F.max("more").alias("more"))
+    rest = F.when(F.col("more") > 0, F.concat(F.lit("\n(and "), F.col("more").cast("string"), F.lit(" more that are not shown)"))).otherwise("")
+    said = claims.where(F.trim(F.coalesce("answer", F.lit(""))) != "").join(packed, F.col("id") == F.col("claim_id"))
+    body = F.concat(F.lit("Question: "), F.coalesce("question", F.lit("")), F.lit("\n\nConclusion: "), F.col("answer"), F.lit("\n\nCited code:\n"), F.array_join(F.transform("e", lambda x: x["one"]), ""), rest)
+    return said.select("id", body.alias("prompt"))
+
+
+def judged(claims: DataFrame, cited: DataFrame, files: DataFrame, checker: Callable[[list[str]], list[str]] | None, batch: int = 16) -> DataFrame:
+    """(id, status, reason) of every claim: what a model says of its conclusion, given the cited code.
+
+    `checker` takes up to `batch` prompts and gives as many answers, JSON with verdict and
+    reason. A claim without an answer or evidence is NOT_CHECKED; no checker, a failing
+    call, an answer that is no JSON or another word than agreed are UNAVAILABLE, never a pass.
+    """
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for lo in range(0, len(f), batch):
+                part = f.iloc[lo : lo + batch]
+                out = []
+                try:
+                    said = checker(part["prompt"].tolist())
+                    if len(said) != len(part):
+                        raise ValueError(f"{len(said)} answers to {len(part)} prompts")
+                except Exception as e:  # noqa: BLE001
+                    out = [(None, f"the call failed ({type(e).__name__})")] * len(part)
+                else:
+                    for text in said:
+                        try:
+                            found = json.loads(text[text.index("{") : text.rindex("}") + 1])
+                            out.append((str(found.get("verdict") or ""), str(found.get("reason") or "").strip() or "(no reason given)"))
+                        except Exception:  # noqa: BLE001
+                            out.append((None, "the answer is no JSON"))
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "verdict": [v for v, _ in out], "reason": [r for _, r in out]})
+
+    own = prompts(claims, material(cited, files))
+    if checker is None:
+        told = own.select("id", F.lit(None).cast("string").alias("verdict"), F.lit("there is no checker").alias("reason"))
+    else:
+        told = own.mapInPandas(ask, f"id {claims.schema['id'].dataType.simpleString()}, verdict string, reason string")
+    out = claims.select("id", (F.trim(F.coalesce("answer", F.lit(""))) == "").alias("silent")).join(told, "id", "left")
+    known = F.lower(F.trim("verdict")).isin("supported", "unsupported", "unknown")
+    reason = F.when(F.col("verdict").isNotNull() & ~known, F.concat(F.lit("unknown verdict: "), F.substring("verdict", 1, 80))).otherwise(F.col("reason"))
+    status = F.when(F.col("reason").isNull(), "NOT_CHECKED").otherwise(support(F.col("verdict")))
+    return out.select("id", status.alias("status"), F.when(F.col("reason").isNotNull(), reason).when(F.col("silent"), "there is no conclusion").otherwise("there is no evidence").alias("reason"))
+
+
 def prose_check(notes: DataFrame, symbols: DataFrame) -> DataFrame:
     """(id, unknown, digits, ok): names in prose that no symbol has, and numbers in it."""
     named = notes.select("id", "text", F.filter(identifiers(F.col("text")), lambda w: F.length(w) > 1).alias("names"), F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\d+)"), 1)).alias("digits"))

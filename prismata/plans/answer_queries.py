@@ -434,6 +434,25 @@ def _(r: Repo) -> DataFrame:
     return r.answer_log.select("id", evidence.support(said).alias("verdict"))
 
 
+#: Every evidence cites lines of a document; limits as in evidence.material.
+MATERIAL = r"""WITH c AS (SELECT question_id AS claim_id, id AS place, concat('doc/', CAST(question_id % 200 AS VARCHAR)) AS path, id % 5 AS s, id % 5 + id % 60 AS e,
+    row_number() OVER (PARTITION BY question_id ORDER BY id) AS r, count(*) OVER (PARTITION BY question_id) AS total FROM evidence),
+f AS (SELECT concat('doc/', CAST(doc_id AS VARCHAR)) AS path, regexp_split_to_array(regexp_replace(text, '(\r\n|\r|\n)$', ''), '\r\n|\r|\n') AS ls FROM documents),
+x AS (SELECT c.claim_id, c.r, k, concat(CAST(k AS VARCHAR), ': ', ls[k], chr(10)) AS one FROM c JOIN f USING (path), unnest(range(greatest(1, s), least(e, greatest(1, s) + 39, len(ls)) + 1)) AS t(k) WHERE r <= 6),
+y AS (SELECT *, coalesce(sum(length(one)) OVER (PARTITION BY claim_id, r ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x),
+z AS (SELECT claim_id, r, string_agg(one, '' ORDER BY k) AS code FROM y WHERE before < 1500 GROUP BY ALL)
+SELECT c.claim_id, c.place, concat(path, ':', CAST(s AS VARCHAR), '-', CAST(e AS VARCHAR)) AS location, md5(coalesce(code, '(no code can be read here)')) AS code, total - least(total, 6) AS more
+FROM c LEFT JOIN z ON z.claim_id = c.claim_id AND z.r = c.r WHERE c.r <= 6"""
+
+
+@query("j8_material", MATERIAL)
+def _(r: Repo) -> DataFrame:
+    n = F.col("id")
+    cited = r.evidence.select(F.col("question_id").alias("claim_id"), n.alias("place"), F.concat(F.lit("doc/"), (F.col("question_id") % 200).cast("string")).alias("file"), (n % 5).alias("start_line"), (n % 5 + n % 60).alias("end_line"), F.lit("").alias("why"))
+    files = r.documents.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    return evidence.material(cited, files).select("claim_id", "place", "location", F.md5("code").alias("code"), "more")
+
+
 @query("j9_prose_check", f"""WITH w AS (SELECT id, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*')) AS w FROM question), u AS (SELECT DISTINCT id, w FROM w WHERE lower(w) NOT IN {STOPS} AND length(w) > 1 AND w NOT IN (SELECT name FROM symbol))
 SELECT q.id, coalesce(string_agg(w, ',' ORDER BY w), '') AS unknown FROM question q LEFT JOIN u ON u.id = q.id GROUP BY q.id""")
 def _(r: Repo) -> DataFrame:

@@ -74,6 +74,33 @@ def test_bad_searches(spark):
     assert lookup.clamp(0) == 1 and lookup.clamp(999) == 200
 
 
+def test_support_check_is_bounded_and_never_passes_by_failing(spark):
+    files = spark.createDataFrame([("a.py", "\n".join(f"line {k} " + "x" * 50 for k in range(1, 200))), ("b.py", "short")], "path string, content string")
+    claims = spark.createDataFrame([(k, "why?", a) for k, a in enumerate(["yes", "no", "maybe", "odd", "boom", "no json", " ", "uncited", None])], "id long, question string, answer string")
+    rows = [(k, p, "a.py", 3 * p, 3 * p + 90, "seen") for k in range(7) for p in range(9)] + [(0, 100, "b.py", 1, 1, None), (1, -1, "c\\none.py", 1, 2, ""), (2, -1, "b.py", 5, 9, "")]
+    cited = spark.createDataFrame(rows, "claim_id long, place long, file string, start_line long, end_line long, why string")
+    shown = evidence.material(cited, files)
+    got = {(r.claim_id, r.place): r for r in shown.collect()}
+    assert len([1 for k, _ in got if k == 0]) == evidence.MOST_EVIDENCES and got[0, 0].more == 4 and got[3, 0].more == 3
+    assert got[1, -1].code == got[2, -1].code == evidence.UNREADABLE and got[1, -1].location == "c/none.py:1-2"
+    code = got[0, 1].code.split("\n")
+    assert code[0].startswith("3: line 3 ") and len(code) - 1 <= evidence.MOST_LINES and evidence.MOST_CHARS <= len(got[0, 1].code) < evidence.MOST_CHARS + 70
+    longest = max(len(r.prompt) for r in evidence.prompts(claims, shown).collect())
+    assert longest < evidence.MOST_EVIDENCES * (evidence.MOST_CHARS + 150) + 200
+
+    def checker(prompts):
+        if any("Conclusion: boom" in p for p in prompts):
+            raise ConnectionError("down")
+        said = {"yes": "supported", "no": " Unsupported", "maybe": "UNKNOWN", "odd": "sure"}
+        of = [p.split("Conclusion: ")[1].split("\n")[0] for p in prompts]
+        return ["nothing" if x == "no json" else '```{"verdict": "%s", "reason": "r"}```' % said[x] for x in of]
+
+    status = {r.id: (r.status, r.reason) for r in evidence.judged(claims, cited, files, checker, 1).collect()}
+    assert {k: v[0] for k, v in status.items()} == {0: "SUPPORTED", 1: "UNSUPPORTED", 2: "UNKNOWN", 3: "UNAVAILABLE", 4: "UNAVAILABLE", 5: "UNAVAILABLE", 6: "NOT_CHECKED", 7: "NOT_CHECKED", 8: "NOT_CHECKED"}
+    assert "ConnectionError" in status[4][1] and "no JSON" in status[5][1] and "sure" in status[3][1] and "evidence" in status[7][1]
+    assert {r.status for r in evidence.judged(claims, cited, files, None).collect()} == {"UNAVAILABLE", "NOT_CHECKED"}
+
+
 def test_context_selection():
     row = lambda f, s, text="x", n=10: (f, s, s + 1, text, n)
     assert ranking.choose([row("a", 1, "p"), row("a", 1, "q"), row("b", 1, "p"), row("a", 5, "r"), row("a", 9, "s")], 100, 9, 2) == ["KEPT", "SAME_PLACE", "SAME_CONTENT", "KEPT", "FILE_CAP"]
