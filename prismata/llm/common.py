@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checkpoints import shared_folder
+
 #: Rows that travel to a Python worker at once stay under this size, long texts included.
 BATCH_BYTES = 8 << 20
 #: Bytes of text that one vectorised scan handles; a longer text is scanned whole.
@@ -50,15 +50,10 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` into the shared checkpoint folder of the session and cut its lineage.
-
-    The folder is the one named by spark.checkpoint.dir; only where that is unset (tests,
-    a single machine) is a local one chosen.
-    """
+    """Write `df` into the shared checkpoint folder of the session and cut its lineage."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "prismata-checkpoints"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

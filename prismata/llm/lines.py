@@ -54,9 +54,9 @@ LONG_WORD, GRAM = 20, 6
 BANDS, FEW_ROWS, ROWS = 12, 3, 4
 #: Places of 32 in which the sketches of candidates may differ: 12 on average where half of all
 #: features are common, 24 between unrelated lines.
-APART = 14
+APART = 12
 #: The same for pairs of up to so many characters, whose similarity is rough.
-FEW_CHARS, FEW_APART = 80, 16
+FEW_CHARS, FEW_APART = 80, 14
 CLOSE = minhash.Close(SIMILARITY, APART, FEW_CHARS, FEW_APART)
 #: Pairs whose distances are found at once, and bytes of their bit masks.
 PAIRS, PEQ_BYTES = 2048, 24 << 20

@@ -228,12 +228,13 @@ def _anchors() -> tuple[list[tuple[int, tuple[int, ...], int]], list[int]]:
     return rows, truth
 
 
-def reliabilities(patterns: np.ndarray, weights: np.ndarray, known: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+def reliabilities(patterns: np.ndarray, weights: np.ndarray, known: np.ndarray | None = None, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """EM over vote patterns: P(vote | class) by labeler, and each pattern's posterior.
 
-    patterns: n x LABELERS of 0, 1, 2; weights: how often each occurs; known: the class of an
-    anchor, else -1. Classes: 0 no, 1 yes.
+    patterns: n x LABELERS of 0, 1, 2; weights: how often each occurs; known: the class of
+    anchors, else -1. Classes: 0 no, 1 yes.
     """
+    known = np.full(len(patterns), -1) if known is None else known
     theta = np.empty((LABELERS, 2, 3))
     theta[:, 1] = (0.35, 0.6, 0.05)
     theta[:, 0] = (0.35, 0.15, 0.5)
