@@ -23,10 +23,16 @@ I, NEXT = "CAST(s_suppkey AS VARCHAR)", "CAST(s_suppkey % (SELECT max(s_suppkey)
 FILES = f"SELECT s_suppkey AS i, {I} AS a, {NEXT} AS b, concat('src/main/java/com/acme/T', {I}, '.java') AS path FROM supplier"
 
 
+def _dealt(r: Repo) -> DataFrame:
+    """The suppliers' keys over all tasks: the table is a small file, but each row becomes files that are parsed."""
+    spread = max(r.spark.sparkContext.defaultParallelism, int(r.spark.conf.get("spark.sql.shuffle.partitions")))
+    return r.supplier.select("s_suppkey").repartition(spread, "s_suppkey")
+
+
 def _files(r: Repo) -> DataFrame:
     """(path, content as bytes); every tenth file is no UTF-8."""
     last = r.supplier.agg(F.max("s_suppkey").alias("n"))
-    s = r.supplier.join(F.broadcast(last))
+    s = _dealt(r).join(F.broadcast(last))
     own, other = F.col("s_suppkey").cast("string"), (F.col("s_suppkey") % F.col("n") + 1).cast("string")
     text = F.replace(F.replace(F.lit("\n".join(LINES)), F.lit("#"), own), F.lit("@"), other)
     bad = F.concat(F.lit(b"\xff"), text.cast("binary"))
@@ -37,6 +43,11 @@ def _units(r: Repo) -> DataFrame:
     return java.parsed(_files(r))
 
 
+def _joined(units: DataFrame) -> DataFrame:
+    """Outlines that several joins read: files are parsed once, not again for each of them."""
+    return checkpointed(units)
+
+
 @query("a6_decoded_files", f"SELECT path, i % 10 <> 0 AS parsed_ok, CASE WHEN i % 10 <> 0 THEN 16 ELSE 0 END AS loc FROM ({FILES})")
 def _(r: Repo) -> DataFrame:
     return _units(r).select("path", "parsed_ok", "loc")
@@ -84,7 +95,7 @@ UNION ALL SELECT path, concat('com.acme.T', a, '#go/2'), concat('com.acme.T', a,
 
 
 def _calls(r: Repo) -> DataFrame:
-    return java.resolved_calls(_units(r)).select("path", F.col("caller_key").alias("caller"), F.col("callee_key").alias("callee"), F.col("call_line").alias("line"))
+    return java.resolved_calls(_joined(_units(r))).select("path", F.col("caller_key").alias("caller"), F.col("callee_key").alias("callee"), F.col("call_line").alias("line"))
 
 
 @query("c6_resolved_calls", f"WITH {GOOD}, {CALLS} SELECT * FROM e")
@@ -101,7 +112,7 @@ def _(r: Repo) -> DataFrame:
 UNION ALL SELECT concat('com.acme.T', a), 'Api', NULL, 'IMPLEMENTS' FROM g
 UNION ALL SELECT concat('com.acme.T', a), concat('T', b, '.Hook'), CASE WHEN (SELECT count(*) FROM g h WHERE h.a = g.b) > 0 THEN concat('com.acme.T', b, '.Hook') END, 'IMPLEMENTS' FROM g""")
 def _(r: Repo) -> DataFrame:
-    return java.resolved_supers(_units(r)).select(F.col("sub_key").alias("sub"), F.col("super_raw").alias("super"), F.col("super_key").alias("target"), "kind")
+    return java.resolved_supers(_joined(_units(r))).select(F.col("sub_key").alias("sub"), F.col("super_raw").alias("super"), F.col("super_key").alias("target"), "kind")
 
 
 #: Three files a supplier: a base class, its user, and a helper that shares a name with a class of the user's package.
@@ -165,7 +176,7 @@ def _shapes(r: Repo) -> DataFrame:
     own = F.col("s_suppkey").cast("string")
     first = r.supplier.agg(F.min("s_suppkey").alias("f"))
     kinds = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(t).alias("t")) for p, t in SHAPES.items()])).alias("k")
-    s = r.supplier.join(F.broadcast(first)).select("s_suppkey", "f", kinds)
+    s = _dealt(r).join(F.broadcast(first)).select("s_suppkey", "f", kinds)
     text = F.when((F.col("k.p") == NAMED) & (F.col("s_suppkey") != F.col("f")), F.regexp_replace("k.t", r"interface Named.*\n", "")).otherwise(F.col("k.t"))
     return s.select(F.replace("k.p", F.lit("#"), own).alias("path"), F.replace(text, F.lit("#"), own).cast("binary").alias("content"))
 
@@ -219,7 +230,7 @@ EDGES_ONCE = [("com.shapes.other.Named~title/0", None, 3, "getClass/0", "EXTERNA
 
 @query("c6_hierarchy", "SELECT replace(caller, '~', '#') AS caller, replace(callee, '~', '#') AS callee, line, replace(raw, '~', '#') AS raw, reason FROM (" + _rows("caller, callee, line, raw, reason", EDGES, EDGES_ONCE) + ")")
 def _(r: Repo) -> DataFrame:
-    edges = java.resolved_calls(java.parsed(_shapes(r)))
+    edges = java.resolved_calls(_joined(java.parsed(_shapes(r))))
     return edges.select(F.col("caller_key").alias("caller"), F.col("callee_key").alias("callee"), F.col("call_line").alias("line"), F.col("callee_raw").alias("raw"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
@@ -228,7 +239,7 @@ RELATIONS = [(B, "com.shapes.other.Named", "com.shapes.other.Named", "IMPLEMENTS
 
 @query("c8_imports", _rows("sub, super, target, kind", RELATIONS, [("com.shapes.other.Named", "Comparable<Named>", None, "EXTENDS")]))
 def _(r: Repo) -> DataFrame:
-    return java.resolved_supers(java.parsed(_shapes(r))).select(F.col("sub_key").alias("sub"), F.col("super_raw").alias("super"), F.col("super_key").alias("target"), "kind")
+    return java.resolved_supers(_joined(java.parsed(_shapes(r)))).select(F.col("sub_key").alias("sub"), F.col("super_raw").alias("super"), F.col("super_key").alias("target"), "kind")
 
 
 @query("b7_committed", """SELECT 'source_file' AS name, 3 * count(*) AS n FROM supplier UNION ALL SELECT 'symbol', 27 * count(*) + 2 FROM supplier

@@ -41,6 +41,8 @@ SCHEMA = (
     "path string, loc long, parsed_ok boolean, parse_error string, content_hash string, package string, "
     f"symbols array<{SYMBOL}>, supers array<struct<sub_key:string,super_raw:string,super_name:string,kind:string>>, imports array<struct<name:string,wildcard:boolean,static:boolean>>, implied array<struct<owner:string,name:string,arity:int,type_name:string>>, nodes array<{NODE}>"
 )
+#: Files, and their bytes, whose outcomes are handed on together.
+AT_ONCE, AT_ONCE_BYTES = 64, 1 << 20
 #: Ranks of scopes; enclosing types come first, the innermost at 0.
 IMPORTED, SAME_PACKAGE, ON_DEMAND, FULL = 100, 200, 300, 400
 
@@ -63,9 +65,16 @@ def parsed(files: DataFrame) -> DataFrame:
         return row | {"parsed_ok": True, "package": found.package, "symbols": found.symbols, "supers": found.supers, "imports": found.imports, "implied": found.implied, "nodes": found.nodes}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_pylist([outcome(path, bytes(content))], schema)
+                held.append(outcome(path, bytes(content)))
+                size += len(content)
+                if len(held) >= AT_ONCE or size >= AT_ONCE_BYTES:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
@@ -204,12 +213,12 @@ def accesses(units: DataFrame) -> DataFrame:
     scope = checkpointed(named_types(units, refs).withColumnRenamed("key", "type_key"))
     supers = checkpointed(_supers(units))
     ways = ancestors(units, supers)
-    types = _types(units)
+    types = checkpointed(_types(units))
     scope = checkpointed(_inherited(scope, ways, types))
     members = checkpointed(_members(units, scope))
     beyond = supers.where("key is null").groupBy(F.col("sub_key").alias("anc")).agg(F.max("outside").alias("outside"))
     open_types = ways.join(beyond, "anc").groupBy("type").agg(F.max("outside").alias("from_outside"))
-    nodes = nodes.join(_passes(nodes, scope, ways), ["path", "id"], "left")
+    nodes = checkpointed(nodes.join(_passes(nodes, scope, ways), ["path", "id"], "left"))  # read anew by every round
     starts = _starts(units, nodes, scope)
     done, deepest = None, units.agg(F.max(F.array_max(F.transform("nodes", lambda n: n["depth"])))).first()[0]
     for depth in range((-1 if deepest is None else deepest) + 1):
