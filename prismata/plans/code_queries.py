@@ -257,7 +257,7 @@ def _(r: Repo) -> DataFrame:
 
 @query("g2_transitive_callers", REACH + " SELECT DISTINCT node FROM r")
 def _(r: Repo) -> DataFrame:
-    return graph.reverse_search(r.call_edge, seeds(r), 2).select("node").distinct()
+    return graph.transitive_callers(r.call_edge, seeds(r), 2)
 
 
 @query("g3_chain_call_sites", REACH + """, near AS (SELECT seed, node, hops FROM r UNION ALL SELECT seed, seed, 0 FROM seeds),

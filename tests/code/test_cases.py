@@ -8,6 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismata.functions import text as T
+from prismata.plans import index_queries
+from prismata.plans.registry import QUERIES
+from prismata.sources.projection import Repo
 from prismata.operators import chunks, control, evaluation, evidence, lookup, ranking, retrieval, review, summary
 from prismata.sources import files, java, store
 from prismata.sources.java_syntax import Outline
@@ -372,3 +375,51 @@ def test_store_helpers(spark):
     df = spark.createDataFrame([(1, "a")], "id long, v string")
     assert store.with_columns(df, {"kind": F.lit("JAVA")}).first()["kind"] == "JAVA"
     assert control.latest(spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "k long, t long, v string"), ["k"], "t").first()["v"] == "b"
+
+
+def _rows_of_joins(df):
+    """The rows that each join of an executed plan made."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        if "Join" in p.nodeName() and p.metrics().contains("numOutputRows"):
+            out.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().length())]
+    return out
+
+
+def test_equal_references_are_resolved_once(spark):
+    n = 300
+    symbols = spark.createDataFrame([(k, "same", f"a.T{k % 9}#same/0", "METHOD", k % 9) for k in range(n)], "id long, name string, qualified_name string, kind string, parent_id long")
+    refs = symbols.select("id", F.lit(" `same()` ").alias("ref")).unionByName(spark.createDataFrame([(-1, None), (-2, "a.T3#same/0")], "id long, ref string"))
+    got = ranking.resolved_refs(refs, symbols)
+    rows = {r.id: (r.tier, r.symbol_ids, r.ambiguous) for r in got.collect()}
+    assert len(rows) == n + 1 and rows[7] == (3, "0,1,2,3,4,5", True) and rows[-2][0] == 1
+    assert max(_rows_of_joins(got)) <= 2 * n  # not n * n
+
+
+def test_files_are_parsed_in_many_tasks_and_once(spark, sf_dir):
+    r = Repo(spark, sf_dir)
+    for made in (index_queries._files(r), index_queries._shapes(r)):
+        assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    for name in ("c6_resolved_calls", "c8_imports", "c8_type_relations"):
+        assert "MapInArrow" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_reverse_search_joins_a_call_once_for_many_seeds(spark):
+    from prismata.operators import graph
+
+    n = 150
+    calls = spark.createDataFrame([(a, 10_000 + b, 7 + b % 3) for a in range(n) for b in range(40)] + [(a + 1, a, 5) for a in range(n - 1)] + [(3, None, None)], "callee_symbol_id long, caller_symbol_id long, call_line long")
+    seeds = spark.createDataFrame([(k,) for k in range(n)], "seed long")
+    got = {(x.seed, x.node): x.hops for x in graph.reverse_search(calls, seeds, 2).collect()}
+    want = {(a, 10_000 + b): 1 for a in range(n) for b in range(40)} | {(a, a - d): d for a in range(n) for d in (1, 2) if a >= d}
+    assert got == want
+    reached = graph.transitive_callers(calls, seeds, 2)
+    reached.collect()
+    assert max(_rows_of_joins(reached)) <= 3 * calls.count()  # by pairs of a seed and a call: twice as many
