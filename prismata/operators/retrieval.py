@@ -18,6 +18,10 @@ from .checkpoints import checkpointed
 EMBED_CHARS = 6000
 #: Bytes of query vectors or phrases that may be broadcast.
 SMALL_BYTES = 32 << 20
+#: Scores of queries and vectors that a task computes at once: 16 MB.
+SCORES = 2 << 20
+#: Pairs whose scores are computed one by one at once.
+PAIRS = 32_768
 
 
 def occurrences(content: Column, phrase: Column) -> Column:
@@ -147,19 +151,31 @@ def vector_search_batch(vectors: DataFrame, queries: DataFrame, k: int = 8, id_c
 
         def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             names, unit = shared.value
-            held = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            step = max(1, SCORES // max(1, len(names)))
+            q, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            least = np.full(len(names), -np.inf)  # a query's k-th best so far
             for f in frames:
-                if not len(f) or not len(names):
-                    continue
-                x = np.array(f["v"].tolist(), dtype=np.float64)
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                s = unit @ x.T
-                s[names[:, None] == f["i"].to_numpy()[None, :]] = -np.inf
-                m = min(k, s.shape[1])
-                at = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                new = pd.DataFrame({"query_id": np.repeat(names, m), "id": f["i"].to_numpy()[at.ravel()], "score": np.take_along_axis(s, at, 1).ravel()})
-                held = pd.concat([held, new[np.isfinite(new["score"])]]).sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            yield held
+                for lo in range(0, len(f) if len(names) else 0, step):
+                    i = f["i"].to_numpy()[lo : lo + step]
+                    x = np.array(f["v"].iloc[lo : lo + step].tolist(), dtype=np.float64)
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                    s = unit @ x.T
+                    s[names[:, None] == i[None, :]] = -np.inf
+                    if s.shape[1] > k:
+                        low = np.maximum(least, np.partition(s, -k, axis=1)[:, -k])
+                    else:
+                        low = least
+                    a, b = np.nonzero((s >= low[:, None] - 1e-9) & np.isfinite(s))
+                    # one by one: equal vectors get equal scores, wherever they stand
+                    q, ids = np.concatenate([q, a]), np.concatenate([ids, i[b]])
+                    own = [np.einsum("ij,ij->i", unit[a[p : p + PAIRS]], x[b[p : p + PAIRS]]) for p in range(0, len(a), PAIRS)]
+                    score = np.concatenate([score, *own])
+                    order = np.lexsort((ids, -score, q))
+                    q, ids, score = q[order], ids[order], score[order]
+                    place = np.arange(len(q)) - np.searchsorted(q, q)
+                    least[q[place == k - 1]] = score[place == k - 1]
+                    q, ids, score = q[place < k], ids[place < k], score[place < k]
+            yield pd.DataFrame({"query_id": names[q] if len(q) else ids, "id": ids, "score": score})
 
         got = vectors.select(F.col(id_col).alias("i"), F.col(vec).alias("v")).mapInPandas(best, "query_id long, id long, score double")
         out = got if out is None else out.unionByName(got)

@@ -47,15 +47,50 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+#: Bytes of text that a task of the last step indexes.
+TASK_BYTES = 32 << 20
+#: Rows whose words are grouped at once.
+SLICE = 2048
+POSTING = "array<struct<id:bigint,at:array<int>>>"
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, words) to (term, block, p): a batch's postings of each term and block of ids, words in their order."""
+    for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
+        # a null row, or one without words, has no entries
+        words, ids = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
+        count = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = words.flatten().dictionary_encode()
+        if not len(flat):
+            continue
+        row = np.repeat(np.arange(len(count)), count)
+        at = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+        code, block = flat.indices.to_numpy().astype(np.int64), ids[row].astype(np.int64) // BLOCK
+        order = np.lexsort((at, ids[row], block, code))
+        code, block, row, at = code[order], block[order], row[order], at[order]
+        new = np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1]))
+        first = np.flatnonzero(new | np.append(True, row[1:] != row[:-1]))
+        group = np.flatnonzero(new)
+        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at))
+        posts = pa.StructArray.from_arrays([pa.array(ids[row[first]], pa.int64()), positions], names=["id", "at"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(first, group), len(first)), pa.int32()), posts)
+        yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(code[group])), pa.array(block[group]), lists], names=["term", "block", "p"])
+
+
 def write_segment(chunks: DataFrame, base: str, segment: int, buckets: int = BUCKETS) -> None:
-    """Index (id, content) as one segment; rows are written last and make it visible."""
+    """Index (id, content) as one segment; rows are written last and make it visible.
+
+    A row's words are grouped where they are read, and one shuffle brings the postings of a
+    bucket and a block of ids together, in as many tasks as the texts need.
+    """
     words = chunks.select("id", F.regexp_extract_all(F.lower("content"), F.lit(f"({WORD})"), 1).alias("w"))
-    tokens_ = words.select("id", F.posexplode("w").alias("at", "term"))
-    own = tokens_.groupBy("term", "id").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    block = own.groupBy("term", F.floor(F.col("id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("id", "at"))).alias("p"))
-    post = block.select("term", "block", F.transform("p", lambda p: p["id"]).alias("ids"), F.transform("p", lambda p: F.size(p["at"])).alias("counts"), F.transform("p", lambda p: p["at"]).alias("positions"))
-    post = post.withColumns({"most": F.array_max("counts"), "segment": F.lit(segment), "bucket": _bucket(F.col("term"), buckets)})
-    post.repartition(buckets, "bucket", F.pmod("block", F.lit(16))).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment", "bucket").parquet(f"{base}/postings")
+    size = chunks.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    parts = words.select(F.col("id").cast("long"), "w").mapInArrow(_grouped, f"term string, block long, p {POSTING}").withColumn("bucket", _bucket(F.col("term"), buckets))
+    dealt = parts.repartition(max(buckets, -(-size // TASK_BYTES)), "bucket", "block")
+    block = dealt.groupBy("bucket", "block", "term").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
+    post = block.select("term", "block", F.transform("p", lambda p: p["id"]).alias("ids"), F.transform("p", lambda p: F.size(p["at"])).alias("counts"), F.transform("p", lambda p: p["at"]).alias("positions"), "bucket")
+    post = post.withColumns({"most": F.array_max("counts"), "segment": F.lit(segment)})
+    post.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment", "bucket").parquet(f"{base}/postings")
     written = chunks.sparkSession.read.parquet(f"{base}/postings").where(F.col("segment") == segment)
     terms = written.groupBy("term").agg(F.sum(F.size("ids")).alias("df"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("cf"))
     terms.withColumn("segment", F.lit(segment)).sortWithinPartitions("term").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment").parquet(f"{base}/terms")
@@ -83,8 +118,8 @@ class TextIndex:
             return self._terms.select("term", "df", "cf")
         return self._terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
-    def postings(self, terms: DataFrame, *extra: str) -> DataFrame:
-        """(term, id, n, at, *extra) of the given distinct terms (term, *extra), out of their buckets only."""
+    def postings(self, terms: DataFrame, *extra: str, at: bool = True) -> DataFrame:
+        """(term, id, n, at, *extra) of the given distinct terms (term, *extra), out of their buckets only; without `at` no positions are read."""
         own = self._postings
         some = terms.limit(LITERALS + 1).select("term").collect()
         if len(some) <= LITERALS:
@@ -92,8 +127,8 @@ class TextIndex:
             buckets = {r.b for r in self.spark.createDataFrame([(n,) for n in names] or [("",)], "term string").select(_bucket(F.col("term"), self.buckets).alias("b")).distinct().collect()}
             own = own.where(F.col("bucket").isin(sorted(buckets)) & F.col("term").isin(names))
             terms = F.broadcast(terms)
-        own = own.join(terms, "term").select("term", *extra, "segment", F.explode(F.arrays_zip("ids", "counts", "positions")).alias("p"))
-        own = own.select("term", *extra, "segment", F.col("p.ids").alias("id"), F.col("p.counts").alias("n"), F.col("p.positions").alias("at"))
+        own = own.join(terms, "term").select("term", *extra, "segment", F.explode(F.arrays_zip("ids", "counts", *(["positions"] if at else []))).alias("p"))
+        own = own.select("term", *extra, "segment", F.col("p.ids").alias("id"), F.col("p.counts").alias("n"), *([F.col("p.positions").alias("at")] if at else []))
         if len(self.segments) > 1:
             own = own.join(self.rows(), ["id", "segment"])
         return own.drop("segment")
@@ -118,7 +153,7 @@ class TextIndex:
     def _single(self, word: str) -> DataFrame:
         """(id, n): a phrase of word characters occurs inside words, as often as in each word of the dictionary."""
         found = self.terms().where(F.col("term").contains(word)).select("term", retrieval.occurrences(F.col("term"), F.lit(word)).alias("times"))
-        return self.postings(checkpointed(found), "times").groupBy("id").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+        return self.postings(checkpointed(found), "times", at=False).groupBy("id").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
 
     def _several(self, chunks: DataFrame, phrase: str) -> DataFrame:
         """(id, n): candidates have fitting words at neighbouring positions; their texts decide."""
@@ -206,7 +241,7 @@ class TextIndex:
     def _pairs(self, words: DataFrame) -> DataFrame:
         """(query_id, id) for each word of a query that a row has."""
         asked = words.groupBy("term").agg(F.collect_set("query_id").alias("query_ids"))
-        return self.postings(asked, "query_ids").select("id", F.explode("query_ids").alias("query_id"))
+        return self.postings(asked, "query_ids", at=False).select("id", F.explode("query_ids").alias("query_id"))
 
     def _counted(self, words: DataFrame, top: int) -> DataFrame:
         """(query_id, id, have): the `top` rows of each block of ids by the words that they share.

@@ -73,3 +73,23 @@ def test_only_the_terms_buckets_are_read(spark, built):
     plan = own._jdf.queryExecution().toString()
     assert "bucket" in plan.split("PartitionFilters:")[1].split("]")[0] and "EqualTo(term,bab)" in plan or "In(term" in plan
     assert own.where(F.size("at") != F.col("n")).isEmpty() and own.count() > 0
+
+
+def test_tasks_of_the_index_grow_with_the_texts(spark, tmp_path, monkeypatch):
+    from prismata.sources import text_index
+
+    monkeypatch.setattr(text_index, "TASK_BYTES", 1000)
+    chunks = spark.createDataFrame([(i * 5000, f"f{i}", "ab ba " * 50) for i in range(60)], "id long, file_path string, content string")
+    write_segment(chunks, str(tmp_path / "i"), 0, 2)
+    files = spark.read.parquet(str(tmp_path / "i" / "postings")).inputFiles()
+    assert len(files) > 8  # not one for each bucket
+    terms = TextIndex(spark, str(tmp_path / "i"), 2).terms().collect()
+    assert sorted(tuple(r) for r in terms) == [("ab", 60, 3000), ("ba", 60, 3000)]
+
+
+def test_equal_vectors_are_ranked_by_id(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SCORES", 7)
+    rows = [(i, [1.0, 0.1 * (i % 3), 0.3]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = retrieval.vector_search_batch(v, v.where("vec_id in (0, 1)"), 5).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id) for r in got] == [(0, x) for x in (3, 6, 9, 12, 15)] + [(1, x) for x in (4, 7, 10, 13, 16)]
