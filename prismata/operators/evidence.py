@@ -128,7 +128,8 @@ def material(cited: DataFrame, files: DataFrame) -> DataFrame:
 
     cited: claim_id, place (its order), file, start_line, end_line, why; files: path, content.
     A place's code is its numbered lines, MOST_LINES at most, till they have MOST_CHARS
-    characters; only files that are cited move. `more` evidences of the claim are left out.
+    characters; only files that are cited move, and places cited alike are cut out once, so a
+    file's text does not go with every citation. `more` evidences of the claim are left out.
     """
     order = Window.partitionBy("claim_id").orderBy("place")
     own = cited.withColumns({"r": F.row_number().over(order), "total": F.count("*").over(Window.partitionBy("claim_id"))}).where(F.col("r") <= MOST_EVIDENCES)
@@ -137,11 +138,13 @@ def material(cited: DataFrame, files: DataFrame) -> DataFrame:
     clean = F.replace("file", F.lit("\\"), F.lit("/"))
     own = own.select("claim_id", "place", clean.alias("path"), first.alias("a"), last.alias("b"), "start_line", "end_line", "why", (F.col("total") - F.least(F.col("total"), F.lit(MOST_EVIDENCES))).alias("more"))
     text = files.join(own.select("path").distinct(), "path", "left_semi").select("path", lines(F.col("content")).alias("_lines"))
-    met = own.join(text, "path", "left")
+    met = own.select("path", "a", "b").distinct().join(text, "path")
     shown = F.transform(F.slice("_lines", F.col("a"), F.greatest(F.lit(0), F.col("b") - F.col("a") + 1)), lambda x, i: F.concat((F.col("a") + i).cast("string"), F.lit(": "), x, F.lit("\n")))
     grown = F.aggregate(shown, F.lit(""), lambda t, x: F.when(F.length(t) < MOST_CHARS, F.concat(t, x)).otherwise(t))
     code = F.when(F.coalesce(F.length(grown), F.lit(0)) > 0, grown).otherwise(UNREADABLE)
-    return met.select("claim_id", "place", F.concat("path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")).alias("location"), "why", code.alias("code"), "more")
+    told = met.select("path", "a", "b", code.alias("code"))
+    met = own.join(told, ["path", "a", "b"], "left").withColumn("code", F.coalesce("code", F.lit(UNREADABLE)))
+    return met.select("claim_id", "place", F.concat("path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")).alias("location"), "why", "code", "more")
 
 
 def prompts(claims: DataFrame, shown: DataFrame) -> DataFrame:
