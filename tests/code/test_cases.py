@@ -420,6 +420,8 @@ def test_reverse_search_joins_a_call_once_for_many_seeds(spark):
     got = {(x.seed, x.node): x.hops for x in graph.reverse_search(calls, seeds, 2).collect()}
     want = {(a, 10_000 + b): 1 for a in range(n) for b in range(40)} | {(a, a - d): d for a in range(n) for d in (1, 2) if a >= d}
     assert got == want
-    reached = graph.transitive_callers(calls, seeds, 2)
-    reached.collect()
-    assert max(_rows_of_joins(reached)) <= 3 * calls.count()  # by pairs of a seed and a call: twice as many
+    # all seeds reach one hub: its callers meet it once, not once for each seed
+    hub = spark.createDataFrame([(k, 5_000, 1) for k in range(n)] + [(5_000, 10_000 + b, 1) for b in range(40)], calls.schema)
+    told = graph.chain_only(hub, seeds, 2)
+    assert {(x.truth, x.direct, x.chain) for x in told.collect()} == {(41, 1, 40)}
+    assert max(_rows_of_joins(told)) <= 3 * hub.count()
