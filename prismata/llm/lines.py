@@ -25,6 +25,7 @@ the place of columns so named.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,8 +64,6 @@ PAIRS, PEQ_BYTES = 2048, 24 << 20
 #: Characters from which a bound of the distance is tried first, and from which a pair is
 #: handled alone, on whole numbers of any length.
 BOUNDED, ALONE = 150, 1600
-#: Pairs of lines, and their bytes, that a task verifies at once.
-AT_ONCE, AT_ONCE_BYTES = 16_384, 24 << 20
 #: Nodes that a task remembers to have handed on.
 SEEN = 200_000
 #: Occurrences from which a line is frequent, and frequent nodes that may be broadcast.
@@ -227,7 +226,7 @@ def within(pairs: list[tuple[str, str]], room: np.ndarray) -> np.ndarray:
         a, b = _trimmed(a, b)
         if len(a) > len(b):
             a, b = b, a
-        if len(b) <= room[k] or (len(a) > BOUNDED and at_most(a, b) <= room[k]):
+        if len(b) <= room[k] or (len(a) > BOUNDED and at_most(a, b, room[k]) <= room[k]):
             out[k] = True
         elif len(a) > ALONE:
             out[k] = _steps(a, b) <= room[k]
@@ -238,6 +237,8 @@ def within(pairs: list[tuple[str, str]], room: np.ndarray) -> np.ndarray:
         # pieces are cut from the long end, so that the first pair tells the size of all
         cells = (-(-len(hard[-1][1]) // 64)) * (len({c for _, a, _ in hard[-PAIRS:] for c in a}) + 1)
         part = hard[-max(1, min(PAIRS, PEQ_BYTES // (8 * cells))) :]
+        # a short pair is not carried through the columns of a long one
+        part = part[bisect.bisect_left(part, 0.7 * len(part[-1][1]), key=lambda x: len(x[1])) :]
         del hard[-len(part) :]
         at = np.array([x[0] for x in part])
         out[at] = _banded([x[1] for x in part], [x[2] for x in part], room[at])
@@ -248,12 +249,12 @@ def within(pairs: list[tuple[str, str]], room: np.ndarray) -> np.ndarray:
 SKIPS = tuple((p, n - p) for n in range(1, 9) for p in range(n + 1))
 
 
-def at_most(a: str, b: str) -> int:
-    """An upper bound of the edit distance: words are skipped up to the next two that agree."""
+def at_most(a: str, b: str, room: float = float("inf")) -> int:
+    """An upper bound of the edit distance: words are skipped up to the next two that agree; beyond `room` it is not gone on with."""
     x, y = [*a.split(" "), "", ""], [*b.split(" "), "", ""]
     m, n = len(x) - 2, len(y) - 2
     i = j = cost = 0
-    while i < m and j < n:
+    while i < m and j < n and cost <= room:
         if x[i] == y[j]:
             i, j = i + 1, j + 1
             continue
@@ -279,7 +280,9 @@ def _banded(short: list[str], long: list[str], room: np.ndarray) -> np.ndarray:
     What lies outside the band is taken as its upper bound, so a distance within the room is exact.
     """
     n, m, t = len(short), np.array([len(x) for x in short]), np.array([len(x) for x in long])
-    words, band = -(-int(m.max()) // 64), int(room.max()) + 1
+    words = -(-int(m.max()) // 64)
+    # a path of at most `room` edits leaves the diagonal so far only that it can still come back to the last corner
+    below, above = int(((room - (t - m)) / 2).max()) + 1, int(((room + (t - m)) / 2).max()) + 1
     chars, code = np.unique(_points(short), return_inverse=True)
     pair, place = np.repeat(np.arange(n), m), np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
     where = np.zeros(((len(chars) + 1) * words, n), np.uint64)  # the last character stands for all others
@@ -299,10 +302,10 @@ def _banded(short: list[str], long: list[str], room: np.ndarray) -> np.ndarray:
     active, out = 1, np.full(n, 1 << 40)
     closing = [np.flatnonzero(t == j + 1) for j in range(len(told))]
     for j in range(len(told)):
-        while active < words and 64 * active <= j + band:
+        while active < words and 64 * active <= j + below:
             score[active] = score[active - 1] + (end[active] + one).astype(np.int64)
             active += 1
-        first = max(0, (j - band) // 64)
+        first = max(0, (j - above) // 64)
         plus, minus = np.ones(n, np.uint64), np.zeros(n, np.uint64)
         for w in range(min(first, active - 1), active):
             eq, pv, mv = where[told[j] + w * n], up[w], down[w]
@@ -352,24 +355,9 @@ def normal(line: str) -> str:
     return b" ".join(line.encode().translate(BY_LINE.tobytes()).split()).decode()
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with their lines, those whose lines are alike; many at once, since that is faster."""
-
-    def told(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).combine_chunks()
-        both = list(zip(table.column(2).to_pylist(), table.column(3).to_pylist()))
-        room = (1 - SIMILARITY) * np.array([max(len(x), len(y)) for x, y in both]) + 1e-9
-        kept = table.select([0, 1]).filter(pa.array(within(both, room))).combine_chunks()
-        return pa.RecordBatch.from_arrays([pa.array(c.to_numpy()) for c in kept.columns], names=kept.column_names)
-
-    held, rows, size = [], 0, 0
-    for batch in batches:
-        held, rows, size = [*held, batch], rows + batch.num_rows, size + batch.nbytes
-        if rows >= AT_ONCE or size >= AT_ONCE_BYTES:
-            yield told(held)
-            held, rows, size = [], 0, 0
-    if rows:
-        yield told(held)
+def _same(both: list[tuple[str, str]]) -> np.ndarray:
+    """Which pairs of normalised lines are alike."""
+    return within(both, (1 - SIMILARITY) * np.array([max(len(x), len(y)) for x, y in both]) + 1e-9)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -387,7 +375,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple
     told = scanned.repartition("part").sortWithinPartitions("part").mapInArrow(lean(minhash.collected(CLOSE)), f"id {kind}, th long, nodes array<long>, {minhash.CELLS}")
     told = checkpointed(told)
     cells = told.where("key is not null").select(*minhash.names())
-    roots = minhash.linked(cells, fetched(rows.select("text"), cells), CLOSE, _alike)
+    roots = minhash.linked(cells, fetched(rows.select("text"), cells), CLOSE, _same)
     texts = told.where("nodes is not null").select("id", "th", "nodes")
     counts = texts.select(F.explode("nodes").alias("node")).where("node is not null").groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
     again = checkpointed(counts.join(roots, "node", "full").select("node", F.coalesce("n", F.lit(1)).alias("n"), "root"))

@@ -6,14 +6,15 @@ blobs by key range, so that a shuffle moves few rows. In every band a greedy pas
 node to a leader whose sketch and size allow the similarity (`ok` rows of cells()); these
 are verified first and joined to groups. Only pairs of a band that such groups still keep
 apart are then listed (rest()), in cells of bounded size. So a large group of variants costs
-its size and not the square of it, and no pair is left out.
+its size and not the square of it, and no pair is left out. The listed pairs are packed by
+tiles of a key; no pair is a row, and a text moves once for all of its pairs in a block.
 
 A key that is frequent in one worker is led there already, and only its leaders travel on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,10 @@ HELD = 1_000_000
 PIECE = 2048
 #: Rows of (node, root) that may be broadcast.
 ROOTS = 500_000
+#: Nodes of a key, and their sizes in all, of which the pairs with as many others are told in one block.
+TILE, TILE_SIZE = 256, 2 << 20
+#: Pairs, and bytes of their texts, that a task verifies at once.
+AT_ONCE, AT_ONCE_BYTES = 16_384, 24 << 20
 #: A sketch holds two bits of each of so many minima.
 SKETCH = 32
 _ODD = np.uint64(0x5555555555555555)
@@ -71,6 +76,11 @@ def sketches(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(two << (2 * np.arange(SKETCH, dtype=np.uint64)), axis=1) if len(two) else np.zeros(0, np.uint64)
 
 
+def _places(sketch_a: np.ndarray, sketch_b: np.ndarray) -> np.ndarray:
+    x = sketch_a ^ sketch_b
+    return np.bitwise_count((x | x >> np.uint64(1)) & _ODD)
+
+
 class Close:
     """Whether sizes and sketches allow a similarity.
 
@@ -83,8 +93,7 @@ class Close:
 
     def __call__(self, size_a, sketch_a, size_b, sketch_b):
         small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-        x = sketch_a ^ sketch_b
-        return (small >= self.ratio * large - 1e-9) & (np.bitwise_count((x | x >> np.uint64(1)) & _ODD) <= np.where(large <= self.small, self.small_apart, self.apart))
+        return (small >= self.ratio * large - 1e-9) & (_places(sketch_a, sketch_b) <= np.where(large <= self.small, self.small_apart, self.apart))
 
 
 def _led(rows: np.ndarray, close: Close) -> np.ndarray:
@@ -281,37 +290,125 @@ def star(cells: DataFrame) -> DataFrame:
     return cells.where("ok").select(F.greatest("node", "center").alias("a"), F.least("node", "center").alias("b")).distinct()
 
 
-def _crossing(close: Close, told: Close | None):
+def _crossing(close: Close):
     def handle(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Close pairs of nodes of different roots, each in the cell of the least key that they share."""
         key, node, root, size, sketch = (t.column(k).to_numpy() for k in (0, 2, 3, 4, 5))
         sketch, probe = sketch.view(np.uint64), t.column(6).to_numpy(zero_copy_only=False)
-        keys = _padded(t.column(7).combine_chunks())
+        keys, led = _padded(t.column(7).combine_chunks()), t.column(8).to_numpy()
         count = np.diff(bounds)
         group = np.repeat(np.arange(len(count)), count)
+        cost = np.cumsum(1 / TILE + size / TILE_SIZE)
+        tile = (cost - cost[bounds[:-1]][group]).astype(np.int64)
         ask = np.flatnonzero(probe & (count[group] > 1))
         total = np.cumsum(count[group[ask]])
         for part in np.split(ask, np.searchsorted(total, np.arange(500_000, int(total[-1]), 500_000)) if len(ask) else []):
             n = count[group[part]]
             left = np.repeat(part, n)
             right = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[:-1][group[part]], n)
-            near = np.flatnonzero((root[left] != root[right]) & (node[left] > node[right]))
+            near = np.flatnonzero((root[left] != root[right]) & (node[left] > node[right]) & (led[left] != node[right]) & (led[right] != node[left]))
             left, right = left[near], right[near]
-            both = size[left], sketch[left], size[right], sketch[right]
-            near = close(*both) if told is None else close(*both) & ~told(*both)
+            near = close(size[left], sketch[left], size[right], sketch[right])
             left, right = left[near], right[near]
             once = np.zeros(len(left), bool)
             for lo in range(0, len(left), 20_000):
                 x, y = keys[left[lo : lo + 20_000]], keys[right[lo : lo + 20_000]]
                 common = ((x[:, :, None] == y[:, None, :]) & (x >= 0)[:, :, None]).any(axis=2)
                 once[lo : lo + 20_000] = x[np.arange(len(x)), common.argmax(axis=1)] == key[left[lo : lo + 20_000]]
-            a, b = node[left[once]], node[right[once]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            if once.any():
+                yield _blocks(left[once], right[once], group, tile, node, root, size, sketch)
 
     return handle
 
 
+def _blocks(left: np.ndarray, right: np.ndarray, group: np.ndarray, tile: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    """Rows (block, node, root, pairs): each node once a block; its first row has the block's pairs, nearest first.
+
+    The pairs of two tiles of a key are together, so a block has far fewer nodes than pairs
+    where many of them are near; the pairs of small keys share blocks.
+    """
+    order = np.lexsort((tile[right], tile[left], group[left]))
+    left, right = left[order], right[order]
+    new = np.ones(len(left), bool)
+    new[1:] = (group[left][1:] != group[left][:-1]) | (tile[left][1:] != tile[left][:-1]) | (tile[right][1:] != tile[right][:-1])
+    unit = np.cumsum(new) - 1
+    cost = np.minimum(np.bincount(unit, 2 / TILE + (size[left] + size[right]) / TILE_SIZE), 2)
+    block = ((np.cumsum(cost) - cost) / 2).astype(np.int64)[unit]
+    apart = _places(sketch[left], sketch[right])
+    order = np.lexsort((apart, block))
+    left, right, block = left[order], right[order], block[order]
+    pairs = np.stack([node[left], node[right]], axis=1)
+    first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    # a block is named by its first pair; were two of one name, they would be one block
+    name = mixed(pairs[first, 0].view(np.uint64) ^ mixed(pairs[first, 1].view(np.uint64))).view(np.int64)
+    out = []
+    for k, (lo, hi) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(block)])):
+        names, at = np.unique(pairs[lo:hi], return_index=True)
+        roots = np.stack([root[left[lo:hi]], root[right[lo:hi]]], axis=1).ravel()[at]
+        own = pa.array([pairs[lo:hi].tobytes(), *[None] * (len(names) - 1)], pa.binary())
+        out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(names), name[k])), pa.array(names), pa.array(roots), own], names=["block", "node", "root", "pairs"]))
+    return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+
+
+def _tested(same: Callable[[list[tuple[str, str]]], np.ndarray]):
+    def handle(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Links (a, b) of whole blocks; a pair that earlier links have joined says nothing new."""
+        node, root = t.column(1).to_pylist(), t.column(2).to_pylist()
+        text, up = dict(zip(node, t.column(3).to_pylist())), {}
+        own = dict(zip(node, root))
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
+        parts = [np.frombuffer(b, np.int64).reshape(-1, 2) for b in t.column(4).to_pylist() if b is not None]
+        for pairs in _dealt(parts):
+            left = [(a, b) for a, b in pairs.tolist() if top(own[a]) != top(own[b])]
+            if not left:
+                continue
+            found = [ab for ab, ok in zip(left, same([(text[a], text[b]) for a, b in left])) if ok]
+            for a, b in found:
+                up[top(own[a])] = top(own[b])
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            held, rows, size = [*held, batch], rows + batch.num_rows, size + batch.nbytes
+            if rows >= AT_ONCE or size >= AT_ONCE_BYTES:
+                t = pa.Table.from_batches(held)
+                block = t.column(0).to_numpy()
+                last = int(np.flatnonzero(block != block[-1])[-1]) + 1 if block[0] != block[-1] else 0
+                if last:
+                    yield from handle(t.slice(0, last))
+                held = t.slice(last).combine_chunks().to_batches()
+                rows, size = sum(b.num_rows for b in held), sum(b.nbytes for b in held)
+        if rows:
+            yield from handle(pa.Table.from_batches(held))
+
+    return run
+
+
+def _dealt(parts: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The pairs of some blocks in pieces of about AT_ONCE, the first ones of every block first."""
+    share = max(64, AT_ONCE // max(1, len(parts)))
+    held, rows = [], 0
+    for lo in range(0, max(map(len, parts), default=0), share):
+        for x in parts:
+            if len(x) > lo:
+                held.append(x[lo : lo + share])
+                rows += len(held[-1])
+                if rows >= AT_ONCE:
+                    yield np.concatenate(held)
+                    held, rows = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def _padded(lists: pa.Array) -> np.ndarray:
     """Sorted keys, which are not negative, as the rows of a matrix that ends in -1."""
     lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)
@@ -321,44 +418,67 @@ def _padded(lists: pa.Array) -> np.ndarray:
     return out
 
 
-def rest(cells: DataFrame, roots: DataFrame, close: Close, led: DataFrame, told: Close | None = None) -> DataFrame:
-    """The close pairs (a, b) of a band whose ends have different roots, but for those led, and
-    those that were already close in the sense of `told`.
+def rest(cells: DataFrame, roots: DataFrame, close: Close) -> DataFrame:
+    """The close pairs of a band whose ends have different roots, in blocks (see _blocks).
 
     roots holds (node, root) of the nodes that have links.
     """
     # 16 bytes a row: few roots need no second shuffle of the cells
     small = F.broadcast(roots) if roots.count() <= ROOTS else roots
-    named = cells.where("open").join(small, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", "sketch")
+    led = F.when(F.col("ok"), F.col("center")).otherwise(F.col("node")).alias("led")
+    named = cells.where("open").join(small, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", "sketch", led)
     mixed_keys = named.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
     open_rows = checkpointed(named.join(mixed_keys, "key", "left_semi"))
     keys = open_rows.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # a node has few
     salt: Column = F.xxhash64("node")
-    dealt = grid(open_rows.join(keys, "node"), "key", salt, F.lit(True)).select("key", "cell", "node", "root", "size", "sketch", "probe", "keys")
-    dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    handle = _crossing(close, told)
-    found = dealt.mapInArrow(lean(lambda b: streamed(b, columns(0, 1), handle)), "a long, b long")
-    return found.join(led, ["a", "b"], "left_anti")
+    dealt = grid(open_rows.join(keys, "node"), "key", salt, F.lit(True)).select("key", "cell", "node", "root", "size", "sketch", "probe", "keys", "led")
+    dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell", "root")
+    handle = _crossing(close)
+    return checkpointed(dealt.mapInArrow(lean(lambda b: streamed(b, columns(0, 1), handle)), "block long, node long, root long, pairs binary"))
+
+
+def _alike(same: Callable[[list[tuple[str, str]]], np.ndarray]):
+    """Of pairs (a, b, x, y) with their texts, those whose texts are alike; many at once, since that is faster."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            ok = pa.array(same(list(zip(table.column(2).to_pylist(), table.column(3).to_pylist()))), pa.bool_())
+            kept = table.select([0, 1]).filter(ok).combine_chunks()
+            return pa.RecordBatch.from_arrays([pa.array(c.to_numpy()) for c in kept.columns], names=kept.column_names)
+
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            held, rows, size = [*held, batch], rows + batch.num_rows, size + batch.nbytes
+            if rows >= AT_ONCE or size >= AT_ONCE_BYTES:
+                yield told(held)
+                held, rows, size = [], 0, 0
+        if rows:
+            yield told(held)
 
-def _verified(pairs: DataFrame, norms: DataFrame, alike) -> DataFrame:
+    return run
+
+
+def verified(pairs: DataFrame, norms: DataFrame, same) -> DataFrame:
+    """The pairs (a, b), one or few a node, that do link."""
     x, y = norms.select(F.col("node").alias("a"), F.col("norm").alias("x")), norms.select(F.col("node").alias("b"), F.col("norm").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(alike), "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(_alike(same)), "a long, b long")
+
+
+def tested(blocks: DataFrame, norms: DataFrame, same) -> DataFrame:
+    """Links (a, b) that join what the pairs of some blocks join: a text moves once a block, not once a pair."""
+    met = blocks.join(norms, "node").select("block", "node", "root", "norm", "pairs").repartition("block").sortWithinPartitions("block")
+    return met.mapInArrow(lean(_tested(same)), "a long, b long")
 
 
-def linked(cells: DataFrame, norms: DataFrame, close: Close, alike) -> DataFrame:
+def linked(cells: DataFrame, norms: DataFrame, close: Close, same) -> DataFrame:
     """(node, root) of the nodes that link to another one.
 
-    `alike` maps batches of (a, b, norm of a, norm of b) to the (a, b) that do link. Leaders
-    come first, then the nearest of the pairs between different groups, then all others.
+    `same` says of some pairs of norms which ones link. Leaders come first, then the pairs
+    between different groups, nearest first.
     """
-    led = checkpointed(star(cells))
-    roots = components(_verified(led, norms, alike))
-    told = None
-    for near in (Close(close.ratio, close.apart // 3), Close(close.ratio, close.apart * 2 // 3), close):
-        pairs = checkpointed(rest(cells, roots, near, led, told))
-        roots, told = completed(roots, _verified(pairs, norms, alike)), near
-    return roots
+    roots = components(verified(checkpointed(star(cells)), norms, same))
+    return completed(roots, tested(rest(cells, roots, close), norms, same))
 
 
-__all__ = ["CELLS", "Close", "Packer", "band_keys", "blobs", "collected", "completed", "linked", "minima", "names", "rest", "sketches", "star"]
+__all__ = ["CELLS", "Close", "Packer", "band_keys", "blobs", "collected", "completed", "linked", "minima", "names", "rest", "sketches", "star", "tested", "verified"]

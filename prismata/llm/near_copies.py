@@ -75,7 +75,7 @@ def _scanner(parts: int):
                 turn += n
                 if len(node):
                     low = minhash.minima(*_hashes(own)[::-1], BANDS * ROWS)
-                    if found := packer.add(minhash.band_keys(low, ROWS), node, np.zeros(len(node), np.int32), minhash.sketches(low)):
+                    if found := packer.add(minhash.band_keys(low, ROWS), node, (own.end - own.start)[own.some], minhash.sketches(low)):
                         yield packed(found)
         if found := packer.flush():
             yield packed(found)
@@ -93,16 +93,14 @@ def jaccard(a: set, b: set) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 64):  # a leader's shingles are made once for its rows here
-            part = batch.slice(lo, 64)
-            center, own, ok = None, set(), []
-            for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                if y != center:
-                    center, own = y, shingles(y)
-                ok.append(jaccard(shingles(x), own) >= SIMILARITY)
-            yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+def _same(both: list[tuple[str, str]]) -> np.ndarray:
+    """Which pairs of normalised texts are alike; the shingles of a text are kept while it is the second of pairs."""
+    center, own, ok = None, set(), np.zeros(len(both), bool)
+    for k, (x, y) in enumerate(both):
+        if y != center:
+            center, own = y, shingles(y)
+        ok[k] = jaccard(shingles(x), own) >= SIMILARITY
+    return ok
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,7 +113,7 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     scanned = rows.mapInArrow(lean(_scanner(parts)), f"part int, led boolean, blob binary, id {kind}, node_of long")
     told = checkpointed(scanned.repartition("part").sortWithinPartitions("part").mapInArrow(lean(minhash.collected(CLOSE)), f"id {kind}, node_of long, {minhash.CELLS}"))
     cells = told.where("key is not null").select(*minhash.names())
-    roots = minhash.linked(cells, fetched(rows.select("text"), cells, BY_TEXT), CLOSE, _alike)
+    roots = minhash.linked(cells, fetched(rows.select("text"), cells, BY_TEXT), CLOSE, _same)
     named = told.where("id is not null").select("id", F.col("node_of").alias("node"))
     first = named.groupBy("node").agg(F.min("id").alias("id")).join(roots, "node", "left")
     stay = first.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("id").alias("id")).select("id").distinct()

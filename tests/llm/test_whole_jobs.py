@@ -3,8 +3,9 @@
 import random
 from collections import Counter
 
+import numpy as np
 
-from prismata.llm import lines, pii
+from prismata.llm import lines, minhash, pii
 
 
 def test_similar_lines_are_joined_whatever_their_words(spark):
@@ -129,3 +130,42 @@ def test_short_lines_and_lines_without_spaces_are_deduplicated(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: (x.text, x.n_removed) for x in lines.dedup(docs, counts=True).collect()}
     assert got == {0: (texts[0], 0), 1: ("\nown", 1), 2: ("read less", 1), 3: (texts[3], 0), 4: ("...", 1)}
+
+
+def test_lines_that_share_a_passage_are_not_moved_pair_by_pair(spark):
+    """Lines 0.7-0.8 alike: their pairs are packed in blocks, in which a text is a row once."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(5, 8)))
+    passage = [word() for _ in range(40)]
+    texts = [" ".join([word() for _ in range(8)] + passage + [word() for _ in range(8)]) for _ in range(150)]
+    nodes = list(range(1, len(texts) + 1))
+    cells = spark.createDataFrame([(5, n, len(t), 0, n, False, True) for n, t in zip(nodes, texts)], minhash.CELLS)
+    norms = spark.createDataFrame(list(zip(nodes, texts)), "node long, norm string")
+    none = spark.createDataFrame([], "node long, root long")
+    blocks = minhash.rest(cells, none, lines.CLOSE)
+    near = [(a, b) for a in nodes for b in nodes if a > b and lines.CLOSE(len(texts[a - 1]), 0, len(texts[b - 1]), 0)]
+    told = {(int(a), int(b)) for x in blocks.where("pairs is not null").collect() for a, b in np.frombuffer(x.pairs, np.int64).reshape(-1, 2)}
+    assert told == set(near) and blocks.count() < len(near) / 20
+    assert blocks.groupBy("block", "node").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    like = {(a, b) for a, b in near if lines.similar(texts[a - 1], texts[b - 1])}
+    found = {(x.a, x.b) for x in minhash.tested(blocks, norms, lines._same).collect()}
+    assert found <= like and _joined(found) == _joined(like)
+
+
+def _joined(pairs):
+    """The groups that some pairs join."""
+    top = {}
+
+    def find(x):
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in pairs:
+        top[find(a)] = find(b)
+    groups = {}
+    for x in {x for ab in pairs for x in ab}:
+        groups.setdefault(find(x), set()).add(x)
+    return {frozenset(g) for g in groups.values()}
