@@ -471,13 +471,19 @@ def tested(blocks: DataFrame, norms: DataFrame, same) -> DataFrame:
     return met.mapInArrow(lean(_tested(same)), "a long, b long")
 
 
-def linked(cells: DataFrame, norms: DataFrame, close: Close, same) -> DataFrame:
+def linked(cells: DataFrame, norms: DataFrame, close: Close, same, roots: DataFrame | None = None) -> DataFrame:
     """(node, root) of the nodes that link to another one.
 
     `same` says of some pairs of norms which ones link. Leaders come first, then the pairs
-    between different groups, nearest first.
+    between different groups, nearest first. roots holds (node, root) of what is already linked.
     """
-    roots = components(verified(checkpointed(star(cells)), norms, same))
+    led = star(cells)
+    if roots is None:
+        roots = components(verified(checkpointed(led), norms, same))
+    else:
+        x, y = roots.select(F.col("node").alias("a"), F.col("root").alias("_a")), roots.select(F.col("node").alias("b"), F.col("root").alias("_b"))
+        led = led.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+        roots = completed(roots, verified(checkpointed(led), norms, same))
     return completed(roots, tested(rest(cells, roots, close), norms, same))
 
 

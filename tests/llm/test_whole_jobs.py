@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from prismata.llm import lines, minhash, pii
+from prismata.llm import lines, minhash, near_copies, pii
 
 
 def test_similar_lines_are_joined_whatever_their_words(spark):
@@ -169,3 +169,17 @@ def _joined(pairs):
     for x in {x for ab in pairs for x in ab}:
         groups.setdefault(find(x), set()).add(x)
     return {frozenset(g) for g in groups.values()}
+
+
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """Near texts are joined by the anchors of their SimHash, without a band of minima."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for k in range(6):
+        own = [word() for _ in range(1500)]
+        rows += [(10 * k, " ".join(own)), (10 * k + 1, " ".join([*own[:-1], word()]))]
+    docs = spark.createDataFrame([*rows, (90, None), (91, " ")], "doc_id long, text string")
+    monkeypatch.setattr(minhash, "linked", lambda cells, norms, close, same, roots=None: roots)
+    got = {x.doc_id for x in near_copies.kept(docs).collect()}
+    assert got == {10 * k for k in range(6)} | {90}
