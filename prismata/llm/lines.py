@@ -64,6 +64,12 @@ PAIRS, PEQ_BYTES = 2048, 24 << 20
 #: Characters from which a bound of the distance is tried first, and from which a pair is
 #: handled alone, on whole numbers of any length.
 BOUNDED, ALONE = 150, 1600
+#: Pairs for which that bound is tried in any case.
+TRIES = 64
+#: Pairs under which a piece is handled one by one, too.
+FEW_PAIRS = 24
+#: Characters of the runs that are counted before distances are found, and bytes counted at once.
+RUN, COUNTED = 3, 4 << 20
 #: Nodes that a task remembers to have handed on.
 SEEN = 200_000
 #: Occurrences from which a line is frequent, and frequent nodes that may be broadcast.
@@ -84,19 +90,18 @@ def _features(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[
     np.cumsum((text.astype(np.uint64) + np.uint64(1)) * radix, out=sums[1:])
     runs = lambda p, q: mixed((sums[q] - sums[p]) * back[p] + (q - p).astype(np.uint64))
     letter = text > 32
+    edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    edge = np.concatenate([[0] * bool(letter[0]), edge, [n] * bool(letter[-1])]).astype(np.int64)
+    left, right = edge[::2], edge[1::2]
     # words of the given lines only; no word crosses the bounds of a line
-    inside = np.zeros(n + 1, np.int32)
-    inside[start] += 1
-    inside[end] -= 1
-    inside = np.cumsum(inside[:-1]) > 0
-    before, after = np.zeros(n, bool), np.zeros(n, bool)
-    before[1:], after[:-1] = letter[:-1], letter[1:]
-    left, right = np.flatnonzero(letter & inside & ~before), np.flatnonzero(letter & inside & ~after) + 1
-    line = np.searchsorted(start, left, side="right") - 1
-    words = np.bincount(line, minlength=len(start))
-    chars = np.zeros(n + 1, np.int64)
-    np.cumsum((text & 0xC0) != 0x80, out=chars[1:])
-    size = chars[end] - chars[start]
+    first, words = np.searchsorted(left, start), np.searchsorted(left, end)
+    words -= first
+    line = np.repeat(np.arange(len(start)), words)
+    if len(line) < len(left):
+        at = np.arange(len(line)) + np.repeat(first - np.cumsum(words) + words, words)
+        left, right = left[at], right[at]
+    inner = np.flatnonzero((text & 0xC0) == 0x80)  # bytes within a character
+    size = end - start - (np.searchsorted(inner, end) - np.searchsorted(inner, start))
     enough = (words >= MIN_WORDS) | (size >= MIN_CHARS)
     dense = enough & (end - start >= LONG_WORD * words)
     short, long = enough & ~dense & (words <= SHORT[1]), enough & ~dense & (words >= SHORT[0])
@@ -117,9 +122,10 @@ def _features(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[
     at = np.flatnonzero(about[line])
     yield kind(0, about, line[at], named[at])
     if dense.any():
-        at = np.flatnonzero(((text & 0xC0) != 0x80) & inside)
+        at = np.flatnonzero((text & 0xC0) != 0x80)
         of = np.searchsorted(start, at, side="right") - 1
-        at, of = at[dense[of]], of[dense[of]]
+        own = (of >= 0) & (at < end[of]) & dense[of]
+        at, of = at[own], of[own]
         yield kind(2, dense, of, runs(at, np.minimum(at + GRAM, end[of])))
 
 
@@ -166,6 +172,8 @@ def _scanner(parts: int):
 
 
 def _common(a: str, b: str) -> int:
+    if a[:1] != b[:1]:
+        return 0
     lo, hi = 0, min(len(a), len(b))
     while lo < hi:
         mid = (lo + hi + 1) // 2
@@ -192,13 +200,14 @@ def distance(a: str, b: str) -> int:
     return _steps(a, b) if a else len(b)
 
 
-def _steps(a: str, b: str) -> int:
-    """Edit distance of a, which is not empty, and b."""
+def _steps(a: str, b: str, room: float = float("inf")) -> int:
+    """Edit distance of a, which is not empty, and b; if that is over `room`, maybe only a number over it."""
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, score = full, 0, len(a)
+    most = room + len(b)  # a column takes one off at most
     for c in b:
         eq = places.get(c, 0)
         zero = (((eq & up) + up) ^ up) | eq | down
@@ -207,29 +216,78 @@ def _steps(a: str, b: str) -> int:
             score += 1
         elif minus & top:
             score -= 1
+        most -= 1
+        if score > most:
+            return score - int(most - room)
         plus = plus << 1 | 1
         up, down = (minus << 1 | ~(zero | plus)) & full, plus & zero & full
     return score
 
 
+def _counted(texts: list[str], run: int, cells: int) -> np.ndarray:
+    """How often each text has the runs of so many characters, by a hash of them: a row each."""
+    size = np.array([len(x) for x in texts])
+    point = _points(texts)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    code = point
+    if run > 1:
+        n = max(0, len(point) - run + 1)
+        code = point[:n].copy()
+        for k in range(1, run):
+            code = code * np.uint32(0x9E3779B1) + point[k : n + k]
+        code = (code ^ code >> np.uint32(15)) * np.uint32(0x85EBCA6B) >> np.uint32(16)
+        whole = row[:n] == row[run - 1 :]
+        row, code = row[:n][whole], code[whole]
+    at = row.astype(np.int64) * cells + (code & np.uint32(cells - 1))
+    return np.bincount(at, minlength=len(texts) * cells).astype(np.int32).reshape(len(texts), cells)
+
+
+def _far(pairs: list[tuple[str, str]], room: np.ndarray) -> np.ndarray:
+    """Which pairs are surely further apart than their room, told by counts.
+
+    An edit changes a character of each text, and RUN runs of RUN characters of each. Counts
+    of hashes differ by no more than those of what is hashed, so no pair within its room is far.
+    """
+    size = np.array([(len(a), len(b)) for a, b in pairs]).reshape(-1, 2)
+    out = np.abs(size[:, 0] - size[:, 1]) > room
+    for run, cells, most in ((1, 64, np.inf), (RUN, 512, BOUNDED)):
+        left = np.flatnonzero(~out & (size.max(axis=1, initial=0) <= most))
+        total = np.cumsum(size[left].sum(axis=1) + 8 * cells)
+        for part in np.split(left, np.searchsorted(total, np.arange(COUNTED, int(total[-1]), COUNTED)) if len(left) else []):
+            if not len(part):
+                continue
+            x, y = (_counted([pairs[k][side] for k in part.tolist()], run, cells) for side in (0, 1))
+            apart = np.abs(x - y).sum(axis=1)
+            if run == 1:
+                out[part] = (apart + np.abs(size[part, 0] - size[part, 1])) / 2 > room[part]
+            else:
+                out[part] = apart / (2 * run) > room[part]
+    return out
+
+
 def within(pairs: list[tuple[str, str]], room: np.ndarray) -> np.ndarray:
     """Which pairs have an edit distance of `room` or less: bit-parallel, many pairs at once.
 
-    Common ends are cut off, which decides many pairs; the others are handled in pieces of
-    similar length and bounded memory, a matrix column for each pair, but for very long ones.
+    Counts of characters rule out most of the pairs that are not, and cutting common ends off
+    decides many others; what is left is handled in pieces of similar length and bounded memory,
+    a matrix column for each pair, but for very long ones.
     """
     out = np.zeros(len(pairs), bool)
-    hard = []
-    for k, (a, b) in enumerate(pairs):
-        if abs(len(a) - len(b)) > room[k]:
-            continue
-        a, b = _trimmed(a, b)
+    hard, tried, told = [], 0, 0
+    for k in np.flatnonzero(~_far(pairs, room)).tolist():
+        a, b = _trimmed(*pairs[k])
         if len(a) > len(b):
             a, b = b, a
-        if len(b) <= room[k] or (len(a) > BOUNDED and at_most(a, b, room[k]) <= room[k]):
+        if len(b) <= room[k]:
             out[k] = True
-        elif len(a) > ALONE:
-            out[k] = _steps(a, b) <= room[k]
+            continue
+        if len(a) > BOUNDED and 4 * told >= tried - TRIES:  # as long as the bound tells some of them
+            out[k] = at_most(a, b, room[k]) <= room[k]
+            tried, told = tried + 1, told + int(out[k])
+        if out[k]:
+            continue
+        if len(a) > ALONE:
+            out[k] = _steps(a, b, room[k]) <= room[k]
         elif a:
             hard.append((k, a, b))
     hard.sort(key=lambda x: (len(x[1]), len(x[2])))
@@ -241,7 +299,10 @@ def within(pairs: list[tuple[str, str]], room: np.ndarray) -> np.ndarray:
         part = part[bisect.bisect_left(part, 0.7 * len(part[-1][1]), key=lambda x: len(x[1])) :]
         del hard[-len(part) :]
         at = np.array([x[0] for x in part])
-        out[at] = _banded([x[1] for x in part], [x[2] for x in part], room[at])
+        if len(part) < FEW_PAIRS:
+            out[at] = [_steps(a, b, room[k]) <= room[k] for k, a, b in part]
+        else:
+            out[at] = _banded([x[1] for x in part], [x[2] for x in part], room[at])
     return out
 
 
@@ -277,7 +338,10 @@ def _points(texts: list[str]) -> np.ndarray:
 def _banded(short: list[str], long: list[str], room: np.ndarray) -> np.ndarray:
     """Which pairs are at most their room apart: blocks of 64 rows, those near the diagonal only.
 
-    What lies outside the band is taken as its upper bound, so a distance within the room is exact.
+    What lies outside the band is taken as its upper bound, so a distance within the room is
+    exact. A step takes each block one column on, the upper ones a column ahead of the next,
+    whose carries they give, so all blocks are one array. Pairs that are done or surely too far
+    apart are left out from time to time.
     """
     n, m, t = len(short), np.array([len(x) for x in short]), np.array([len(x) for x in long])
     words = -(-int(m.max()) // 64)
@@ -292,36 +356,56 @@ def _banded(short: list[str], long: list[str], room: np.ndarray) -> np.ndarray:
     told = np.full((int(t.max()), n), len(chars) * words)
     told[np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t), np.repeat(np.arange(n), t)] = np.where(chars[at] == there, at, len(chars)) * words
     told = told * n + np.arange(n)
-    where = where.ravel()
+    where, step = where.ravel(), np.arange(words)[:, None] * n
     one = np.uint64(1)
-    own_last = (m - 1) // 64
-    end = [np.where(own_last == w, (m - 1) % 64, 63).astype(np.uint64) for w in range(words)]
+    block = np.arange(words)[:, None]
+    end = np.where(block == (m - 1) // 64, (m - 1) % 64, 63).astype(np.uint64)
     up, down = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    plus, minus = np.ones((words + 1, n), np.uint64), np.zeros((words + 1, n), np.uint64)
     score = np.zeros((words, n), np.int64)  # at the last row of each block
     score[0] = end[0] + one
-    active, out = 1, np.full(n, 1 << 40)
-    closing = [np.flatnonzero(t == j + 1) for j in range(len(told))]
-    for j in range(len(told)):
-        while active < words and 64 * active <= j + below:
-            score[active] = score[active - 1] + (end[active] + one).astype(np.int64)
-            active += 1
-        first = max(0, (j - above) // 64)
-        plus, minus = np.ones(n, np.uint64), np.zeros(n, np.uint64)
-        for w in range(min(first, active - 1), active):
-            eq, pv, mv = where[told[j] + w * n], up[w], down[w]
-            xv = eq | mv
-            eq |= minus
-            xh = (((eq & pv) + pv) ^ pv) | eq
-            ph, mh = mv | ~(xh | pv), pv & xh
-            plus_out, minus_out = (ph >> end[w]) & one, (mh >> end[w]) & one
-            ph, mh = ph << one | plus, mh << one | minus
-            up[w], down[w] = mh | ~(xv | ph), ph & xv
-            plus, minus = plus_out, minus_out
-            score[w] += (plus - minus).view(np.int64)
-        if len(closing[j]):
-            done = closing[j]
-            out[done] = np.where(own_last[done] < active, score[own_last[done], done], 1 << 40)
-    return out <= room
+    columns = len(told)
+    # the first and last steps of each block
+    begins = np.maximum(0, 64 * np.arange(words) - below) + np.arange(words)
+    stops = np.minimum(64 * np.arange(1, words + 1) + above, columns) - 1 + np.arange(words)
+    left, out = np.arange(n), np.zeros(n, bool)
+    close = t - 1 + (m - 1) // 64
+    lo = hi = started = 0
+    for s in range(int(close.max()) + 1):
+        while started + 1 < words and begins[started + 1] - 1 <= s:
+            started += 1
+            score[started] = score[started - 1] + (end[started] + one).astype(np.int64)
+        while hi < words and begins[hi] <= s:
+            hi += 1
+        while stops[lo] < s:
+            lo += 1
+            plus[lo], minus[lo] = one, 0
+        eq = where.take(told[s - hi + 1 : s - lo + 1][::-1] + step[lo:hi])
+        pv, mv, last = up[lo:hi], down[lo:hi], end[lo:hi]
+        xv = eq | mv
+        eq |= minus[lo:hi]
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | ~(xh | pv), pv & xh
+        plus_out, minus_out = (ph >> last) & one, (mh >> last) & one
+        ph, mh = ph << one | plus[lo:hi], mh << one | minus[lo:hi]
+        np.bitwise_or(mh, ~(xv | ph), out=pv)
+        np.bitwise_and(ph, xv, out=mv)
+        plus[lo + 1 : hi + 1], minus[lo + 1 : hi + 1] = plus_out, minus_out
+        score[lo:hi] += (plus_out - minus_out).view(np.int64)
+        done = np.flatnonzero(close == s)
+        if len(done):
+            out[left[done]] = score[(m[done] - 1) // 64, done] <= room[done]
+        if s % 32 == 31:
+            # no path to the last corner is cheaper than its cell of this step and the way back to the diagonal
+            off = (s - block[lo:hi]) - 64 * block[lo:hi] - (t - m)
+            least = score[lo:hi] - np.bitwise_count(pv) + np.maximum(0, np.maximum(-off, off - 63))
+            stay = np.flatnonzero((close > s) & (least.min(axis=0) - 3 <= room))
+            if len(stay) < 0.8 * len(left):
+                if not len(stay):
+                    break
+                left, m, t, room, close = left[stay], m[stay], t[stay], room[stay], close[stay]
+                told, end, up, down, plus, minus, score = (x[:, stay] for x in (told, end, up, down, plus, minus, score))
+    return out
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:

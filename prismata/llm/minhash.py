@@ -35,7 +35,7 @@ ROOTS = 500_000
 #: Nodes of a key, and their sizes in all, of which the pairs with as many others are told in one block.
 TILE, TILE_SIZE = 256, 2 << 20
 #: Pairs, and bytes of their texts, that a task verifies at once.
-AT_ONCE, AT_ONCE_BYTES = 16_384, 24 << 20
+AT_ONCE, AT_ONCE_BYTES = 65_536, 24 << 20
 #: A sketch holds two bits of each of so many minima.
 SKETCH = 32
 _ODD = np.uint64(0x5555555555555555)
@@ -123,6 +123,25 @@ def _led(rows: np.ndarray, close: Close) -> np.ndarray:
     return out
 
 
+def _led_together(rows: np.ndarray, count: np.ndarray, close: Close) -> np.ndarray:
+    """The same for the rows of many keys, so many each, up to PIECE: a round finds a leader of every key."""
+    out = np.zeros(len(rows), LINKED)
+    for name in ROW.names:
+        out[name] = rows[name]
+    out["center"], out["open"] = out["node"], True
+    size, sketch = np.ascontiguousarray(rows["size"]), np.ascontiguousarray(rows["sketch"])
+    left, group = np.arange(len(rows)), np.repeat(np.arange(len(count)), count)
+    while len(left):
+        new = np.append(True, group[1:] != group[:-1])
+        lead = left[new][np.cumsum(new) - 1]
+        near = close(size[left], sketch[left], size[lead], sketch[lead])
+        at = left[near & ~new]
+        out["center"][at], out["ok"][at] = out["node"][lead[near & ~new]], True
+        near |= new
+        left, group = left[~near], group[~near]
+    return out
+
+
 def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of some keys, and the bounds of equal ones in it."""
     order = np.argsort(key)
@@ -149,42 +168,43 @@ class Packer:
 
     def add(self, keys: np.ndarray, node: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> list[tuple[int, bool, bytes]]:
         """Keys are a matrix, one row a node."""
-        new = np.zeros(keys.size, ROW)
         part = keys % np.uint64(self.parts)
-        new["key"] = (part << np.uint64(32) | keys >> np.uint64(32)).ravel().view(np.int64)
-        for name, column in (("node", node), ("size", size), ("sketch", sketch)):
-            new[name] = np.repeat(column, keys.shape[1])
-        self.rows.append(new)
-        self.count += len(new)
+        self.rows.append(((part << np.uint64(32) | keys >> np.uint64(32)).ravel().view(np.int64), np.full(len(keys), keys.shape[1]), node, size, sketch))
+        self.count += keys.size
         return self.flush() if self.count >= HELD else []
 
     def flush(self) -> list[tuple[int, bool, bytes]]:
         if not self.count:
             return []
-        rows = np.concatenate(self.rows)
+        key, bands, node, size, sketch = (np.concatenate(x) for x in zip(*self.rows))
         self.rows, self.count = [], 0
-        order, bounds = _sorted(np.ascontiguousarray(rows["key"]))
-        rows = rows[order]
-        stay, frequent, out = np.ones(len(rows), bool), np.zeros(len(rows), bool), []
+        order, bounds = _sorted(key)
+        key, owner = key[order], np.repeat(np.arange(len(node)), bands)[order]
+        rows = np.empty(len(key), PACKED)
+        rows["key"] = key.view(np.uint64) & np.uint64(0xFFFFFFFF)
+        for name, column in (("node", node), ("size", size), ("sketch", sketch)):
+            rows[name] = column[owner]
+        stay, out = np.ones(len(rows), bool), []
         for g in np.flatnonzero(np.diff(bounds) > LED).tolist():
             lo, hi = int(bounds[g]), int(bounds[g + 1])
-            own, _ = _grouped(rows[lo:hi])
+            of = np.zeros(hi - lo, ROW)
+            for name in ROW.names:
+                of[name] = key[lo] if name == "key" else rows[name][lo:hi]
+            own, _ = _grouped(of)
             led = _led(own, self.close)
-            stay[lo:hi], frequent[lo:hi] = False, True
+            stay[lo:hi] = False
             lead = np.flatnonzero(~led["ok"])
-            rows[lo : lo + len(lead)] = own[lead]
+            for name in PACKED.names[1:]:
+                rows[name][lo : lo + len(lead)] = own[name][lead]
+            rows["size"][lo : lo + len(lead)] |= np.uint32(1 << 31)
             stay[lo : lo + len(lead)] = True
             out.append((int(rows["node"][lo] % self.parts), True, led.tobytes()))
-        rows, frequent = rows[stay], frequent[stay]
-        packed = np.zeros(len(rows), PACKED)
-        packed["key"] = rows["key"].view(np.uint64) & np.uint64(0xFFFFFFFF)
-        for name in PACKED.names[1:]:
-            packed[name] = rows[name]
-        packed["size"] |= frequent.astype(np.uint32) << np.uint32(31)
-        part = rows["key"] >> 32  # rows are sorted by key, so by part too
+        if out:
+            rows, key = rows[stay], key[stay]
+        part = key >> 32  # rows are sorted by key, so by part too
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(rows) else np.zeros(0, np.int64)
         for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(rows)]):
-            out.append((int(part[lo]), False, packed[lo:hi].tobytes()))
+            out.append((int(part[lo]), False, rows[lo:hi].tobytes()))
         return out
 
 
@@ -214,7 +234,7 @@ def _part(part: int, held: list[bytes], close: Close) -> Iterator[pa.RecordBatch
         return
     frequent = rows["size"] < 0
     rows["size"] &= 0x7FFFFFFF
-    # most keys are all close to their first row; the others are led one by one
+    # most keys are all close to their first row
     first, count = bounds[:-1], np.diff(bounds)
     lead = np.repeat(first, count)
     near = close(rows["size"], rows["sketch"], rows["size"][lead], rows["sketch"][lead])
@@ -228,10 +248,13 @@ def _part(part: int, held: list[bytes], close: Close) -> Iterator[pa.RecordBatch
     out["ok"] = out["center"] != out["node"]
     out["open"] = np.repeat((count > 2) | more, count)[easy]  # of two rows there is one pair only
     all_led = [out]
-    for g in np.flatnonzero(~whole | more & (count == 1)).tolist():
-        led = _led(rows[bounds[g] : bounds[g + 1]], close)
-        if more[g] or len(led) > PIECE or led["ok"].any():  # else all pairs were compared: none is close
-            all_led.append(led)
+    for g in np.flatnonzero(~whole & (count > PIECE)).tolist():
+        all_led.append(_led(rows[bounds[g] : bounds[g + 1]], close))
+    # two rows that are not close lead to nothing
+    odd = ~whole & (count <= PIECE) & ((count > 2) | more) | more & (count == 1)
+    led = _led_together(rows[np.repeat(odd, count)], count[odd], close)
+    some = np.logical_or.reduceat(led["ok"], np.cumsum(count[odd]) - count[odd]) if len(led) else np.zeros(0, bool)
+    all_led.append(led[np.repeat(some | more[odd], count[odd])])  # of the others all pairs were compared: none is close
     yield _emitted(np.concatenate(all_led))
 
 

@@ -30,7 +30,7 @@ class Lines:
         inner = offsets[1:-1]
         rows = len(offsets) - 1
         ends_of_rows = offsets[1:] + np.arange(rows)
-        data = np.append(np.insert(plain[data], inner, 10), np.uint8(10)) if rows else data
+        data = np.append(np.insert(np.frombuffer(data.tobytes().translate(plain.tobytes()), np.uint8), inner, 10), np.uint8(10)) if rows else data
         blank = data <= 32
         keep = np.ones(len(data), bool)
         keep[1:] = ~((data[1:] == 32) & blank[:-1])

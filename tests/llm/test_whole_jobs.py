@@ -183,3 +183,44 @@ def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(minhash, "linked", lambda cells, norms, close, same, roots=None: roots)
     got = {x.doc_id for x in near_copies.kept(docs).collect()}
     assert got == {10 * k for k in range(6)} | {90}
+
+
+def test_most_pairs_are_told_apart_without_their_distance(monkeypatch):
+    r = random.Random(31)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzäß") for _ in range(r.randrange(3, 9))) for _ in range(400)]
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    pairs = [(line(n), line(n)) for n in [5, 8, 11, 14] * 50]
+    room = (1 - lines.SIMILARITY) * np.array([max(len(a), len(b)) for a, b in pairs])
+    asked = []
+    monkeypatch.setattr(lines, "_banded", lambda a, b, k: asked.extend(a) or np.zeros(len(a), bool))
+    monkeypatch.setattr(lines, "_steps", lambda a, b, *k: asked.append(a) or 10**6)
+    assert not lines.within(pairs, room).any() and len(asked) < len(pairs) / 20
+
+
+def test_blocks_beside_each_other_give_the_distances_of_single_pairs():
+    r = random.Random(32)
+    pairs = []
+    for n in [1, 40, 64, 65, 128, 129, 300, 700, 1300] * 12:
+        a = "".join(r.choice("abcä ") for _ in range(n))
+        b = list(a if r.random() < 0.7 else a[n // 3 :] + a[: n // 3])
+        for _ in range(r.randrange(n // 2 + 1)):
+            b[r.randrange(len(b))] = r.choice(["", "x", "ab", "漢"])
+        pairs.append(tuple(sorted((a, "".join(b) or "y"), key=len)))
+    for part in (0.05, 0.2, 0.4):
+        room = part * np.array([len(b) for _, b in pairs])
+        told = [lines.distance(a, b) <= k for (a, b), k in zip(pairs, room)]
+        assert lines.within(pairs, room).tolist() == told
+        near = [k for k, (a, b) in enumerate(pairs) if len(b) - len(a) <= room[k]]
+        got = lines._banded([pairs[k][0] for k in near], [pairs[k][1] for k in near], room[near])
+        assert got.tolist() == [told[k] for k in near] and 0 < got.sum() < len(near)
+
+
+def test_keys_led_together_have_the_leaders_of_each_alone():
+    r = np.random.default_rng(33)
+    count = r.integers(1, 9, 200)
+    rows = np.zeros(int(count.sum()), minhash.ROW)
+    rows["key"], rows["node"] = np.repeat(np.arange(len(count)), count), r.permutation(len(rows))
+    rows["size"], rows["sketch"] = r.integers(40, 60, len(rows)), r.integers(0, 4, len(rows)).astype(np.uint64) * np.uint64(0x5555555)
+    end = np.cumsum(count)
+    alone = np.concatenate([minhash._led(rows[b - n : b], lines.CLOSE) for n, b in zip(count, end)])
+    assert (minhash._led_together(rows, count, lines.CLOSE) == alone).all() and 0 < alone["ok"].sum() < len(rows)
