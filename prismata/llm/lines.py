@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import minhash
-from .common import bound_batches, checkpointed, lean, mixed, powers, renamed, slices, utf8
+from .common import bound_batches, checkpointed, lean, mixed, powers, renamed, slices, stored, utf8
 from .nodes import BY_LINE, fetched, Lines, passes, wanted_filter
 
 MIN_WORDS = 5
@@ -457,7 +457,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     scanned = rows.select("id", "th", "text").mapInArrow(lean(_scanner(parts)), f"part int, led boolean, blob binary, id {kind}, th long, nodes array<long>")
     told = scanned.repartition("part").sortWithinPartitions("part").mapInArrow(lean(minhash.collected(CLOSE)), f"id {kind}, th long, nodes array<long>, {minhash.CELLS}")
-    told = checkpointed(told)
+    told = stored(told)
     cells = told.where("key is not null").select(*minhash.names())
     roots = minhash.linked(cells, fetched(rows.select("text"), cells), CLOSE, _same)
     texts = told.where("nodes is not null").select("id", "th", "nodes")

@@ -4,8 +4,9 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from prismata.llm import lines, minhash, near_copies, pii
+from prismata.llm import common, lines, minhash, near_copies, pii
 
 
 def test_similar_lines_are_joined_whatever_their_words(spark):
@@ -224,3 +225,11 @@ def test_keys_led_together_have_the_leaders_of_each_alone():
     end = np.cumsum(count)
     alone = np.concatenate([minhash._led(rows[b - n : b], lines.CLOSE) for n, b in zip(count, end)])
     assert (minhash._led_together(rows, count, lines.CLOSE) == alone).all() and 0 < alone["ok"].sum() < len(rows)
+
+
+def test_rows_kept_in_columns_are_the_rows(spark):
+    rows = spark.sql("select * from values (1L, array(1L, null), 'a'), (null, null, null), (2L, array(), 'ä') as t(id, nodes, x)")
+    kept = common.stored(rows)
+    assert kept.schema == rows.schema and Counter(map(str, kept.collect())) == Counter(map(str, rows.collect()))
+    assert common.stored(rows.limit(0)).count() == 0
+    assert common.stored(rows.withColumn("none", F.lit(None))).count() == 3
