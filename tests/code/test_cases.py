@@ -425,3 +425,26 @@ def test_reverse_search_joins_a_call_once_for_many_seeds(spark):
     told = graph.chain_only(hub, seeds, 2)
     assert {(x.truth, x.direct, x.chain) for x in told.collect()} == {(41, 1, 40)}
     assert max(_rows_of_joins(told)) <= 3 * hub.count()
+
+
+def _symbols_named(spark, names, each):
+    """`each` methods of every name, and a type."""
+    rows = [(1, 0, "CLASS", "Owner", "p.Owner", None, 1)] + [(1000 * (k + 1) + i, 0, "METHOD", n, f"p.Owner#{n}/{i}", 1, i) for k, n in enumerate(names) for i in range(each)]
+    return spark.createDataFrame(rows, "id long, file_id long, kind string, name string, qualified_name string, parent_id long, start_line long")
+
+
+def test_answers_of_many_questions_are_spelled_out_last(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "CELL_QUESTIONS", 4)
+    monkeypatch.setattr(ranking, "CELL_EVIDENCE", 3)
+    symbols = _symbols_named(spark, ["alpha", "beta"], 20)
+    questions = spark.createDataFrame([(k, f"who calls {'alpha' if k % 2 else 'beta'}") for k in range(30)] + [(90, "where is alpha defined"), (91, "what does alpha call")], "id long, text string")
+    source = spark.createDataFrame([(0, "a.java")], "id long, path string")
+    calls = spark.createDataFrame([(2000 + i, 1000, 7 * i) for i in range(20)] * 2, "caller_symbol_id long, callee_symbol_id long, call_line long")
+    none = spark.createDataFrame([], "sub_symbol_id long, super_symbol_id long")
+    before = [spark.conf.get(f"spark.sql.{k}autoBroadcastJoinThreshold", None) for k in ("", "adaptive.")]
+    out = ranking.answers(questions, symbols, source, calls, none)
+    assert [spark.conf.get(f"spark.sql.{k}autoBroadcastJoinThreshold", None) for k in ("", "adaptive.")] == before
+    assert "explode(ids" in out._jdf.queryExecution().toString()
+    want = [(k, "CALLERS", "a.java", 7 * i, f"p.Owner#beta/{i}") for k in range(1, 30, 2) for i in range(20)] + [(k, "CALLERS", "a.java", 0, "p.Owner#beta/0") for k in range(0, 30, 2)]
+    want += [(90, "LOCATE", "a.java", i, f"p.Owner#alpha/{i}") for i in range(20)] + [(91, "CALLEES", "a.java", 0, "p.Owner#alpha/0")]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
