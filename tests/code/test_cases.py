@@ -448,3 +448,26 @@ def test_answers_of_many_questions_are_spelled_out_last(spark, monkeypatch):
     want = [(k, "CALLERS", "a.java", 7 * i, f"p.Owner#beta/{i}") for k in range(1, 30, 2) for i in range(20)] + [(k, "CALLERS", "a.java", 0, "p.Owner#beta/0") for k in range(0, 30, 2)]
     want += [(90, "LOCATE", "a.java", i, f"p.Owner#alpha/{i}") for i in range(20)] + [(91, "CALLEES", "a.java", 0, "p.Owner#alpha/0")]
     assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_a_file_of_routed_targets_keeps_each_list_once(spark, tmp_path):
+    names = [f"name{chr(97 + k // 8)}{chr(97 + k % 8)}" for k in range(64)]
+    questions = spark.createDataFrame([(k, f"where is {names[k * 7 % 64]} defined") for k in range(1280)], "id long, text string")
+    at = str(tmp_path / "routed")
+    symbols = spark.createDataFrame([(n,) for n in names], "name string").crossJoin(spark.range(2500)).select((F.xxhash64("name", "id") % (1 << 40)).alias("id"), F.lit("METHOD").alias("kind"), "name", F.concat(F.lit("p.A#"), "name").alias("qualified_name"), F.lit(1).cast("long").alias("parent_id"))
+    ranking.routed(questions, symbols).write.parquet(at)
+    whole = spark.read.parquet(at).agg(F.sum(F.length("target_ids"))).first()[0]
+    stored = sum(f.stat().st_size for f in (tmp_path / "routed").glob("*.parquet"))
+    assert whole > 30e6 and stored < whole / 10
+
+
+def test_heavy_lists_of_targets_meet_their_questions_in_tasks_of_their_own(spark, monkeypatch):
+    symbols = _symbols_named(spark, ["alpha", "beta"], 50)
+    questions = spark.createDataFrame([(k, ("who calls alpha", "where is beta defined", "an overview", "where is Owner defined")[k % 4]) for k in range(400)], "id long, text string")
+    light = sorted(map(tuple, ranking.routed(questions, symbols).collect()))
+    monkeypatch.setattr(ranking, "HEAVY_BYTES", 1000)
+    monkeypatch.setattr(ranking, "TASK_BYTES", 5000)
+    out = ranking.routed(questions, symbols)
+    assert sorted(map(tuple, out.collect())) == light and len(light) == 400
+    one = out.where("length(target_ids) > 1").groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("target_ids").alias("lists"), F.sum(F.length("target_ids")).alias("bytes")).collect()
+    assert len(one) == 10 and {r.lists for r in one} == {1} and max(r.bytes for r in one) < 10_000
