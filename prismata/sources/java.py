@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_type
-from ..operators.checkpoints import checkpointed
+from ..operators.checkpoints import checkpointed, measured_joins
 from .java_syntax import Outline
 
 #: Types of java.lang, and the members that every object, or an enum, has.
@@ -204,6 +204,11 @@ def _inherited(scope: DataFrame, ways: DataFrame, types: DataFrame) -> DataFrame
 
 def accesses(units: DataFrame) -> DataFrame:
     """All nodes with member (its key), result (the type it gives), and the state of what was not found."""
+    with measured_joins(units.sparkSession):
+        return _accessed(units)
+
+
+def _accessed(units: DataFrame) -> DataFrame:
     nodes = units.select("path", F.explode("nodes").alias("n")).select("path", "n.*")
     symbols = units.select("path", F.explode("symbols").alias("s")).where("s.type_name is not null").select("path", F.col("s.parent_key").alias("owner"), F.col("s.type_name").alias("raw"))
     implied = units.select("path", F.explode("implied").alias("s")).where("s.type_name is not null").select("path", "s.owner", F.col("s.type_name").alias("raw"))

@@ -471,3 +471,20 @@ def test_heavy_lists_of_targets_meet_their_questions_in_tasks_of_their_own(spark
     assert sorted(map(tuple, out.collect())) == light and len(light) == 400
     one = out.where("length(target_ids) > 1").groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("target_ids").alias("lists"), F.sum(F.length("target_ids")).alias("bytes")).collect()
     assert len(one) == 10 and {r.lists for r in one} == {1} and max(r.bytes for r in one) < 10_000
+
+
+def _plans(monkeypatch):
+    """Plans of what java.py checkpoints and of the tables written as Parquet, as made before they run."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, kept, put = {"checkpoint": [], "table": []}, java.checkpointed, DataFrameWriter.parquet
+    said = lambda kind, df: plans[kind].append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(java, "checkpointed", lambda df: (said("checkpoint", df), kept(df))[1])
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (said("table", self._df), put(self, *a, **b))[1])
+    return plans
+
+
+def test_calls_are_resolved_without_broadcasts_by_estimate(spark, sf_dir, monkeypatch):
+    plans = _plans(monkeypatch)
+    QUERIES["c6_hierarchy"](spark, sf_dir)
+    assert len(plans["checkpoint"]) > 8 and not any("BroadcastHashJoin" in p for p in plans["checkpoint"])
