@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import chunks as cutting
-from ..operators.checkpoints import checkpointed
+from ..operators.checkpoints import checkpointed, measured_joins
 from . import files as reading
 from . import java
 
@@ -93,11 +93,13 @@ def commit(tables: dict[str, DataFrame], orphans: DataFrame, base: str, repo_id:
     manifest = {"repo_id": repo_id, "version": f"{at}-{uuid.uuid4().hex[:8]}".replace(":", ""), "at": at, "status": READY, "reason": None}
     place = {name: f"{base}/data/{repo_id}/{manifest['version']}/{name}" for name in tables}
     try:
-        for name, df in tables.items():
-            df.drop("repo_id").write.parquet(place[name])
+        with measured_joins(spark):
+            for name, df in tables.items():
+                df.drop("repo_id").write.parquet(place[name])
+            lost = orphans.count()
         written = {name: spark.read.parquet(path).withColumn("repo_id", F.lit(repo_id).cast("long")) for name, path in place.items()}
         counts = rollup(written).drop("repo_id", "status").first() or {}
-        manifest |= {"tables": place, "orphan_edge_count": orphans.count(), **(counts.asDict() if counts else {})}
+        manifest |= {"tables": place, "orphan_edge_count": lost, **(counts.asDict() if counts else {})}
     except Exception as e:
         _declare(spark, base, manifest | {"status": FAILED, "reason": f"{type(e).__name__}: {e}"[:500], "tables": {}})
         raise

@@ -488,3 +488,11 @@ def test_calls_are_resolved_without_broadcasts_by_estimate(spark, sf_dir, monkey
     plans = _plans(monkeypatch)
     QUERIES["c6_hierarchy"](spark, sf_dir)
     assert len(plans["checkpoint"]) > 8 and not any("BroadcastHashJoin" in p for p in plans["checkpoint"])
+
+
+def test_tables_are_committed_without_broadcasts_by_estimate(spark, sf_dir, monkeypatch):
+    plans = _plans(monkeypatch)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    QUERIES["b7_committed"](spark, sf_dir)
+    assert len(plans["table"]) == 5 and not any("BroadcastHashJoin" in p for p in plans["table"])
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before != "-1"
